@@ -1,0 +1,56 @@
+"""Ordered lists per group that stay whole however large one group is.
+
+A group normally becomes one row. A group whose text exceeds ``max_chars`` is
+spread over as many rows ("parts") as its size asks for, so that no task ever
+holds more than about ``max_chars`` of one group and nothing is left out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+MAX_CHARS = 16_000_000
+
+
+def gather_in_parts(
+    rows: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    item: str,
+    unique: Sequence[str],
+    max_chars: int = MAX_CHARS,
+) -> DataFrame:
+    """``group + (part, items)``; ``items`` is sorted by ``order`` and then by the item.
+
+    ``unique`` names the columns that tell the rows of a group apart; they
+    decide the part a row falls into, so copies of one text spread as well.
+    """
+    weight = F.sum(F.length(item) + F.lit(1))
+    oversized = (
+        rows.groupBy(*group)
+        .agg(weight.alias("_chars"))
+        .where(F.col("_chars") > max_chars)
+        .select(
+            *[F.col(g).alias(f"_g_{g}") for g in group],
+            F.ceil(F.col("_chars") / F.lit(max_chars)).alias("_parts"),
+        )
+    )
+    # The right side holds at most total_chars / max_chars rows and is mostly
+    # empty; AQE then turns the join into a broadcast or removes it.
+    same_group: Column = F.lit(True)
+    for g in group:
+        same_group = same_group & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    slot = F.coalesce(F.pmod(F.xxhash64(*unique), F.col("_parts")), F.lit(0))
+    return (
+        rows.join(oversized, same_group, "left")
+        .withColumn("part", slot.cast("int"))
+        .groupBy(*group, "part")
+        .agg(
+            F.transform(
+                F.sort_array(F.collect_list(F.struct(*order, F.col(item).alias("_item")))),
+                lambda entry: entry["_item"],
+            ).alias("items")
+        )
+    )
