@@ -46,6 +46,8 @@ def gather_in_parts(
     return (
         rows.join(oversized, same_group, "left")
         .withColumn("part", slot.cast("int"))
+        # spread the parts of one group, whatever partitioning the join left behind
+        .repartition(*group, "part")
         .groupBy(*group, "part")
         .agg(
             F.transform(

@@ -28,24 +28,19 @@ CATALOG_TYPES = {
 def effective_descriptions(ingested: DataFrame, edited: DataFrame) -> DataFrame:
     """The edited text where there is one, else the ingested one; '' counts as none.
 
-    One aggregation instead of an outer join: map-side combined, and grouping
-    already treats NULL field paths as equal.
+    Each layer holds one row per (asset, field). Edited texts pass through as
+    they are; only their keys take part in the anti join, so a long text is
+    moved once at most.
     """
     keys = ("asset_urn", "field_path")
-    layers = ingested.select(
-        *keys, F.col("description").alias("_base"), F.lit(None).cast("string").alias("_edit")
-    ).unionByName(
-        edited.select(
-            *keys, F.lit(None).cast("string").alias("_base"), F.col("description").alias("_edit")
-        )
-    )
-    return (
-        layers.groupBy(*keys)
-        .agg(F.max(F.nullif("_base", F.lit(""))).alias("_base"),
-             F.max(F.nullif("_edit", F.lit(""))).alias("_edit"))
-        .select(*keys, F.coalesce("_edit", "_base").alias("description"))
-        .where(F.col("description").isNotNull())
+    stated = F.col("description") != ""
+    edits = edited.where(stated).select(*keys, "description")
+    edited_keys = edits.select(F.col("asset_urn").alias("_urn"), F.col("field_path").alias("_field"))
+    same = (F.col("asset_urn") == F.col("_urn")) & F.col("field_path").eqNullSafe(F.col("_field"))
+    untouched = ingested.where(stated).select(*keys, "description").join(
+        edited_keys, same, "left_anti"
     )
+    return edits.unionByName(untouched)
 
 
 def asset_parts(assets: DataFrame) -> DataFrame:
@@ -124,10 +119,17 @@ def merge_upstreams(existing: DataFrame, declared: DataFrame) -> DataFrame:
     edges = existing.select(*columns, F.lit(0).alias("origin")).unionByName(
         declared.select(*columns, F.lit(1).alias("origin"))
     )
+    # two plain minima instead of one over a struct keep this a hash aggregate
+    first = [F.min(F.when(F.col("origin") == i, F.col("position"))).alias(f"_p{i}") for i in (0, 1)]
     return (
         edges.groupBy("downstream", "upstream")
-        .agg(F.min(F.struct("origin", "position")).alias("_first"))
-        .select("downstream", "upstream", "_first.origin", "_first.position")
+        .agg(*first)
+        .select(
+            "downstream",
+            "upstream",
+            F.when(F.col("_p0").isNotNull(), 0).otherwise(1).alias("origin"),
+            F.coalesce("_p0", "_p1").alias("position"),
+        )
     )
 
 

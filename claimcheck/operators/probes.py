@@ -394,7 +394,8 @@ def usage_window(
     per_user = (
         log.where(in_window).groupBy("table_name", "query_user").agg(F.count("*").alias("reads"))
     )
-    names = assets.select("asset_urn").distinct().select(
+    watched = assets.select("asset_urn").distinct()
+    names = watched.select(
         "asset_urn",
         F.explode(
             F.array_distinct(
@@ -404,16 +405,18 @@ def usage_window(
             )
         ).alias("table_name"),
     )
-    per_asset = (
-        names.join(per_user, "table_name", "left")
+    # inner first: either side may then be broadcast, or split where a name is hot
+    used = (
+        per_user.join(names, "table_name")
         .groupBy("asset_urn", "query_user")
         .agg(F.sum("reads").alias("reads"))
         .groupBy("asset_urn")
-        .agg(
-            F.coalesce(F.sum("reads"), F.lit(0)).alias("recent_queries"),
-            F.count("query_user").alias("distinct_users"),
-        )
+        .agg(F.sum("reads").alias("_reads"), F.count("query_user").alias("_users"))
     )
+    per_asset = watched.join(used, "asset_urn", "left").withColumns({
+        "recent_queries": F.coalesce("_reads", F.lit(0)),
+        "distinct_users": F.coalesce("_users", F.lit(0)),
+    })
     return per_asset.select(
         "asset_urn",
         F.lit(USAGE).alias("probe_kind"),
@@ -464,10 +467,10 @@ def reconcile_100x(
     left_values = left.groupBy("k", "v").agg(F.count("*").alias("n"))
     right_values = right.groupBy("k", "v").agg(F.count("*").alias("n"))
 
-    nothing = F.lit(0).cast("bigint")
+    nothing, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     per_key = (
-        left_values.select("k", F.col("n").alias("ls"), nothing.alias("rs"))
-        .unionByName(right_values.select("k", nothing.alias("ls"), F.col("n").alias("rs")))
+        left.select("k", one.alias("ls"), nothing.alias("rs"))
+        .unionByName(right.select("k", nothing.alias("ls"), one.alias("rs")))
         .groupBy("k")
         .agg(F.sum("ls").alias("ls"), F.sum("rs").alias("rs"))
     )

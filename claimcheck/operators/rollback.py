@@ -17,7 +17,7 @@ def ledger_dossier_ids(ledger: DataFrame) -> DataFrame:
     segments = F.split("evidence", r" \| ", -1)
     tokens = F.flatten(F.transform(segments, lambda s: F.split(s, "; ", -1)))
     urns = F.filter(
-        F.transform(tokens, lambda t: F.trim(t)),
+        F.transform(tokens, lambda t: F.regexp_replace(t, r"^\s+|\s+\z", "")),
         lambda t: t.startswith(texts.DOSSIER_ID_PREFIX),
     )
     return ledger.select("asset_urn", F.posexplode(urns).alias("position", "document_urn"))
@@ -37,19 +37,23 @@ def drain_corrections(descriptions: DataFrame, author: str = AUTHOR) -> DataFram
     )
 
 
-def _attested(asset: Column, author: str) -> Column:
+def _own_format(author: str) -> Column:
+    """Title and body wear this library's format."""
     return F.coalesce(
         F.startswith("title", F.lit(texts.dossier_title_head(author)))
-        & F.array_contains("related_assets", asset)
         & F.startswith("body", F.lit(texts.dossier_header(author)))
         & F.contains("body", F.lit(texts.dossier_footer(author))),
         F.lit(False),
     )
 
 
+def _is_about(asset: Column) -> Column:
+    return F.coalesce(F.array_contains("related_assets", asset), F.lit(False))
+
+
 def dossier_attestation(documents: DataFrame, author: str = AUTHOR) -> DataFrame:
     """Adds ``attested``: the document says itself that it is evidence for ``asset_urn``."""
-    return documents.withColumn("attested", _attested(F.col("asset_urn"), author))
+    return documents.withColumn("attested", _own_format(author) & _is_about(F.col("asset_urn")))
 
 
 def dossiers_to_delete(
@@ -59,7 +63,8 @@ def dossiers_to_delete(
 
     Candidates are what the ledger points to and what a search found. A
     pointer that cannot be read or is not attested is an anomaly and blocks
-    the rollback; an unattested search hit is merely left alone.
+    the rollback; an unattested search hit is merely left alone. Bodies are
+    looked at where they are stored; the join carries the finding only.
     """
     pairs = ("asset_urn", "document_urn")
     candidates = (
@@ -69,11 +74,12 @@ def dossiers_to_delete(
         .agg(F.bool_or("_ledger").alias("named_by_ledger"))
     )
     found = documents.select(
-        "document_urn", "title", "body", "related_assets", F.lit(True).alias("_found")
+        "document_urn", "related_assets", _own_format(author).alias("_own"),
+        F.lit(True).alias("_found"),
     )
     outcome = (
         F.when(F.col("_found").isNull(), "unreadable")
-        .when(_attested(F.col("asset_urn"), author), "delete")
+        .when(F.col("_own") & _is_about(F.col("asset_urn")), "delete")
         .when(F.col("named_by_ledger"), "anomaly")
         .otherwise("refused")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from claimcheck.operators import claims as extraction, score, verdicts
 from claimcheck.plans.verify import measure
+from claimcheck.session import cut_lineage
 
 
 def evaluate(
@@ -27,5 +28,7 @@ def evaluate(
     claims, errors = extraction.extract_claims(
         manifest.select("asset_urn", "field_path", "description"), store, system_prompt
     )
+    # measuring plans one scan per table and each meets the claims: extract them once
+    claims = cut_lineage(claims)
     measured = measure(claims, tables, as_of, query_log, references, scan_limit)
     return score.score_entries(manifest, verdicts.adjudicate(measured), errors)

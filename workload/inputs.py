@@ -88,7 +88,7 @@ RELATIONS = {
     "described_columns": f"""select case when o_custkey % 4 = 0
             then {URN.format("'orders'")} when o_custkey % 4 = 1 then {URN.format("'lineitem'")}
             else {URN.format("'customer_' || o_custkey")} end as asset_urn,
-        case when o_orderkey % 3 = 0 then null when o_custkey % 4 = 1 and o_orderkey % 7 = 0
+        case when o_orderkey % 3 = 0 or o_custkey % 8 = 3 then null when o_custkey % 4 = 1 and o_orderkey % 7 = 0
             then 'l_unknown' when o_custkey % 4 = 0 then 'o_totalprice'
             when o_custkey % 4 = 1 then 'l_tax' when o_orderkey % 3 = 1 then 'field_1'
             else 'field_' || (o_orderkey % 5) end as field_path from orders""",
@@ -223,8 +223,8 @@ RELATIONS = {
         case when o_custkey % 3 <> 2 then 50000e0 end as min_bound,
         case when o_custkey % 3 <> 1 then 450000e0 end as max_bound
         from orders group by o_custkey""",
-    "usage_measures": """select user_id as grp, count(case when value > 95 then 1 end)
-            as recent_queries, count(distinct event_type) as distinct_users,
+    "usage_measures": """select user_id as grp, case when user_id % 5 < 2 then 0 else
+            count(case when value > 95 then 1 end) end as recent_queries, count(distinct event_type) as distinct_users,
         count(*) as log_rows_scanned,
         case when user_id % 4 = 0 then 0 else count(*) end as window_rows_any_table,
         case when user_id % 3 = 0 then count(*) end as scan_limit, '2024-01-30' as as_of,
