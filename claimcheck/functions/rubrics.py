@@ -1,8 +1,10 @@
 """From measurements to a verdict: one CASE expression per claim type.
 
-Every function returns a STRUCT column ``(verdict, rule, rationale)``. The
-branches are tried in order and that order is part of the rules: a verdict
-other than UNVERIFIABLE always needs its own positive evidence.
+Every rubric is a list of branches ``(condition, verdict, rule, rationale)``,
+conditions and rationales in SQL over the measurement columns. The branches
+are tried in order and that order is part of the rules: a verdict other than
+UNVERIFIABLE always needs its own positive evidence. Each function returns a
+STRUCT column ``(verdict, rule, rationale)``.
 """
 
 from __future__ import annotations
@@ -10,15 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from claimcheck.vocabulary import (
-    CADENCE_DAYS, COMPLETENESS, CONFIRMED, CONTRADICTED, DEPRECATION_USAGE,
-    DOLLAR_FRACTION_FLOOR, DOLLAR_MEDIAN_CEILING, DOMAIN_ENUM, FRESHNESS,
-    CENTS_MEDIAN_FLOOR, NEVER_NULL_MIN_ROWS, NULL_SHARE_FLOOR, RECENT_QUERIES_FLOOR,
-    RECONCILED_KEYS_FLOOR, UNIT_SCALE, UNVERIFIABLE,
+    CADENCE_DAYS, CENTS_MEDIAN_FLOOR, COMPLETENESS, CONFIRMED, CONTRADICTED, DEPRECATION_USAGE,
+    DOLLAR_FRACTION_FLOOR, DOLLAR_MEDIAN_CEILING, DOMAIN_ENUM, FRESHNESS, NEVER_NULL_MIN_ROWS,
+    NULL_SHARE_FLOOR, RECENT_QUERIES_FLOOR, RECONCILED_KEYS_FLOOR, UNIT_SCALE, UNVERIFIABLE,
+    USAGE_WINDOW_DAYS,
 )
 
-
-def _say(template: str, *values: Column) -> Column:
-    return F.format_string(template, *values)
+Branch = tuple[str, str, str, str]
 
 
 def number(value: Column) -> Column:
@@ -26,283 +26,262 @@ def number(value: Column) -> Column:
     return value.cast("decimal(38,4)").cast("string")
 
 
-class Rubric:
-    """Branches in order; the first whose condition holds decides."""
+def _number(value: str) -> str:
+    return f"cast(cast({value} as decimal(38,4)) as string)"
 
-    def __init__(self) -> None:
-        self._case: Column | None = None
 
-    @staticmethod
-    def _finding(verdict: str, rule: str, rationale: Column | str) -> Column:
-        text = F.lit(rationale) if isinstance(rationale, str) else rationale
-        return F.struct(
-            F.lit(verdict).alias("verdict"), F.lit(rule).alias("rule"), text.alias("rationale")
-        )
+def _say(template: str, *values: str) -> str:
+    return f"format_string({', '.join([repr(template), *values])})"
 
-    def branch(self, when: Column, verdict: str, rule: str, rationale: Column | str) -> Rubric:
-        found = self._finding(verdict, rule, rationale)
-        self._case = F.when(when, found) if self._case is None else self._case.when(when, found)
-        return self
 
-    def otherwise(self, rule: str, rationale: Column | str) -> Column:
-        return self._case.otherwise(self._finding(UNVERIFIABLE, rule, rationale))
+def _finding(verdict: str, rule: str, rationale: str) -> str:
+    return (f"named_struct('verdict', '{verdict}', 'rule', '{rule}', "
+            f"'rationale', {rationale})")
 
 
-def no_rubric() -> Column:
-    return Rubric._finding(
-        UNVERIFIABLE, "no rubric", _say("no rule decides a %s claim like this one",
-                                        F.col("claim_type"))
+def _decide(branches: list[Branch], otherwise: tuple[str, str]) -> str:
+    """The first branch whose condition is true; a NULL condition is not."""
+    cases = " ".join(
+        f"when {condition} then {_finding(verdict, rule, rationale)}"
+        for condition, verdict, rule, rationale in branches
     )
+    return f"case {cases} else {_finding(UNVERIFIABLE, *otherwise)} end"
 
 
-def _false_if_null(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
+_NO_RUBRIC = _finding(
+    UNVERIFIABLE, "no rubric", _say("no rule decides a %s claim like this one", "claim_type")
+)
 
+# the whole table was read: no limit, or fewer rows than the limit
+_COMPLETE = "(scan_limit is null or rows_scanned < scan_limit)"
+_CAPPED = f"not coalesce({_COMPLETE}, false)"
+_NO_VALUES = ("not coalesce(row_count > 0 and median_above_0 is not null "
+              "and integer_share is not null, false)")
+
+# All values whole and the typical one large: looks like integer cents.
+_CENTS = f"(integer_share = 1 and median_above_{CENTS_MEDIAN_FLOOR})"
+_CORROBORATED = (
+    f"(recon_matched_keys >= {RECONCILED_KEYS_FLOOR} and recon_matched_keys = recon_suspect_keys "
+    "and recon_suspect_rows = recon_suspect_keys and recon_joined = recon_matched_keys "
+    "and recon_ratio_share = 1 and recon_reference_rows > 0 "
+    "and (recon_scan_limit is null or recon_reference_rows < recon_scan_limit))"
+)
+_MONEY = _decide(
+    [
+        (_NO_VALUES, UNVERIFIABLE, "no values", "'the column holds no value to measure'"),
+        (_CAPPED, UNVERIFIABLE, "capped scan",
+         _say("only the first %d rows were read; they decide nothing for the whole column",
+              "scan_limit")),
+        (f"{_CENTS} and recon_joined is null", UNVERIFIABLE, "cents without reference",
+         _say("whole numbers with median %s look like cents, but no reference is declared",
+              _number("median"))),
+        (f"{_CENTS} and {_CORROBORATED}", CONTRADICTED, "cents corroborated",
+         _say("stated as %s, yet all values are whole with median %s and every key sits at "
+              "100 times its reference", "upper(predicate.unit)", _number("median"))),
+        (_CENTS, UNVERIFIABLE, "cents not corroborated",
+         _say("whole numbers with median %s look like cents, but the reference does not "
+              "bear it out on every key (matched %d of %d, joined %d, at ratio %s)",
+              _number("median"), "recon_matched_keys", "recon_suspect_keys", "recon_joined",
+              _number("coalesce(recon_ratio_share, 0)"))),
+        (f"1 - integer_share >= {DOLLAR_FRACTION_FLOOR} and median_above_0 "
+         f"and not median_above_{DOLLAR_MEDIAN_CEILING}", CONFIRMED, "major units",
+         _say("fractional values with median %s fit %s (whole-number share %s)",
+              _number("median"), "upper(predicate.unit)", _number("integer_share"))),
+    ],
+    ("neither signature",
+     _say("median %s with whole-number share %s fits neither major units nor cents",
+          _number("median"), _number("integer_share"))),
+)
 
-def scan_complete() -> Column:
-    """The whole table was read: no limit, or fewer rows than the limit."""
-    return F.col("scan_limit").isNull() | _false_if_null(
-        F.col("rows_scanned") < F.col("scan_limit")
-    )
+# Never contradicts: a range of 0 to 1 may be fractions or small percentages.
+_PERCENT = _decide(
+    [
+        (_NO_VALUES, UNVERIFIABLE, "no values", "'the column holds no value to measure'"),
+        ("centi_integer_share is null", UNVERIFIABLE, "no rubric",
+         "'the measurement lacks the share of hundredths'"),
+        ("min_value >= 0 and max_value <= 1", UNVERIFIABLE, "scale ambiguous",
+         _say("values from %s to %s may be fractions or small percentages",
+              _number("min_value"), _number("max_value"))),
+        (f"min_value >= 0 and median_above_1 and max_value <= 100 and {_COMPLETE}", CONFIRMED,
+         "percent scale",
+         _say("values use the 0 to 100 scale: median %s, maximum %s",
+              _number("median"), _number("max_value"))),
+    ],
+    ("not the percent scale",
+     _say("median %s in the range %s to %s is not clearly a percentage",
+          _number("median"), _number("min_value"), _number("max_value"))),
+)
 
+_UNIT = (
+    "case upper(coalesce(predicate.unit, '')) "
+    f"when 'PERCENT_0_100' then {_PERCENT} when 'USD' then {_MONEY} "
+    f"when 'MAJOR_CURRENCY_UNITS' then {_MONEY} else {_NO_RUBRIC} end"
+)
 
-def _has_values() -> Column:
-    return _false_if_null(
-        (F.col("row_count") > 0) & F.col("median_above_0").isNotNull()
-        & F.col("integer_share").isNotNull()
+_NEVER_NULL = (
+    "case when predicate.nullable = false then "
+    + _decide(
+        [
+            ("not coalesce(row_count > 0, false) or null_share is null", UNVERIFIABLE, "no rows",
+             "'the table holds no row to measure'"),
+            (f"null_share >= {NULL_SHARE_FLOOR}", CONTRADICTED, "nulls found",
+             _say("stated as never null, but the share of nulls is %s in %d rows",
+                  _number("null_share"), "row_count")),
+            (_CAPPED, UNVERIFIABLE, "capped scan",
+             _say("only the first %d rows were read; later ones may be null", "scan_limit")),
+            (f"null_share = 0 and row_count >= {NEVER_NULL_MIN_ROWS}", CONFIRMED, "no nulls",
+             _say("no null in all %d rows", "row_count")),
+        ],
+        ("trace of nulls or few rows",
+         _say("a null share of %s in %d rows settles nothing", _number("null_share"),
+              "row_count")),
     )
+    + f" else {_NO_RUBRIC} end"
+)
 
+# Values outside the claimed list, compared as text.
+_UNEXPECTED = "array_except(observed_values, predicate.values)"
+_ENUM = _decide(
+    [
+        ("size(predicate.values) <= 0", UNVERIFIABLE, "no rubric", "'the claim lists no value'"),
+        (f"size({_UNEXPECTED}) > 0", CONTRADICTED, "unexpected values",
+         f"concat('not in the stated list: ', array_join({_UNEXPECTED}, ', '))"),
+        (f"size(observed_values) > 0 and not distinct_capped and {_COMPLETE}", CONFIRMED,
+         "within the list",
+         _say("all %d distinct values of %d rows are in the stated list",
+              "size(observed_values)", "rows_scanned")),
+    ],
+    ("distinct values not complete",
+     "'no value seen, or not all of them; the stated list is not settled'"),
+)
 
-def cents_signature() -> Column:
-    """All values whole and the typical one large: looks like integer cents."""
-    return _false_if_null((F.col("integer_share") == 1.0) & F.col("median_above_1000"))
+_BELOW = "coalesce(min_value < predicate.min, false)"
+_ABOVE = "coalesce(max_value > predicate.max, false)"
+_BOUNDS = _decide(
+    [
+        ("not coalesce(row_count > 0, false) or min_value is null or max_value is null",
+         UNVERIFIABLE, "no values", "'the column holds no value to measure'"),
+        (f"{_BELOW} or {_ABOVE}", CONTRADICTED, "bound violated",
+         "concat_ws('; ', "
+         f"case when {_BELOW} then "
+         + _say("minimum %s is below the stated %s", _number("min_value"),
+                _number("predicate.min"))
+         + f" end, case when {_ABOVE} then "
+         + _say("maximum %s is above the stated %s", _number("max_value"),
+                _number("predicate.max"))
+         + " end)"),
+        (_CAPPED, UNVERIFIABLE, "capped scan",
+         _say("only the first %d rows were read; later ones may break the bound", "scan_limit")),
+        ("true", CONFIRMED, "within bounds",
+         _say("all %d values lie from %s to %s", "row_count", _number("min_value"),
+              _number("max_value"))),
+    ],
+    ("no rubric", "''"),
+)
 
+_DOMAIN = (
+    f"case when predicate.values is not null and observed_values is not null then {_ENUM} "
+    f"when predicate.min is not null or predicate.max is not null then {_BOUNDS} "
+    f"else {_NO_RUBRIC} end"
+)
 
-def money_verdict() -> Column:
-    matched, keys = F.col("recon_matched_keys"), F.col("recon_suspect_keys")
-    reference_whole = (F.col("recon_reference_rows") > 0) & (
-        F.col("recon_scan_limit").isNull()
-        | (F.col("recon_reference_rows") < F.col("recon_scan_limit"))
-    )
-    corroborated = _false_if_null(
-        (matched >= RECONCILED_KEYS_FLOOR)
-        & (matched == keys)
-        & (F.col("recon_suspect_rows") == keys)
-        & (F.col("recon_joined") == matched)
-        & (F.col("recon_ratio_share") == 1.0)
-        & reference_whole
-    )
-    median, whole = number(F.col("median")), number(F.col("integer_share"))
-    cents = cents_signature()
-    assert CENTS_MEDIAN_FLOOR == DOLLAR_MEDIAN_CEILING == 1000
-    dollars = (
-        (1.0 - F.col("integer_share") >= DOLLAR_FRACTION_FLOOR)
-        & F.col("median_above_0") & ~F.col("median_above_1000")
-    )
-    unit = F.upper(F.col("predicate.unit"))
-    return (
-        Rubric()
-        .branch(~_has_values(), UNVERIFIABLE, "no values", "the column holds no value to measure")
-        .branch(~scan_complete(), UNVERIFIABLE, "capped scan",
-                _say("only the first %d rows were read; they decide nothing for the whole column",
-                     F.col("scan_limit")))
-        .branch(cents & F.col("recon_joined").isNull(), UNVERIFIABLE, "cents without reference",
-                _say("whole numbers with median %s look like cents, but no reference is declared",
-                     median))
-        .branch(cents & corroborated, CONTRADICTED, "cents corroborated",
-                _say("stated as %s, yet all values are whole with median %s and every key sits at "
-                     "100 times its reference", unit, median))
-        .branch(cents, UNVERIFIABLE, "cents not corroborated",
-                _say("whole numbers with median %s look like cents, but the reference does not "
-                     "bear it out on every key (matched %d of %d, joined %d, at ratio %s)",
-                     median, matched, keys, F.col("recon_joined"),
-                     number(F.coalesce("recon_ratio_share", F.lit(0.0)))))
-        .branch(_false_if_null(dollars), CONFIRMED, "major units",
-                _say("fractional values with median %s fit %s (whole-number share %s)",
-                     median, unit, whole))
-        .otherwise("neither signature",
-                   _say("median %s with whole-number share %s fits neither major units nor cents",
-                        median, whole))
+_WINDOW = f"the {USAGE_WINDOW_DAYS} days to %s"
+_DEPRECATED = (
+    "case when coalesce(predicate.deprecated, false) and recent_queries is not null then "
+    + _decide(
+        [
+            (f"recent_queries >= {RECENT_QUERIES_FLOOR}", CONTRADICTED, "still read",
+             _say(f"stated as no longer used, but read %d times by %d users in {_WINDOW}",
+                  "recent_queries", "distinct_users", "as_of")),
+            ("recent_queries = 0 and not coalesce(window_rows_any_table > 0, false)", UNVERIFIABLE,
+             "dead log", _say(f"the log shows no read of any table in {_WINDOW}", "as_of")),
+            ("recent_queries = 0 and (scan_limit is null or log_rows_scanned < scan_limit)",
+             CONFIRMED, "silent", _say(f"no read in {_WINDOW} over the whole log", "as_of")),
+            ("recent_queries = 0", UNVERIFIABLE, "capped log",
+             _say("no read among the first %d log rows; the rest was not seen", "scan_limit")),
+        ],
+        ("few reads",
+         _say(f"%d reads in {_WINDOW} are neither silence nor use", "recent_queries", "as_of")),
     )
+    + f" else {_NO_RUBRIC} end"
+)
 
 
-def percent_verdict() -> Column:
-    """Never contradicts: a range of 0 to 1 may be fractions or small percentages."""
-    low, high, median = F.col("min_value"), F.col("max_value"), F.col("median")
-    return (
-        Rubric()
-        .branch(~_has_values(), UNVERIFIABLE, "no values", "the column holds no value to measure")
-        .branch(F.col("centi_integer_share").isNull(), UNVERIFIABLE, "no rubric",
-                "the measurement lacks the share of hundredths")
-        .branch((low >= 0.0) & (high <= 1.0), UNVERIFIABLE, "scale ambiguous",
-                _say("values from %s to %s may be fractions or small percentages",
-                     number(low), number(high)))
-        .branch((low >= 0.0) & F.col("median_above_1") & (high <= 100.0) & scan_complete(),
-                CONFIRMED, "percent scale",
-                _say("values use the 0 to 100 scale: median %s, maximum %s",
-                     number(median), number(high)))
-        .otherwise("not the percent scale",
-                   _say("median %s in the range %s to %s is not clearly a percentage",
-                        number(median), number(low), number(high)))
+def _by_cadence(position: int) -> str:
+    days = {name: bands[position] for name, bands in CADENCE_DAYS.items()}
+    cases = " ".join(
+        f"when '{name}' then {n}" for name, n in days.items() if n is not None
     )
+    return f"(case lower(predicate.cadence) {cases} end)"
+
+
+_MET_DAYS, _BROKEN_DAYS = _by_cadence(0), _by_cadence(1)
+_FRESHNESS = (
+    f"case when {_BROKEN_DAYS} is not null and days_stale is not null then "
+    + _decide(
+        [
+            (_CAPPED, UNVERIFIABLE, "capped scan",
+             _say("only the first %d rows were read; newer values may follow", "scan_limit")),
+            (f"days_stale >= {_BROKEN_DAYS}", CONTRADICTED, "stale",
+             _say("stated as %s, but the newest value (%s in %s) is %d days old on %s",
+                  "lower(predicate.cadence)", "latest_value", "latest_column", "days_stale",
+                  "as_of")),
+            (f"{_MET_DAYS} is null", UNVERIFIABLE, "finer than a day",
+             _say("dates cannot prove the %s cadence", "lower(predicate.cadence)")),
+            ("not coalesce(temporal_column_count = 1, false)", UNVERIFIABLE,
+             "several date columns",
+             _say("any of %d date columns could be the refresh marker", "temporal_column_count")),
+            (f"days_stale between 0 and {_MET_DAYS}", CONFIRMED, "fresh",
+             _say("the newest value is %d days old on %s, as %s allows", "days_stale", "as_of",
+                  "lower(predicate.cadence)")),
+        ],
+        ("between the bands",
+         _say("%d days is neither fresh nor stale for the %s cadence", "days_stale",
+              "lower(predicate.cadence)")),
+    )
+    + f" else {_NO_RUBRIC} end"
+)
 
+# Dispatch on the claim type; a probe error decides nothing.
+_VERDICT = (
+    "case when probe_error is not null then "
+    + _finding(UNVERIFIABLE, "probe error", "concat('could not be measured: ', probe_error)")
+    + f" when claim_type = '{UNIT_SCALE}' then {_UNIT}"
+    + f" when claim_type = '{COMPLETENESS}' then {_NEVER_NULL}"
+    + f" when claim_type = '{FRESHNESS}' then {_FRESHNESS}"
+    + f" when claim_type = '{DOMAIN_ENUM}' then {_DOMAIN}"
+    + f" when claim_type = '{DEPRECATION_USAGE}' then {_DEPRECATED}"
+    + f" else {_NO_RUBRIC} end"
+)
 
-def unit_verdict() -> Column:
-    unit = F.upper(F.coalesce("predicate.unit", F.lit("")))
-    return (
-        F.when(unit == "PERCENT_0_100", percent_verdict())
-        .when(unit.isin("USD", "MAJOR_CURRENCY_UNITS"), money_verdict())
-        .otherwise(no_rubric())
-    )
 
+def money_verdict() -> Column:
+    return F.expr(_MONEY)
 
-def never_null_verdict() -> Column:
-    share, rows = F.col("null_share"), F.col("row_count")
-    judged = (
-        Rubric()
-        .branch(~_false_if_null(rows > 0) | share.isNull(), UNVERIFIABLE, "no rows",
-                "the table holds no row to measure")
-        .branch(share >= NULL_SHARE_FLOOR, CONTRADICTED, "nulls found",
-                _say("stated as never null, but the share of nulls is %s in %d rows",
-                     number(share), rows))
-        .branch(~scan_complete(), UNVERIFIABLE, "capped scan",
-                _say("only the first %d rows were read; later ones may be null",
-                     F.col("scan_limit")))
-        .branch((share == 0.0) & (rows >= NEVER_NULL_MIN_ROWS), CONFIRMED, "no nulls",
-                _say("no null in all %d rows", rows))
-        .otherwise("trace of nulls or few rows",
-                   _say("a null share of %s in %d rows settles nothing", number(share), rows))
-    )
-    return F.when(F.col("predicate.nullable") == F.lit(False), judged).otherwise(no_rubric())
+
+def percent_verdict() -> Column:
+    return F.expr(_PERCENT)
 
 
-def unexpected_values() -> Column:
-    """Observed values outside the claimed list, compared as text."""
-    return F.array_except("observed_values", "predicate.values")
+def never_null_verdict() -> Column:
+    return F.expr(_NEVER_NULL)
 
 
 def enum_verdict() -> Column:
-    observed, unexpected = F.col("observed_values"), unexpected_values()
-    return (
-        Rubric()
-        .branch(F.size("predicate.values") <= 0, UNVERIFIABLE, "no rubric",
-                "the claim lists no value")
-        .branch(F.size(unexpected) > 0, CONTRADICTED, "unexpected values",
-                F.concat(F.lit("not in the stated list: "), F.array_join(unexpected, ", ")))
-        .branch((F.size(observed) > 0) & ~F.col("distinct_capped") & scan_complete(),
-                CONFIRMED, "within the list",
-                _say("all %d distinct values of %d rows are in the stated list",
-                     F.size(observed), F.col("rows_scanned")))
-        .otherwise("distinct values not complete",
-                   "no value seen, or not all of them; the stated list is not settled")
-    )
+    return F.expr(_ENUM)
 
 
 def bounds_verdict() -> Column:
-    low, high = F.col("predicate.min"), F.col("predicate.max")
-    seen_low, seen_high = F.col("min_value"), F.col("max_value")
-    below = _false_if_null(seen_low < low)
-    above = _false_if_null(seen_high > high)
-    violations = F.concat_ws(
-        "; ",
-        F.when(below, _say("minimum %s is below the stated %s", number(seen_low), number(low))),
-        F.when(above, _say("maximum %s is above the stated %s", number(seen_high), number(high))),
-    )
-    return (
-        Rubric()
-        .branch(~_false_if_null(F.col("row_count") > 0) | seen_low.isNull() | seen_high.isNull(),
-                UNVERIFIABLE, "no values", "the column holds no value to measure")
-        .branch(below | above, CONTRADICTED, "bound violated", violations)
-        .branch(~scan_complete(), UNVERIFIABLE, "capped scan",
-                _say("only the first %d rows were read; later ones may break the bound",
-                     F.col("scan_limit")))
-        .branch(F.lit(True), CONFIRMED, "within bounds",
-                _say("all %d values lie from %s to %s",
-                     F.col("row_count"), number(seen_low), number(seen_high)))
-        .otherwise("no rubric", "")
-    )
-
-
-def domain_verdict() -> Column:
-    return (
-        F.when(F.col("predicate.values").isNotNull() & F.col("observed_values").isNotNull(),
-               enum_verdict())
-        .when(F.col("predicate.min").isNotNull() | F.col("predicate.max").isNotNull(),
-              bounds_verdict())
-        .otherwise(no_rubric())
-    )
+    return F.expr(_BOUNDS)
 
 
 def deprecated_verdict() -> Column:
-    recent = F.col("recent_queries")
-    log_complete = F.col("scan_limit").isNull() | _false_if_null(
-        F.col("log_rows_scanned") < F.col("scan_limit")
-    )
-    as_of = F.col("as_of")
-    judged = (
-        Rubric()
-        .branch(recent >= RECENT_QUERIES_FLOOR, CONTRADICTED, "still read",
-                _say("stated as no longer used, but read %d times by %d users in the 30 days to %s",
-                     recent, F.col("distinct_users"), as_of))
-        .branch((recent == 0) & ~_false_if_null(F.col("window_rows_any_table") > 0),
-                UNVERIFIABLE, "dead log",
-                _say("the log shows no read of any table in the 30 days to %s", as_of))
-        .branch((recent == 0) & log_complete, CONFIRMED, "silent",
-                _say("no read in the 30 days to %s over the whole log", as_of))
-        .branch(recent == 0, UNVERIFIABLE, "capped log",
-                _say("no read among the first %d log rows; the rest was not seen",
-                     F.col("scan_limit")))
-        .otherwise("few reads",
-                   _say("%d reads in the 30 days to %s are neither silence nor use", recent, as_of))
-    )
-    return F.when(
-        _false_if_null(F.col("predicate.deprecated")) & recent.isNotNull(), judged
-    ).otherwise(no_rubric())
+    return F.expr(_DEPRECATED)
 
 
 def freshness_verdict() -> Column:
-    cadence = F.lower(F.coalesce("predicate.cadence", F.lit("")))
-    days = F.col("days_stale")
-    met, broken = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for name, (met_days, broken_days) in CADENCE_DAYS.items():
-        met = F.when(cadence == name, F.lit(met_days).cast("int")).otherwise(met)
-        broken = F.when(cadence == name, F.lit(broken_days)).otherwise(broken)
-    judged = (
-        Rubric()
-        .branch(~scan_complete(), UNVERIFIABLE, "capped scan",
-                _say("only the first %d rows were read; newer values may follow",
-                     F.col("scan_limit")))
-        .branch(days >= broken, CONTRADICTED, "stale",
-                _say("stated as %s, but the newest value (%s in %s) is %d days old on %s",
-                     cadence, F.col("latest_value"), F.col("latest_column"), days, F.col("as_of")))
-        .branch(met.isNull(), UNVERIFIABLE, "finer than a day",
-                _say("dates cannot prove the %s cadence", cadence))
-        .branch(~_false_if_null(F.col("temporal_column_count") == 1), UNVERIFIABLE,
-                "several date columns",
-                _say("any of %d date columns could be the refresh marker",
-                     F.col("temporal_column_count")))
-        .branch((days >= 0) & (days <= met), CONFIRMED, "fresh",
-                _say("the newest value is %d days old on %s, as %s allows",
-                     days, F.col("as_of"), cadence))
-        .otherwise("between the bands",
-                   _say("%d days is neither fresh nor stale for the %s cadence", days, cadence))
-    )
-    return F.when(broken.isNotNull() & days.isNotNull(), judged).otherwise(no_rubric())
+    return F.expr(_FRESHNESS)
 
 
 def verdict() -> Column:
-    """Dispatch on the claim type; a probe error decides nothing."""
-    error = F.col("probe_error")
-    kind = F.col("claim_type")
-    failed = Rubric._finding(
-        UNVERIFIABLE, "probe error", F.concat(F.lit("could not be measured: "), error)
-    )
-    return (
-        F.when(error.isNotNull(), failed)
-        .when(kind == UNIT_SCALE, unit_verdict())
-        .when(kind == COMPLETENESS, never_null_verdict())
-        .when(kind == FRESHNESS, freshness_verdict())
-        .when(kind == DOMAIN_ENUM, domain_verdict())
-        .when(kind == DEPRECATION_USAGE, deprecated_verdict())
-        .otherwise(no_rubric())
-    )
+    return F.expr(_VERDICT)

@@ -131,34 +131,56 @@ def probe_errors(routed: DataFrame, columns: DataFrame) -> DataFrame:
 # --- one scan for everything with constant state -----------------------------
 
 
-def _median_position(v: Column, name: str) -> list[Column]:
-    out = []
+def _unit_aggregates(c: str) -> list[str]:
+    """Shares of whole values and of hundredths, and where the thresholds lie.
+
+    With the number of values at or below a threshold, the largest of them and
+    the smallest above it, the median's side is known without the median.
+    """
+    v = f"cast(`{c}` as double)"
+    out = [
+        f"avg(case when {v} = rint({v}) then 1D when {v} is not null then 0D end) as `{c}__int`",
+        f"avg(case when {v} * 100 = rint({v} * 100) then 1D when {v} is not null then 0D end) "
+        f"as `{c}__centi`",
+    ]
     for t in MEDIAN_THRESHOLDS:
         out += [
-            F.count_if(v <= t).alias(f"{name}__le{t}"),
-            F.max(F.when(v <= t, v)).alias(f"{name}__lo{t}"),
-            F.min(F.when(v > t, v)).alias(f"{name}__hi{t}"),
+            f"count_if({v} <= {t}) as `{c}__le{t}`",
+            f"max(case when {v} <= {t} then {v} end) as `{c}__lo{t}`",
+            f"min(case when {v} > {t} then {v} end) as `{c}__hi{t}`",
         ]
     return out
 
 
-def _above(name: str, n: Column, t: int) -> Column:
-    """median > t, from the number of values at or below t.
-
-    Only when exactly half lie there does the median fall between the two
-    sides, and then it is the mean of their neighbours.
-    """
-    at_or_below = F.col(f"{name}__le{t}")
-    middle = (F.col(f"{name}__lo{t}") + F.col(f"{name}__hi{t}")) / 2.0
-    return F.when(n > 0, F.when(at_or_below * 2 == n, middle > t).otherwise(at_or_below * 2 < n))
-
-
-def _share(condition: Column, v: Column) -> Column:
-    return F.avg(F.when(v.isNotNull(), F.when(condition, F.lit(1.0)).otherwise(F.lit(0.0))))
+def _above(c: str, t: int) -> str:
+    """median > t. Only when exactly half the values lie at or below t does the
+    median fall between the two sides; then it is the mean of their neighbours."""
+    n, low = f"`{c}__n`", f"`{c}__le{t}`"
+    return (
+        f"case when {n} > 0 then case when {low} * 2 = {n} "
+        f"then (`{c}__lo{t}` + `{c}__hi{t}`) / 2 > {t} else {low} * 2 < {n} end end"
+    )
 
 
-def _whole(v: Column) -> Column:
-    return v == F.rint(v)
+def _profile_row(kind: str, c: str) -> str:
+    """One (probe, column) row of the profile out of the one wide aggregate row."""
+    is_unit, ranged, nulls = kind == UNIT, kind in (UNIT, BOUNDS), kind == NULLS
+    no_double = "cast(null as double)"
+    fields = {
+        "probe_kind": f"'{kind}'",
+        "field_path": f"'{c}'",
+        "rows_scanned": "rows_scanned",
+        "row_count": "rows_scanned" if nulls else f"`{c}__n`",
+        "null_share": f"case when rows_scanned > 0 then (rows_scanned - `{c}__n`) / rows_scanned end"
+        if nulls else no_double,
+        "min_value": f"`{c}__min`" if ranged else no_double,
+        "max_value": f"`{c}__max`" if ranged else no_double,
+        "integer_share": f"`{c}__int`" if is_unit else no_double,
+        "centi_integer_share": f"`{c}__centi`" if is_unit else no_double,
+    }
+    for t in MEDIAN_THRESHOLDS:
+        fields[f"median_above_{t}"] = _above(c, t) if is_unit else "cast(null as boolean)"
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
 def fused_profile(
@@ -172,54 +194,22 @@ def fused_profile(
     columns are read. The aggregates are sums, counts and extrema, so the
     scan stays in whole-stage codegen and each task sends one row.
     """
-    units = list(dict.fromkeys(needs.get(UNIT, ())))
-    nulls = list(dict.fromkeys(needs.get(NULLS, ())))
-    bounds = list(dict.fromkeys(needs.get(BOUNDS, ())))
-    measured = list(dict.fromkeys([*units, *nulls, *bounds]))
-    aggregates = [F.count("*").alias("rows_scanned")]
-    for c in measured:
-        aggregates.append(F.count(F.col(c)).alias(f"{c}__n"))
-    for c in dict.fromkeys([*units, *bounds]):
-        v = F.col(c).cast("double")
-        aggregates += [F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
-    for c in units:
-        v = F.col(c).cast("double")
-        aggregates += [
-            _share(_whole(v), v).alias(f"{c}__int"),
-            _share(_whole(v * 100), v).alias(f"{c}__centi"),
-            *_median_position(v, c),
-        ]
-    wide = bounded_scan(df.select(*measured) if measured else df, scan_limit).agg(*aggregates)
-
-    rows, total = F.col("rows_scanned"), F.col("rows_scanned")
-    no_double, no_flag = F.lit(None).cast("double"), F.lit(None).cast("boolean")
-
-    def _row(kind: str, c: str) -> Column:
-        n = F.col(f"{c}__n")
-        is_unit, ranged = kind == UNIT, kind in (UNIT, BOUNDS)
-        return F.struct(
-            F.lit(kind).alias("probe_kind"),
-            F.lit(c).alias("field_path"),
-            rows.alias("rows_scanned"),
-            (total if kind == NULLS else n).alias("row_count"),
-            (F.when(total > 0, (total - n) / total) if kind == NULLS else no_double).alias(
-                "null_share"
-            ),
-            (F.col(f"{c}__min") if ranged else no_double).alias("min_value"),
-            (F.col(f"{c}__max") if ranged else no_double).alias("max_value"),
-            (F.col(f"{c}__int") if is_unit else no_double).alias("integer_share"),
-            (F.col(f"{c}__centi") if is_unit else no_double).alias("centi_integer_share"),
-            *[
-                (_above(c, n, t) if is_unit else no_flag).alias(f"median_above_{t}")
-                for t in MEDIAN_THRESHOLDS
-            ],
-        )
-
-    out = [_row(UNIT, c) for c in units]
-    out += [_row(NULLS, c) for c in nulls]
-    out += [_row(BOUNDS, c) for c in bounds]
-    return wide.select(F.inline(F.array(*out))).withColumn(
-        "scan_limit", _limit_column(scan_limit)
+    wanted = {k: list(dict.fromkeys(needs.get(k, ()))) for k in (UNIT, NULLS, BOUNDS)}
+    measured = list(dict.fromkeys(c for columns in wanted.values() for c in columns))
+    ranged = list(dict.fromkeys([*wanted[UNIT], *wanted[BOUNDS]]))
+    aggregates = ["count(*) as rows_scanned"]
+    aggregates += [f"count(`{c}`) as `{c}__n`" for c in measured]
+    for c in ranged:
+        aggregates.append(f"min(cast(`{c}` as double)) as `{c}__min`")
+        aggregates.append(f"max(cast(`{c}` as double)) as `{c}__max`")
+    for c in wanted[UNIT]:
+        aggregates += _unit_aggregates(c)
+    rows = [_profile_row(kind, c) for kind, columns in wanted.items() for c in columns]
+    return (
+        bounded_scan(df.select(*measured), scan_limit)
+        .selectExpr(*aggregates)
+        .selectExpr(f"inline(array({', '.join(rows)}))")
+        .withColumn("scan_limit", _limit_column(scan_limit))
     )
 
 
