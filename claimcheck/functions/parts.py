@@ -24,28 +24,31 @@ def gather_in_parts(
 ) -> DataFrame:
     """``group + (part, items)``; ``items`` is sorted by ``order`` and then by the item.
 
-    ``unique`` names the columns that tell the rows of a group apart; they
-    decide the part a row falls into, so copies of one text spread as well.
+    Without ``group`` all rows form one list. ``unique`` names the columns that
+    tell the rows of a group apart; they decide the part a row falls into, so
+    copies of one text spread as well.
     """
     weight = F.sum(F.length(item) + F.lit(1))
-    oversized = (
-        rows.groupBy(*group)
-        .agg(weight.alias("_chars"))
-        .where(F.col("_chars") > max_chars)
-        .select(
-            *[F.col(g).alias(f"_g_{g}") for g in group],
-            F.ceil(F.col("_chars") / F.lit(max_chars)).alias("_parts"),
+    needed = F.ceil(F.col("_chars") / F.lit(max_chars)).alias("_parts")
+    if group:
+        oversized = (
+            rows.groupBy(*group)
+            .agg(weight.alias("_chars"))
+            .where(F.col("_chars") > max_chars)
+            .select(*[F.col(g).alias(f"_g_{g}") for g in group], needed)
         )
-    )
-    # The right side holds at most total_chars / max_chars rows and is mostly
-    # empty; AQE then turns the join into a broadcast or removes it.
-    same_group: Column = F.lit(True)
-    for g in group:
-        same_group = same_group & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        # The right side holds at most total_chars / max_chars rows and is mostly
+        # empty; AQE then turns the join into a broadcast or removes it.
+        same_group: Column = F.lit(True)
+        for g in group:
+            same_group = same_group & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        sized = rows.join(oversized, same_group, "left")
+    else:
+        total = rows.agg(weight.alias("_chars")).select(needed).scalar()
+        sized = rows.withColumn("_parts", F.nullif(total, F.lit(0)))
     slot = F.coalesce(F.pmod(F.xxhash64(*unique), F.col("_parts")), F.lit(0))
     return (
-        rows.join(oversized, same_group, "left")
-        .withColumn("part", slot.cast("int"))
+        sized.withColumn("part", slot.cast("int"))
         # spread the parts of one group, whatever partitioning the join left behind
         .repartition(*group, "part")
         .groupBy(*group, "part")

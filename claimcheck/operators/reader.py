@@ -82,10 +82,11 @@ def unanswerable_assets(ledger: DataFrame, lines: DataFrame) -> DataFrame:
 def context_lines(
     descriptions: DataFrame, verdicts: DataFrame, corrections: DataFrame, lines: DataFrame
 ) -> DataFrame:
-    """``(asset_urn, section, key, line)``: every line of every asset's context, dates masked.
+    """``(asset_urn, section, key, source, line)``: every context line, dates masked.
 
-    Section and key give the reading order; nothing is gathered here, so this
-    is the form to use where an asset may be huge.
+    Section and key give the reading order, ``source`` tells equal lines
+    apart. Nothing is gathered here, so this is the form to use where an
+    asset may be huge.
     """
     empty = F.lit("")
     assets = descriptions.select("asset_urn").distinct()
@@ -95,21 +96,24 @@ def context_lines(
     sections = [
         assets.join(table_text, "asset_urn", "left").select(
             "asset_urn", F.lit(TABLE_SECTION).alias("section"), empty.alias("key"),
+            empty.alias("source"),
             F.concat(
                 F.lit("table description: "), F.coalesce(F.trim("description"), empty)
             ).alias("line"),
         ),
         descriptions.where(F.col("field_path").isNotNull()).select(
             "asset_urn", F.lit(COLUMN_SECTION).alias("section"), F.col("field_path").alias("key"),
+            empty.alias("source"),
             F.concat(F.lit("column "), "field_path", F.lit(": "), "description").alias("line"),
         ),
         verdicts.select(
             "asset_urn", F.lit(LEDGER_SECTION).alias("section"), empty.alias("key"),
+            empty.alias("source"),
             F.concat(F.lit(LEDGER_LINE), "verdict").alias("line"),
         ),
         corrections.select(
             "asset_urn", F.lit(CORRECTION_SECTION).alias("section"),
-            F.coalesce("field_path", empty).alias("key"),
+            F.coalesce("field_path", empty).alias("key"), empty.alias("source"),
             F.concat(
                 F.lit("corrected description ("), texts.field_label(F.col("field_path")),
                 F.lit("): "), "description",
@@ -117,6 +121,7 @@ def context_lines(
         ),
         lines.where(F.col("fault").isNull()).select(
             "asset_urn", F.lit(DOSSIER_SECTION).alias("section"), F.col("line").alias("key"),
+            F.col("document_urn").alias("source"),
             F.concat(F.lit("evidence: "), "line").alias("line"),
         ),
     ]
@@ -129,7 +134,8 @@ def context_lines(
 def asset_context(lines: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """``(asset_urn, part, context)``: the context lines as text blocks."""
     return gather_in_parts(
-        lines, ["asset_urn"], ["section", "key"], "line", ["section", "key", "line"], max_chars
+        lines, ["asset_urn"], ["section", "key"], "line",
+        ["section", "key", "source", "line"], max_chars,
     ).select("asset_urn", "part", F.array_join("items", "\n").alias("context"))
 
 

@@ -137,9 +137,9 @@ def score_report(scored: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     ).scalar()
     names = gather_in_parts(
         failed.select(
-            F.lit("failed").alias("kind"), "asset_urn", "field_path", _entry_name().alias("name")
+            "asset_urn", "field_path", _entry_name().alias("name")
         ),
-        ["kind"], ["name"], "name", ["asset_urn", "field_path"], max_chars,
+        [], ["name"], "name", ["asset_urn", "field_path"], max_chars,
     )
     not_extracted = names.select(
         F.lit(after).alias("line_no"), "part",

@@ -92,9 +92,10 @@ RELATIONS = {
             then 'l_unknown' when o_custkey % 4 = 0 then 'o_totalprice'
             when o_custkey % 4 = 1 then 'l_tax' when o_orderkey % 3 = 1 then 'field_1'
             else 'field_' || (o_orderkey % 5) end as field_path from orders""",
-    "customer_columns": """select 'customer_' || c_custkey as table_name, 'field_' || n as
-        column_name, 'string' as data_type from customer, (values (0), (1), (2), (3)) as f(n)
-        where c_nationkey % 5 <> n and c_acctbal > 0""",
+    "customer_columns": " union all ".join(
+        f"select 'customer_' || c_custkey as table_name, 'field_{n}' as column_name, "
+        f"'string' as data_type from customer where c_nationkey % 5 <> {n} and c_acctbal > 0"
+        for n in range(4)),
     "existing_edges": f"""select {URN.format("'order_' || l_orderkey")} as downstream,
         {URN.format("'part_' || l_partkey")} as upstream, l_linenumber as position
         from lineitem where l_returnflag = 'A' union all

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from claimcheck.functions.parts import gather_in_parts
 from claimcheck.operators import (
     catalog, claims, ledger, probes, reader, rollback, score, verdicts,
 )
@@ -685,9 +686,10 @@ def _reader_answers(spark, sf_dir):
     """Two stored answers per customer with findings; some stale, moved or doubled."""
     found = _findings(spark, sf_dir)
     lines = reader.evidence_lines(found)
-    contexts = lines.groupBy("asset_urn").agg(
-        F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines")
-    ).withColumn("k", F.regexp_extract("asset_urn", r"customer_(\d+)", 1).cast("int"))
+    contexts = gather_in_parts(lines, ["asset_urn"], ["line"], "line", ["line"]).select(
+        "asset_urn", F.array_join("items", "\n").alias("lines"),
+        F.regexp_extract("asset_urn", r"customer_(\d+)", 1).cast("int").alias("k"),
+    )
     before = contexts.withColumns({"context": F.lit("table description: "), "view": F.lit(0)})
     after = contexts.withColumns({
         "context": F.concat(
