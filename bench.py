@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from claimcheck.operators import probes
 from claimcheck.session import configure
 from workload.inputs import relation, table
-from workload.queries import FUSED, QUERIES
+from workload.queries import AS_OF, FUSED, QUERIES
 
 HEADLINE = (
     "adjudicate", "fused_profile", "unit_profile", "reconcile_100x", "distinct_values",
@@ -56,11 +56,12 @@ def comparisons(sf_dir: str) -> dict[str, Callable[[SparkSession], list[DataFram
 
     columns = FUSED[probes.UNIT]
     return {
-        "claims_fused": lambda s: [probes.fused_profile(lineitem(s), FUSED)],
+        "claims_fused": lambda s: [probes.fused_profile(lineitem(s), FUSED, as_of=AS_OF)],
         "claims_one_by_one": lambda s: [
             probes.fused_profile(lineitem(s), {kind: [c]})
-            for kind, wanted in FUSED.items() for c in wanted],
-        "claims_fused_capped": lambda s: [probes.fused_profile(lineitem(s), FUSED, 100_000)],
+            for kind, wanted in FUSED.items() for c in wanted]
+            + [probes.freshness_profile(lineitem(s), AS_OF)],
+        "claims_fused_capped": lambda s: [probes.fused_profile(lineitem(s), FUSED, 100_000, AS_OF)],
         "median_side_by_counts": lambda s: [
             probes.fused_profile(lineitem(s), {probes.UNIT: columns})],
         "median_exact_clamped": lambda s: [probes.exact_medians(lineitem(s), columns)],

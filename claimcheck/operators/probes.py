@@ -12,6 +12,7 @@ distinct values, exact medians, reconciliation.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -162,39 +163,81 @@ def _above(c: str, t: int) -> str:
     )
 
 
-def _profile_row(kind: str, c: str) -> str:
-    """One (probe, column) row of the profile out of the one wide aggregate row."""
-    is_unit, ranged, nulls = kind == UNIT, kind in (UNIT, BOUNDS), kind == NULLS
-    no_double = "cast(null as double)"
-    fields = {
-        "probe_kind": f"'{kind}'",
-        "field_path": f"'{c}'",
-        "rows_scanned": "rows_scanned",
-        "row_count": "rows_scanned" if nulls else f"`{c}__n`",
-        "null_share": f"case when rows_scanned > 0 then (rows_scanned - `{c}__n`) / rows_scanned end"
-        if nulls else no_double,
-        "min_value": f"`{c}__min`" if ranged else no_double,
-        "max_value": f"`{c}__max`" if ranged else no_double,
-        "integer_share": f"`{c}__int`" if is_unit else no_double,
-        "centi_integer_share": f"`{c}__centi`" if is_unit else no_double,
-    }
-    for t in MEDIAN_THRESHOLDS:
-        fields[f"median_above_{t}"] = _above(c, t) if is_unit else "cast(null as boolean)"
-    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+# The columns of a profile row and their types; what a probe does not measure is NULL.
+PROFILE_FIELDS = {
+    "probe_kind": "string", "field_path": "string", "rows_scanned": "bigint",
+    "row_count": "bigint", "null_share": "double", "min_value": "double", "max_value": "double",
+    "integer_share": "double", "centi_integer_share": "double",
+    **{f"median_above_{t}": "boolean" for t in MEDIAN_THRESHOLDS},
+    "latest_value": "string", "latest_column": "string", "temporal_column_count": "int",
+    "days_stale": "int", "as_of": "string", "probe_error": "string",
+}
+
+
+def _profile_row(**measured: str) -> str:
+    """One row of the profile out of the one wide aggregate row."""
+    fields = {"rows_scanned": "rows_scanned", **measured}
+    return "named_struct(" + ", ".join(
+        f"'{name}', cast({fields.get(name, 'null')} as {kind})"
+        for name, kind in PROFILE_FIELDS.items()
+    ) + ")"
+
+
+def _column_row(kind: str, c: str) -> str:
+    if kind == NULLS:
+        share = f"case when rows_scanned > 0 then (rows_scanned - `{c}__n`) / rows_scanned end"
+        return _profile_row(probe_kind=f"'{kind}'", field_path=f"'{c}'",
+                            row_count="rows_scanned", null_share=share)
+    measured = {"row_count": f"`{c}__n`", "min_value": f"`{c}__min`", "max_value": f"`{c}__max`"}
+    if kind == UNIT:
+        measured.update(integer_share=f"`{c}__int`", centi_integer_share=f"`{c}__centi`")
+        measured.update({f"median_above_{t}": _above(c, t) for t in MEDIAN_THRESHOLDS})
+    return _profile_row(probe_kind=f"'{kind}'", field_path=f"'{c}'", **measured)
+
+
+def temporal_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if f.dataType.simpleString() in TEMPORAL_TYPES]
+
+
+def _newest(columns: Sequence[str]) -> str:
+    """The newest of the columns' maxima; the first column wins a tie, NULLs never do."""
+    candidates = ", ".join(
+        f"named_struct('d', `{c}__latest`, 'before', {-i}, 'c', '{c}')"
+        for i, c in enumerate(columns)
+    )
+    if not candidates:
+        return "cast(null as struct<d:date,before:int,c:string>)"
+    return f"array_max(filter(array({candidates}), s -> s.d is not null))"
+
+
+def _fresh_row(columns: Sequence[str], as_of: str) -> str:
+    error = (
+        "case when newest is null then 'all date columns are entirely null' end"
+        if columns else "'no date or timestamp column in the table'"
+    )
+    return _profile_row(
+        probe_kind=f"'{FRESH}'", latest_value="newest.d", latest_column="newest.c",
+        temporal_column_count=str(len(columns)),
+        days_stale=f"datediff(date'{as_of}', newest.d)", as_of=f"'{as_of}'", probe_error=error,
+    )
 
 
 def fused_profile(
     df: DataFrame,
     needs: Mapping[str, Sequence[str]],
     scan_limit: int | None = None,
+    as_of: str | None = None,
 ) -> DataFrame:
     """All constant-state measures of a table in one scan, one row per (probe, column).
 
-    ``needs`` maps a probe kind to the columns it is wanted for. Only those
-    columns are read. The aggregates are sums, counts and extrema, so the
-    scan stays in whole-stage codegen and each task sends one row.
+    ``needs`` maps a probe kind to the columns it is wanted for; freshness is
+    about the table and takes whatever date and timestamp columns it has. Only
+    the columns involved are read. The aggregates are sums, counts and
+    extrema, so the scan stays in whole-stage codegen and each task sends one row.
     """
     wanted = {k: list(dict.fromkeys(needs.get(k, ()))) for k in (UNIT, NULLS, BOUNDS)}
+    fresh = FRESH in needs and as_of is not None
+    temporal = temporal_columns(df) if fresh else []
     measured = list(dict.fromkeys(c for columns in wanted.values() for c in columns))
     ranged = list(dict.fromkeys([*wanted[UNIT], *wanted[BOUNDS]]))
     aggregates = ["count(*) as rows_scanned"]
@@ -204,10 +247,14 @@ def fused_profile(
         aggregates.append(f"max(cast(`{c}` as double)) as `{c}__max`")
     for c in wanted[UNIT]:
         aggregates += _unit_aggregates(c)
-    rows = [_profile_row(kind, c) for kind, columns in wanted.items() for c in columns]
+    aggregates += [f"cast(max(`{c}`) as date) as `{c}__latest`" for c in temporal]
+    rows = [_column_row(kind, c) for kind, columns in wanted.items() for c in columns]
+    if fresh:
+        rows.append(_fresh_row(temporal, date.fromisoformat(as_of).isoformat()))
     return (
-        bounded_scan(df.select(*measured), scan_limit)
+        bounded_scan(df.select(*dict.fromkeys([*measured, *temporal])), scan_limit)
         .selectExpr(*aggregates)
+        .selectExpr("*", f"{_newest(temporal)} as newest")
         .selectExpr(f"inline(array({', '.join(rows)}))")
         .withColumn("scan_limit", _limit_column(scan_limit))
     )
@@ -328,33 +375,9 @@ def distinct_values(
 
 def freshness_profile(df: DataFrame, as_of: str, scan_limit: int | None = None) -> DataFrame:
     """The newest DATE or TIMESTAMP value of the table against ``as_of``, one row."""
-    names = [f.name for f in df.schema.fields if f.dataType.simpleString() in TEMPORAL_TYPES]
-    wide = bounded_scan(df.select(*names), scan_limit).agg(
-        F.count("*").alias("rows_scanned"),
-        *[F.max(F.col(c)).cast("date").alias(f"m{i}") for i, c in enumerate(names)],
-    )
-    # newest value; the first column wins a tie
-    candidates = F.filter(
-        F.array(*[
-            F.struct(F.col(f"m{i}").alias("d"), F.lit(-i).alias("rank"), F.lit(c).alias("c"))
-            for i, c in enumerate(names)
-        ]) if names else F.array().cast("array<struct<d:date,rank:int,c:string>>"),
-        lambda s: s["d"].isNotNull(),
-    )
-    newest = F.array_max(candidates)
-    error = F.when(F.lit(not names), "no date or timestamp column in the table").when(
-        newest.isNull(), "all date columns are entirely null"
-    )
-    return wide.select(
-        F.lit(FRESH).alias("probe_kind"),
-        newest["d"].cast("string").alias("latest_value"),
-        newest["c"].alias("latest_column"),
-        F.lit(len(names)).alias("temporal_column_count"),
-        F.datediff(F.lit(as_of).cast("date"), newest["d"]).alias("days_stale"),
-        F.lit(as_of).alias("as_of"),
-        "rows_scanned",
-        _limit_column(scan_limit),
-        error.alias("probe_error"),
+    return fused_profile(df, {FRESH: ()}, scan_limit, as_of).select(
+        "probe_kind", "latest_value", "latest_column", "temporal_column_count", "days_stale",
+        "as_of", "rows_scanned", "scan_limit", "probe_error",
     )
 
 

@@ -33,8 +33,8 @@ def measure_table(
     read only the columns they are about.
     """
     parts = []
-    if any(needs.get(kind) for kind in (probes.UNIT, probes.NULLS, probes.BOUNDS)):
-        profile = probes.fused_profile(df, needs, scan_limit)
+    if needs.keys() - {probes.ENUM}:
+        profile = probes.fused_profile(df, needs, scan_limit, as_of)
         if needs.get(probes.UNIT):
             middle = probes.medians(df, needs[probes.UNIT], scan_limit, median).select(
                 F.lit(probes.UNIT).alias("probe_kind"), "field_path", "median"
@@ -43,8 +43,6 @@ def measure_table(
         parts.append(profile)
     if needs.get(probes.ENUM):
         parts.append(probes.distinct_values(df, needs[probes.ENUM], scan_limit))
-    if probes.FRESH in needs and as_of is not None:
-        parts.append(probes.freshness_profile(df, as_of, scan_limit))
     return _union(parts) if parts else None
 
 
@@ -95,8 +93,6 @@ def measure(
     if measured:
         rows = _union(measured)
         rows = rows.withColumnsRenamed({"probe_kind": "_kind", "field_path": "_column"})
-        if "_column" not in rows.columns:
-            rows = rows.withColumn("_column", F.lit(None).cast("string"))
         parts.append(
             measurable.withColumn("_on", on_column)
             .join(

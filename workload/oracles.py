@@ -327,23 +327,31 @@ _add("freshness_profile", " union all ".join([
 _EMPTY = {c: f"cast(null as double) as {c}" for c in (
     "null_share", "min_value", "max_value", "integer_share", "centi_integer_share")}
 _NO_POSITION = ", ".join(f"cast(null as boolean) as median_above_{t}" for t in (0, 1, 1000))
+_NOT_FRESH = ("cast(null as varchar) as latest_value, cast(null as varchar) as latest_column, "
+              "cast(null as int) as temporal_column_count, cast(null as int) as days_stale")
 _add("fused_profile", " union all ".join(
     [f"""select 'unit' as probe_kind, field_path, rows_scanned, row_count,
       {_EMPTY['null_share']}, min_value, max_value, integer_share, centi_integer_share,
-      median_above_0, median_above_1, median_above_1000 from ({_unit('lineitem', c)})"""
+      median_above_0, median_above_1, median_above_1000, {_NOT_FRESH}
+      from ({_unit('lineitem', c)})"""
      for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
     + [f"""select 'nulls' as probe_kind, '{c}' as field_path, count(*) as rows_scanned,
       count(*) as row_count,
       round(avg(case when {c} is null then 1.0 else 0.0 end), 6) as null_share,
       {_EMPTY['min_value']}, {_EMPTY['max_value']}, {_EMPTY['integer_share']},
-      {_EMPTY['centi_integer_share']}, {_NO_POSITION} from lineitem"""
+      {_EMPTY['centi_integer_share']}, {_NO_POSITION}, {_NOT_FRESH} from lineitem"""
        for c in ("l_orderkey", "l_shipdate", "l_returnflag", "l_tax")]
     + [f"""select 'bounds' as probe_kind, '{c}' as field_path, count(*) as rows_scanned,
       count({c}) as row_count, {_EMPTY['null_share']},
       round(cast(min({c}) as double), 6) as min_value,
       round(cast(max({c}) as double), 6) as max_value,
-      {_EMPTY['integer_share']}, {_EMPTY['centi_integer_share']}, {_NO_POSITION} from lineitem"""
-       for c in ("l_linenumber", "l_quantity", "l_discount")]))
+      {_EMPTY['integer_share']}, {_EMPTY['centi_integer_share']}, {_NO_POSITION}, {_NOT_FRESH}
+      from lineitem"""
+       for c in ("l_linenumber", "l_quantity", "l_discount")]
+    + [f"""select 'freshness' as probe_kind, cast(null as varchar) as field_path, rows_scanned,
+      cast(null as bigint) as row_count, {', '.join(_EMPTY.values())}, {_NO_POSITION},
+      latest_value, latest_column, temporal_column_count, days_stale
+      from ({_fresh('lineitem', 'l_shipdate')})"""]))
 
 _ROUTED = ("routed", f"""select *, {_LAST_NAME} as table_name, case
     when claim_type = 'unit_scale' and field_path is not null then 'unit'

@@ -369,16 +369,19 @@ FUSED = {
     probes.UNIT: UNIT_COLUMNS["lineitem"],
     probes.NULLS: ["l_orderkey", "l_shipdate", "l_returnflag", "l_tax"],
     probes.BOUNDS: ["l_linenumber", "l_quantity", "l_discount"],
+    probes.FRESH: [],
 }
 
 
 @query
 def fused_profile(spark, sf_dir):
-    return probes.fused_profile(table(spark, sf_dir, "lineitem"), FUSED).select(
+    lineitem = table(spark, sf_dir, "lineitem")
+    return probes.fused_profile(lineitem, FUSED, as_of=AS_OF).select(
         "probe_kind", "field_path", "rows_scanned", "row_count",
         *[six(c) for c in ("null_share", "min_value", "max_value", "integer_share",
                            "centi_integer_share")],
         "median_above_0", "median_above_1", "median_above_1000",
+        "latest_value", "latest_column", "temporal_column_count", "days_stale",
     )
 
 
