@@ -20,13 +20,18 @@ class Publication:
     ledger: str
     corrections: str
     incidents: str
+    resolved: str
+
+
+LEGS = ("findings", "dossiers", "ledger", "corrections", "incidents", "resolved")
 
 
 def publish_run(
     findings: DataFrame,
     descriptions: DataFrame,
     usage: DataFrame,
-    open_incidents: DataFrame,
+    incidents: DataFrame,
+    refused_references: DataFrame,
     folder: str,
     run_date: str,
     author: str = AUTHOR,
@@ -34,11 +39,12 @@ def publish_run(
     """Each leg reads what the leg before has written, so nothing cites missing evidence.
 
     A Spark write is all or nothing: a leg that fails raises and stops those
-    after it, and repeating the run replaces its partition only.
+    after it, and repeating the run replaces its partition only. The findings
+    are written first of all, which also keeps their lineage from being run
+    again for every leg.
     """
     spark = findings.sparkSession
-    out = Publication(*[f"{folder}/{leg}" for leg in
-                        ("findings", "dossiers", "ledger", "corrections", "incidents")])
+    out = Publication(*[f"{folder}/{leg}" for leg in LEGS])
     write_run(findings, out.findings, run_date)
     judged = read_run(spark, out.findings, run_date).drop("run_date")
 
@@ -54,6 +60,8 @@ def publish_run(
     write_run(corrected, out.corrections, run_date)
 
     drafts = ledger.incident_drafts(judged, usage, run_date, author)
-    raised = ledger.incidents_to_raise(drafts, open_incidents).where(~F.col("already_open"))
+    raised = ledger.incidents_to_raise(drafts, incidents).where(~F.col("already_open"))
     write_run(raised, out.incidents, run_date)
+    resolved = ledger.incidents_to_resolve(incidents, judged, drafts, refused_references, author)
+    write_run(resolved, out.resolved, run_date)
     return out

@@ -12,7 +12,6 @@ SETTINGS = {
     # split a hot key even where the grouping after the join then shuffles once more
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_run(df: DataFrame, path: str, run_date: str) -> None:
-    """Write one run. Only the partition of ``run_date`` is replaced, so it can be repeated."""
-    (
-        df.withColumn("run_date", F.lit(run_date).cast("date"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_date")
-        .parquet(path)
-    )
+    """Write one run as the partition of its date, replacing an earlier one.
+
+    The partition's folder is written as such: a run without rows then still
+    leaves a (typed, empty) partition, instead of the rows of the run before.
+    """
+    day = date.fromisoformat(run_date).isoformat()
+    df.write.mode("overwrite").parquet(f"{path}/run_date={day}")
 
 
 def read_run(spark: SparkSession, path: str, run_date: str) -> DataFrame:
