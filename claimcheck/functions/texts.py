@@ -65,8 +65,8 @@ def correction_pattern(author: str = AUTHOR) -> str:
 
 def unwrap_correction(text: Column, author: str = AUTHOR) -> Column:
     """The text one correction replaced, NULL when ``text`` is not exactly one."""
-    pattern = correction_pattern(author)
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
+    quoted = F.regexp_extract_all(text, F.lit(correction_pattern(author)), F.lit(1))
+    return F.get(quoted, F.lit(0))
 
 
 def unwrap_all_corrections(text: Column, author: str = AUTHOR) -> Column:
@@ -80,10 +80,10 @@ def unwrap_all_corrections(text: Column, author: str = AUTHOR) -> Column:
     ).cast("int")
     drained = F.aggregate(
         F.sequence(F.lit(1), F.greatest(layers, F.lit(1))),
-        text,
-        lambda current, _: F.coalesce(unwrap_correction(current, author), current),
+        F.lit(None).cast("string"),
+        lambda found, _: F.coalesce(unwrap_correction(F.coalesce(found, text), author), found),
     )
-    return F.when(text.rlike(correction_pattern(author)), drained)
+    return F.when(F.startswith(text, head), drained)
 
 
 # --- dossiers ----------------------------------------------------------------

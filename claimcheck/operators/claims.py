@@ -49,21 +49,27 @@ def prompt_keys(descriptions: DataFrame, system_prompt: str) -> DataFrame:
 
 
 def replay_completions(prompts: DataFrame, store: DataFrame) -> DataFrame:
-    """Adds ``completion`` or, when none can be trusted, ``extraction_error``."""
+    """Adds ``completion`` or, when none can be trusted, ``extraction_error``.
+
+    Requested and stored prompt are compared by their SHA-256, so that the
+    join does not have to move the stored prompts, nor the requested ones
+    where nothing after it asks for them.
+    """
     stored = store.select(
         "prompt_key",
-        F.col("user_prompt").alias("_stored_prompt"),
+        F.sha2("user_prompt", 256).alias("_stored_digest"),
         F.col("completion").alias("_stored"),
         F.lit(True).alias("_hit"),
     )
     error = F.when(F.col("_hit").isNull(), UNKNOWN_PROMPT).when(
-        ~F.col("_stored_prompt").eqNullSafe(F.col("user_prompt")), PROMPT_MISMATCH
+        ~F.col("_stored_digest").eqNullSafe(F.col("_digest")), PROMPT_MISMATCH
     )
     return (
-        prompts.join(stored, "prompt_key", "left")
+        prompts.withColumn("_digest", F.sha2("user_prompt", 256))
+        .join(stored, "prompt_key", "left")
         .withColumn("extraction_error", error)
         .withColumn("completion", F.when(F.col("extraction_error").isNull(), F.col("_stored")))
-        .drop("_stored_prompt", "_stored", "_hit")
+        .drop("_digest", "_stored_digest", "_stored", "_hit")
     )
 
 

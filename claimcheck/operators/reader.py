@@ -29,35 +29,48 @@ def mask_dates(text: Column) -> Column:
     return F.regexp_replace(text, ISO_DATE, DATE_MASK)
 
 
-def _last_value(lines: Column, name: str) -> Column:
+# Fixed pattern: the lines of a dossier body that make up its evidence line.
+_DOSSIER_PART = r"(?m)^- (?:Field|Verdict|Rationale): .+$"
+
+
+def _last_value(parts: Column, name: str) -> Column:
+    """The value of the last part of that name; NULL when absent or blank."""
     head = f"- {name}: "
-    hits = F.filter(lines, lambda line: line.startswith(head))
-    value = F.trim(F.substr(F.try_element_at(hits, F.lit(-1)), F.lit(len(head) + 1)))
-    return F.nullif(value, F.lit(""))
+    last = F.try_element_at(F.filter(parts, lambda p: p.startswith(head)), F.lit(-1))
+    return F.regexp_extract(last, r"^- \w+:\s+(\S.*?)\s*$", 1)
 
 
 def dossier_lines(pointers: DataFrame, documents: DataFrame) -> DataFrame:
     """One line per document the ledger names: field, verdict and rationale together.
 
     ``fault`` tells why a line cannot be used: the document is absent, or it
-    lacks a part. The parts are found within the row; only the join shuffles.
+    lacks a part. Each body is searched once where it is stored; only the
+    line takes part in the join.
     """
-    lines = F.split("body", r"\r?\n", -1)
-    parsed = documents.select(
-        "document_urn",
-        F.lit(True).alias("_found"),
-        _last_value(lines, "Field").alias("field"),
-        _last_value(lines, "Verdict").alias("verdict"),
-        _last_value(lines, "Rationale").alias("rationale"),
+    parts = F.regexp_extract_all("body", F.lit(_DOSSIER_PART), F.lit(0))
+    parsed = (
+        documents.select("document_urn", parts.alias("_parts"))
+        .select(
+            "document_urn",
+            *[_last_value(F.col("_parts"), name).alias(name.lower())
+              for name in ("Field", "Verdict", "Rationale")],
+        )
+        .select(
+            "document_urn",
+            F.lit(True).alias("_found"),
+            F.when(
+                (F.col("field") != "") & (F.col("verdict") != "") & (F.col("rationale") != ""),
+                F.concat(
+                    F.lit("field="), "field", F.lit("; verdict="), "verdict",
+                    F.lit("; rationale="), "rationale",
+                ),
+            ).alias("line"),
+        )
     )
     named = pointers.select("asset_urn", "document_urn").distinct()
-    line = F.concat(
-        F.lit("field="), "field", F.lit("; verdict="), "verdict",
-        F.lit("; rationale="), "rationale",
-    )
-    fault = F.when(F.col("_found").isNull(), "absent").when(line.isNull(), "incomplete")
+    fault = F.when(F.col("_found").isNull(), "absent").when(F.col("line").isNull(), "incomplete")
     return named.join(parsed, "document_urn", "left").select(
-        "asset_urn", "document_urn", line.alias("line"), fault.alias("fault")
+        "asset_urn", "document_urn", "line", fault.alias("fault")
     )
 
 
