@@ -21,12 +21,14 @@ def gather_in_parts(
     item: str,
     unique: Sequence[str],
     max_chars: int = MAX_CHARS,
+    pinned: str | None = None,
 ) -> DataFrame:
     """``group + (part, items)``; ``items`` is sorted by ``order`` and then by the item.
 
     Without ``group`` all rows form one list. ``unique`` names the columns that
     tell the rows of a group apart; they decide the part a row falls into, so
-    copies of one text spread as well.
+    copies of one text spread as well. Rows whose ``pinned`` column is true stay
+    in part 0 (a heading, one per group).
     """
     weight = F.sum(F.length(item) + F.lit(1))
     needed = F.ceil(F.col("_chars") / F.lit(max_chars)).alias("_parts")
@@ -47,6 +49,8 @@ def gather_in_parts(
         total = rows.agg(weight.alias("_chars")).select(needed).scalar()
         sized = rows.withColumn("_parts", F.nullif(total, F.lit(0)))
     slot = F.coalesce(F.pmod(F.xxhash64(*unique), F.col("_parts")), F.lit(0))
+    if pinned is not None:
+        slot = F.when(F.col(pinned), 0).otherwise(slot)
     return (
         sized.withColumn("part", slot.cast("int"))
         # spread the parts of one group, whatever partitioning the join left behind

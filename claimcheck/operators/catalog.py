@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimcheck.functions import urns
 from claimcheck.functions.parts import MAX_CHARS, gather_in_parts
+from claimcheck.session import small_frame
 
 # Catalog names of the column types.
 CATALOG_TYPES = {
@@ -60,13 +61,15 @@ def asset_parts(assets: DataFrame) -> DataFrame:
 
 def schema_rows(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
     """``(table_name, ordinal, column_name, data_type)`` from the schemas alone."""
-    rows = [
-        (name, i, field.name, field.dataType.simpleString())
-        for name, df in tables.items()
-        for i, field in enumerate(df.schema.fields, start=1)
-    ]
-    return spark.createDataFrame(
-        rows, "table_name string, ordinal int, column_name string, data_type string"
+    return small_frame(
+        spark,
+        "table_name:string,ordinal:int,column_name:string,data_type:string",
+        [
+            {"table_name": name, "ordinal": i, "column_name": field.name,
+             "data_type": field.dataType.simpleString()}
+            for name, df in tables.items()
+            for i, field in enumerate(df.schema.fields, start=1)
+        ],
     )
 
 

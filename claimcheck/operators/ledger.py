@@ -62,20 +62,31 @@ def verdict_summary(findings: DataFrame, max_chars: int = MAX_CHARS) -> DataFram
     An asset with more reasons than one task should hold continues in further parts.
     """
     reasons = findings.where(F.col("verdict") == UNVERIFIABLE).select(
-        "asset_urn", "field_path", "pos",
+        "asset_urn", F.lit(False).alias("is_tally"), "field_path", "pos",
         F.concat(
             F.lit("unverifiable "), texts.field_label(F.col("field_path")), F.lit(": "),
             F.coalesce("rationale", F.lit("")),
-        ).alias("reason"),
+        ).alias("entry"),
+    )
+    tallies = verdict_tally(findings).select(
+        "asset_urn", F.lit(True).alias("is_tally"), F.col("tally").alias("entry")
     )
+    # the tally is the heading of part 0, so it sorts before all reasons
     listed = gather_in_parts(
-        reasons, ["asset_urn"], ["field_path", "pos"], "reason",
-        ["field_path", "pos", "reason"], max_chars,
-    ).select("asset_urn", "part", F.array_join("items", texts.LIST_SEPARATOR).alias("reasons"))
-    heads = verdict_tally(findings).withColumn("part", F.lit(0))
-    return heads.join(listed, ["asset_urn", "part"], "full").select(
+        reasons.unionByName(tallies, allowMissingColumns=True)
+        .withColumn("rank", F.when(F.col("is_tally"), 0).otherwise(1)),
+        ["asset_urn"], ["rank", "field_path", "pos"], "entry", ["field_path", "pos", "entry"],
+        max_chars, pinned="is_tally",
+    )
+    items, is_first = F.col("items"), F.col("part") == 0
+    tally = F.when(is_first, F.element_at(items, 1))
+    open_fields = F.when(is_first, F.slice(items, F.lit(2), F.size(items))).otherwise(items)
+    return listed.select(
         "asset_urn", "part",
-        F.concat_ws(texts.SUMMARY_SEPARATOR, "tally", "reasons").alias("summary"),
+        F.concat_ws(
+            texts.SUMMARY_SEPARATOR, tally,
+            F.nullif(F.array_join(open_fields, texts.LIST_SEPARATOR), F.lit("")),
+        ).alias("summary"),
     )
 
 

@@ -17,6 +17,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimcheck.functions import urns
+from claimcheck.session import small_frame
 from claimcheck.vocabulary import (
     COMPLETENESS, DEPRECATION_USAGE, DISTINCT_CAP, DOMAIN_ENUM, FRESHNESS, RATIO_TARGET,
     RATIO_TOLERANCE, UNIT_SCALE, USAGE_WINDOW_DAYS,
@@ -358,7 +359,7 @@ def distinct_values(
         .agg(F.sort_array(F.collect_list("v")).alias("firsts"))
     )
     extent = wanted.agg(F.count("*").alias("n")).scalar()
-    asked = df.sparkSession.createDataFrame([(c,) for c in columns], "field_path string")
+    asked = small_frame(df.sparkSession, "field_path:string", [{"field_path": c} for c in columns])
     firsts = F.coalesce("firsts", F.array().cast("array<string>"))
     return asked.join(found, "field_path", "left").select(
         F.lit(ENUM).alias("probe_kind"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from claimcheck.functions import texts, urns
 from claimcheck.functions.parts import MAX_CHARS, gather_in_parts
+from claimcheck.session import small_frame
 from claimcheck.vocabulary import CLAIM_TYPES, CONTRADICTED
 
 CAUGHT, MISSED, FALSE_POSITIVE, CLEAN, UNSCORED = (
@@ -92,8 +93,8 @@ def score_table(scored: DataFrame) -> DataFrame:
     entries = scored.select(
         "claim_type", *[flags[c].cast("bigint").alias(c) for c in COUNTS]
     )
-    every_type = scored.sparkSession.createDataFrame(
-        [(t,) for t in CLAIM_TYPES], "claim_type string"
+    every_type = small_frame(
+        scored.sparkSession, "claim_type:string", [{"claim_type": t} for t in CLAIM_TYPES]
     ).select("claim_type", *[F.lit(0).cast("bigint").alias(c) for c in COUNTS])
     return (
         entries.unionByName(every_type)
@@ -115,8 +116,9 @@ def _entry_name() -> Column:
 def score_report(scored: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """``(line_no, part, line)``: the table and its disclosures as text lines in order."""
     spark = scored.sparkSession
-    head = spark.createDataFrame(
-        [(i, 0, line) for i, line in enumerate(TABLE_HEAD)], "line_no int, part int, line string"
+    head = small_frame(
+        spark, "line_no:int,part:int,line:string",
+        [{"line_no": i, "part": 0, "line": line} for i, line in enumerate(TABLE_HEAD)],
     )
     order = {name: i + len(TABLE_HEAD) for i, name in enumerate((*CLAIM_TYPES, TOTAL))}
     position = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_frame(
+    spark: SparkSession, fields: str, rows: Iterable[Mapping[str, object]]
+) -> DataFrame:
+    """Rows the driver already holds, as a relation the planner knows to be small.
+
+    Unlike with a parallelised list, a join with them is planned as a broadcast
+    from the start and the other side is not shuffled first. Their size is
+    bounded by what they describe (schemas, column lists), never by data.
+    ``fields`` is ``name:type,...``.
+    """
+    query = f"select inline(from_json(:rows, 'array<struct<{fields}>>'))"
+    return spark.sql(query, args={"rows": json.dumps(list(rows))})
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise in the cluster's shared checkpoint folder.
 
