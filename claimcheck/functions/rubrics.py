@@ -80,9 +80,9 @@ _MONEY = _decide(
               "100 times its reference", "upper(predicate.unit)", _number("median"))),
         (_CENTS, UNVERIFIABLE, "cents not corroborated",
          _say("whole numbers with median %s look like cents, but the reference does not "
-              "bear it out on every key (matched %d of %d, joined %d, at ratio %s)",
-              _number("median"), "recon_matched_keys", "recon_suspect_keys", "recon_joined",
-              _number("coalesce(recon_ratio_share, 0)"))),
+              "bear it out on every key (matched %d of %d, joined %s, at ratio %s)",
+              _number("median"), "recon_matched_keys", "recon_suspect_keys",
+              "cast(recon_joined as string)", _number("coalesce(recon_ratio_share, 0)"))),
         (f"1 - integer_share >= {DOLLAR_FRACTION_FLOOR} and median_above_0 "
          f"and not median_above_{DOLLAR_MEDIAN_CEILING}", CONFIRMED, "major units",
          _say("fractional values with median %s fit %s (whole-number share %s)",

@@ -446,6 +446,11 @@ def usage_window(
 # --- reconciliation ----------------------------------------------------------
 
 
+def _product(left: str, right: str) -> Column:
+    """Two row counts multiplied; for a hot key that exceeds a BIGINT."""
+    return F.col(left).cast("decimal(19,0)") * F.col(right).cast("decimal(19,0)")
+
+
 def reconcile_100x(
     suspect: DataFrame,
     reference: DataFrame,
@@ -491,7 +496,7 @@ def reconcile_100x(
     shape = per_key.agg(
         F.struct(
             F.coalesce(
-                F.sum(F.when(F.col("k").isNotNull(), F.col("ls") * F.col("rs"))), nothing
+                F.sum(F.when(F.col("k").isNotNull(), _product("ls", "rs"))), nothing
             ).alias("joined"),
             F.count_if(F.col("k").isNotNull() & (F.col("ls") > 0) & (F.col("rs") > 0)).alias(
                 "matched"
@@ -534,7 +539,7 @@ def reconcile_100x(
             F.sum(
                 F.when(
                     F.abs(F.col("v") / F.col("r") - RATIO_TARGET) <= RATIO_TOLERANCE,
-                    F.col("n") * F.col("m"),
+                    _product("n", "m"),
                 )
             ),
             nothing,
@@ -545,7 +550,9 @@ def reconcile_100x(
     return partners.select(
         joined.alias("recon_joined"),
         shape.getField("matched").alias("recon_matched_keys"),
-        F.when(joined > 0, F.col("at_ratio") / joined).alias("recon_ratio_share"),
+        F.when(joined > 0, F.col("at_ratio").cast("double") / joined.cast("double")).alias(
+            "recon_ratio_share"
+        ),
         shape.getField("keys").alias("recon_suspect_keys"),
         shape.getField("rows").alias("recon_suspect_rows"),
         reference_rows.alias("recon_reference_rows"),

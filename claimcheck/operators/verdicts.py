@@ -25,7 +25,7 @@ MEASURES = {
     "centi_integer_share": "double",
     "min_value": "double",
     "max_value": "double",
-    "recon_joined": "bigint",
+    "recon_joined": "decimal(38,0)",
     "recon_matched_keys": "bigint",
     "recon_suspect_keys": "bigint",
     "recon_suspect_rows": "bigint",

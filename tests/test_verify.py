@@ -296,3 +296,11 @@ def test_reconciliation_counts_equal_the_joined_pairs(spark):
     assert got["recon_ratio_share"] == pytest.approx(pairs[2], abs=1e-12)
     assert got["recon_suspect_keys"] == 6
     assert got["recon_reference_rows"] == 500
+
+
+def test_reconciliation_counts_beyond_a_bigint(spark):
+    """Counts of a key are multiplied, so more joined rows than a BIGINT holds are no trouble."""
+    counts = spark.range(1).select(
+        F.lit(4_000_000_000).cast("bigint").alias("a"), F.lit(9_000_000_000).cast("bigint").alias("b"))
+    product = counts.select(probes._product("a", "b").alias("p")).agg(F.sum("p")).first()[0]
+    assert int(product) == 36 * 10**18

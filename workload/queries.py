@@ -289,7 +289,8 @@ def reconcile_100x(spark, sf_dir):
     return _per_table({
         name: probes.reconcile_100x(*run) for name, run in runs.items()
     }).select(
-        F.col("table_name").alias("run"), "recon_joined", "recon_matched_keys",
+        F.col("table_name").alias("run"), F.col("recon_joined").cast("bigint").alias("recon_joined"),
+        "recon_matched_keys",
         six("recon_ratio_share"), "recon_suspect_keys", "recon_suspect_rows",
         "recon_reference_rows",
     )
