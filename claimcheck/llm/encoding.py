@@ -9,17 +9,19 @@ dictionary of bounded size that starts anew when it is full.
 from __future__ import annotations
 
 import os
+import re
 
-CACHED_WORDS = 800_000
+#: A space at either end of a text or beside other white space.
+BESIDE = re.compile(r" \s|\s |\A\s|\s\Z")
+CACHED_WORDS = 1_600_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def words_of(text: str) -> list[str]:
     """The text cut at every space that has no white space beside it; joined by spaces they give it back."""
     parts = text.split(" ")
-    if all(parts) and not text[:1].isspace() and not text[-1:].isspace() and "\n " not in text and " \n" not in text:
-        if not any(p[0].isspace() or p[-1].isspace() for p in parts):
-            return parts
+    if not BESIDE.search(text):
+        return parts
     joined = [parts[0]]
     for part in parts[1:]:
         left = joined[-1]
@@ -44,10 +46,11 @@ class WordEncoder:
         out = []
         for at in range(0, len(texts), 200):
             cut = [words_of(t) if t else [] for t in texts[at : at + 200]]
-            self._learn(self.first, "", {words[0] for words in cut if words})
-            self._learn(self.later, " ", {w for words in cut for w in words[1:]})
-            first, later = self.first, self.later
-            out += [b"".join([first[words[0]], *map(later.__getitem__, words[1:])]) if words else b"" for words in cut]
+            heads = [words.pop(0) if words else None for words in cut]
+            self._learn(self.first, "", set(heads) - {None})
+            self._learn(self.later, " ", set().union(*cut))
+            first, later = self.first, self.later.__getitem__
+            out += [b"" if head is None else first[head] + b"".join(map(later, words)) for head, words in zip(heads, cut, strict=True)]
         return out
 
     def _learn(self, known: dict[str, bytes], prefix: str, words: set[str]) -> None:
