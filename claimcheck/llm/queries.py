@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimcheck.llm import bitplanes, merge_queue, packing, permutation_index, robust_outliers, wrapper
+from claimcheck.llm import bitplanes, hash_forest, merge_queue, packing, permutation_index, robust_outliers, wrapper
 from claimcheck.llm.common import shared_folder, ship_library
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query
+def op6_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages"))
