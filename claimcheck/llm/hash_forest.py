@@ -143,6 +143,16 @@ def join(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int = T
     return linked.unionByName(blank.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """One document of each class, that of the least doc_id, with all its columns; a repeated row stays once.
+
+    Documents without words and rows without doc_id stay.
+    """
+    classes = join(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    same = F.col("doc_id").cast("long") == F.col("kept_id")
+    return docs.join(classes, same, "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def _verified(texts: DataFrame, nodes: DataFrame, near: DataFrame, threshold: float, words: int) -> DataFrame:
     """node, other (null or a node of its component) and links (linked documents) from each unit of work."""
     near = written(near)

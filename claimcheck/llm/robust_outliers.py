@@ -65,17 +65,18 @@ def repeated_words(words: Column) -> Column:
     return _bound(words, lambda w: F.when(F.size(w) >= 3, of(w)).otherwise(F.lit(0).cast("long")))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, language, source and the counts of each text; a null text has no words."""
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+def statistics(docs: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, language, source and the counts of each text, after the carried columns; a null text has no words."""
+    rows = docs.select(*carried, docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), text.alias("text"))
     words = F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), _counts)[0]
-    return rows.select(
-        "doc_id", "lang", "source", words.alias("w"),
+    kept = [c for c in rows.columns if c != "text"]
+    counted = rows.select(
+        *kept, words.alias("w"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
-    ).select("doc_id", "lang", "source", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
+    )
+    return counted.select(*kept, "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
 
 
 def _counts(w: Column) -> Column:
@@ -156,6 +157,15 @@ def estimates(rows: DataFrame) -> DataFrame:
     return found.withColumn("rank", rank).where("rank = 1").drop("rank", "start")
 
 
+def _judged(docs: DataFrame, *carried: Column) -> DataFrame:
+    rows = written(statistics(docs, *carried).withColumn("base_failed", base_failed()).select("*", *transformed()))
+    group = written(estimates(rows.where("not base_failed").select("doc_id", "lang", "source", *[f"x{i}" for i in DIMENSIONS])))
+    group = group.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
+    both = rows.join(group, rows["lang"].eqNullSafe(F.col("g_lang")) & rows["source"].eqNullSafe(F.col("g_source")), "left")
+    far = F.coalesce((F.col("total") >= LEAST_ROWS) & (distance() > CUTOFF), F.lit(False))
+    return both.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """The counts of every document, base_failed and kept.
 
@@ -163,9 +173,10 @@ def judged(docs: DataFrame) -> DataFrame:
     source, null being a value of its own; in groups of fewer than LEAST_ROWS rows the method rejects
     nothing. Repeated rows and ids are judged each on its own. An empty table gives no rows.
     """
-    rows = written(statistics(docs).withColumn("base_failed", base_failed()).select("*", *transformed()))
-    group = written(estimates(rows.where("not base_failed"))).withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    both = rows.join(group, rows["lang"].eqNullSafe(F.col("g_lang")) & rows["source"].eqNullSafe(F.col("g_source")), "left")
-    far = F.coalesce((F.col("total") >= LEAST_ROWS) & (distance() > CUTOFF), F.lit(False))
-    counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return both.select(*counts, (~F.col("base_failed") & ~far).alias("kept"))
+    return _judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are kept."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    return _judged(docs, row).where("kept").select("row.*")
