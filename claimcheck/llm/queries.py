@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimcheck.llm import bitplanes, chaining, hash_forest, merge_queue, packing, permutation_index, robust_outliers, wrapper
+from claimcheck.llm import bitplanes, chaining, hash_forest, interval_expansion, merge_queue, packing, permutation_index, robust_outliers, wrapper
 from claimcheck.llm.common import shared_folder, ship_library
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,12 @@ def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op8_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = interval_expansion.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.digest(chaining.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text")))
