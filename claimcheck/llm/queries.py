@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimcheck.llm import bitplanes, chaining, hash_forest, interval_expansion, merge_queue, packing, permutation_index, robust_outliers, wrapper
+from claimcheck.llm import bitplanes, chaining, hash_forest, interval_expansion, merge_queue, packing, permutation_index, pitman_yor, robust_outliers, wrapper
 from claimcheck.llm.common import shared_folder, ship_library
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_ids(spark, folder, bitplanes.crc_of_ids, "ids_crc32 long")
 
 
+@query
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_merge_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_queue.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
