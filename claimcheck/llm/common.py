@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,39 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/llm-{uuid.uuid4().hex}"
 
 
+_TEMPORARY: list[list[str]] = []
+
+
+def tidy(function):
+    """The function's result, written; the tables that it wrote on the way are deleted."""
+
+    @wraps(function)
+    def run(*args, **options):
+        _TEMPORARY.append([])
+        try:
+            result = function(*args, **options)
+            folders = _TEMPORARY[-1]
+            _TEMPORARY[-1] = []
+            result = written(result)
+            kept = _TEMPORARY[-1]
+        finally:
+            _TEMPORARY.pop()
+        if _TEMPORARY:
+            _TEMPORARY[-1] += kept
+        spark = result.sparkSession
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        return result
+
+    return run
+
+
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """The same rows, written to the shared folder and read back: cheap to reread, safe from lost executors."""
     folder = shared_folder(df.sparkSession)
+    if _TEMPORARY:
+        _TEMPORARY[-1].append(folder)
     df.write.option("compression", compression).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.common import written
+from claimcheck.llm.common import tidy, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -21,6 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return both.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
+@tidy
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the least node of its component) of every node with a link; edges are pairs (u, v) of longs."""
     edges = written(edges.where("u != v").select("u", "v").distinct())

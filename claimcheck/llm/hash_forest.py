@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.common import written
+from claimcheck.llm.common import tidy, written
 from claimcheck.llm.components import components
 from claimcheck.llm.shingles import WordHashes, mixed, shingle_set
 
@@ -114,6 +114,7 @@ def _labels(links: np.ndarray) -> np.ndarray:
         label = new
 
 
+@tidy
 def join(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id and n_links of every row of docs.
 
@@ -148,9 +149,19 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
 
     Documents without words and rows without doc_id stay.
     """
-    classes = join(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    same = F.col("doc_id").cast("long") == F.col("kept_id")
-    return docs.join(classes, same, "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    classes = join(docs, **options)
+    gone = _ids(classes.where("doc_id != class_id")).withColumnRenamed("doc_id", "gone_id")
+    again = _ids(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"))
+    stay = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    repeated = again.withColumnRenamed("doc_id", "again_id")
+    same = F.col("doc_id").cast("long") == F.col("again_id")
+    once = stay.join(repeated, same, "left_anti")
+    return once.unionByName(stay.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def _ids(rows: DataFrame) -> DataFrame:
+    """The distinct doc_ids, written: where they are few, Spark sends them instead of shuffling the texts."""
+    return written(rows.select("doc_id").distinct())
 
 
 def _verified(texts: DataFrame, nodes: DataFrame, near: DataFrame, threshold: float, words: int) -> DataFrame:
@@ -169,7 +180,8 @@ def _verified(texts: DataFrame, nodes: DataFrame, near: DataFrame, threshold: fl
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*kept.columns[:2], *kept.columns[3:5], pa.array([s.tobytes() for s, k in zip(found, keep, strict=True) if k], pa.binary())], names=["node", "label", "copies", "blocks", "shingles"])
 
-    with_text = asked.join(texts, "doc_id").select("node", "label", "doc_id", "copies", "blocks", "text")
+    ids = written(asked.select("doc_id").distinct())
+    with_text = asked.join(texts.join(ids, "doc_id", "left_semi"), "doc_id").select("node", "label", "doc_id", "copies", "blocks", "text")
     found = with_text.mapInArrow(sets, "node long, label long, copies long, blocks int, shingles binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = found.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

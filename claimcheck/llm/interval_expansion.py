@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.common import written
+from claimcheck.llm.common import tidy, written
 from claimcheck.llm.shingles import FACTOR, mixed
 
 LENGTH = 400
@@ -164,6 +164,7 @@ def _repeats_of(pieces: DataFrame, length: int) -> DataFrame:
     return spans.union(each.join(twice, ["key", "hash"]).select("key", "content", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
 
 
+@tidy
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """text_hash (xxhash64 of the text) and spans of bytes that repeat, for each text that has some."""
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
@@ -187,7 +188,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             data = [t.as_py().encode()[a : a + n] for a, n, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], names=["key", "content", "key_bytes", "data"])
 
-    with_text = asked.join(texts, "text_hash").select("key", "content", "key_bytes", "start", "size", "text")
+    asked = written(asked)
+    some = written(asked.select("text_hash").distinct())
+    with_text = asked.join(texts.join(some, "text_hash", "left_semi"), "text_hash").select("key", "content", "key_bytes", "start", "size", "text")
     pieces = written(with_text.mapInArrow(take, "key long, content long, key_bytes long, data binary"))
     inner = _repeats_of(pieces, length)
     whole = contents.where("n > 1").select("key", "content", F.lit(0).alias("lo"), "size")
@@ -204,7 +207,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     the same one. A null text counts as empty. Rows of equal text, with or without doc_id, are copies of
     each other; an empty table gives no rows; other columns are ignored.
     """
-    found = written(repeats(docs, length, gram))
+    found = repeats(docs, length, gram)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text")).join(found, "text_hash", "left").select("doc_id", "text", "spans")
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])), pa.binary()]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from claimcheck.llm.common import written
+from claimcheck.llm.common import tidy, written
 
 PIVOTS = 256
 PREFIX = 48
@@ -69,6 +69,7 @@ def footrule_gain(query: np.ndarray, files: tuple[np.ndarray, np.ndarray, np.nda
     return np.bincount(who, weights=gain, minlength=n)
 
 
+@tidy
 def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (cosine) of the k nearest found of each query row.
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.common import shared_folder, shuffle_partitions, written
+from claimcheck.llm.common import shared_folder, shuffle_partitions, tidy, written
 from claimcheck.llm.shingles import WordHashes, mixed
 
 BLOCK_TOKENS = 1_500_000
@@ -214,6 +214,7 @@ def root(state: list[np.ndarray], chain: int, totals: dict) -> np.ndarray:
     return (customers - ROOT_DISCOUNT * own + (ROOT_STRENGTH + ROOT_DISCOUNT * t) / (totals["v"] + 1)) / (ROOT_STRENGTH + n)
 
 
+@tidy
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
 

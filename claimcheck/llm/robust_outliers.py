@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from claimcheck.llm.common import written
+from claimcheck.llm.common import tidy, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Statistics are rounded to this fraction of one.
@@ -139,6 +139,7 @@ def _again() -> list[Column]:
     return [F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in DIMENSIONS], *[F.sum(f"p{i}{j}").alias(f"p{i}{j}") for i, j in PAIRS]]
 
 
+@tidy
 def estimates(rows: DataFrame) -> DataFrame:
     """Centre and covariance of each group (lang, source) of rows (doc_id, lang, source, x0..x3)."""
     group, key = ["lang", "source"], ["lang", "source", "start"]
@@ -157,15 +158,21 @@ def estimates(rows: DataFrame) -> DataFrame:
     return found.withColumn("rank", rank).where("rank = 1").drop("rank", "start")
 
 
-def _judged(docs: DataFrame, *carried: Column) -> DataFrame:
-    rows = written(statistics(docs, *carried).withColumn("base_failed", base_failed()).select("*", *transformed()))
-    group = written(estimates(rows.where("not base_failed").select("doc_id", "lang", "source", *[f"x{i}" for i in DIMENSIONS])))
-    group = group.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
+def _judged(rows: DataFrame, found: DataFrame) -> DataFrame:
+    group = found.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
     both = rows.join(group, rows["lang"].eqNullSafe(F.col("g_lang")) & rows["source"].eqNullSafe(F.col("g_source")), "left")
     far = F.coalesce((F.col("total") >= LEAST_ROWS) & (distance() > CUTOFF), F.lit(False))
     return both.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
+def _measured(docs: DataFrame, *carried: Column) -> DataFrame:
+    return statistics(docs, *carried).withColumn("base_failed", base_failed()).select("*", *transformed())
+
+
+def _learned(rows: DataFrame) -> DataFrame:
+    return estimates(rows.where("not base_failed").select("doc_id", "lang", "source", *[f"x{i}" for i in DIMENSIONS]))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """The counts of every document, base_failed and kept.
 
@@ -173,10 +180,17 @@ def judged(docs: DataFrame) -> DataFrame:
     source, null being a value of its own; in groups of fewer than LEAST_ROWS rows the method rejects
     nothing. Repeated rows and ids are judged each on its own. An empty table gives no rows.
     """
-    return _judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rows = written(_measured(docs))
+    return _judged(rows, _learned(rows)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are kept."""
+    """The rows of docs, with all their columns, that are kept. Statistics are taken twice, so that no text is written."""
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    return _judged(docs, row).where("kept").select("row.*")
+    found = _kept_estimates(docs)
+    return _judged(_measured(docs, row), found).where("kept").select("row.*")
+
+
+@tidy
+def _kept_estimates(docs: DataFrame) -> DataFrame:
+    return _learned(written(_measured(docs)))
