@@ -1,14 +1,12 @@
 """Headline timings, as one JSON line.
 
 ``BENCH_SF_DIR`` (default /root/testdata/sf0.1) and ``BENCH_CPUS`` (default 8)
-choose the data and the cores. Each query runs twice (above 60 seconds once) into
+choose the data and the cores. Each query runs twice into
 a sink that reads every row and keeps none; the faster run counts. Some entries measure
 the same thing in several ways and are not part of the total:
 
 * all claims of a table in one scan, or one query per claim;
-* the complete scan, or the first 100,000 rows only;
-* the side of the median from counts, the exact median by clamping, or from a value map;
-* the reconciliation from counts per key, or from the joined pairs.
+* the side of the median from counts, the exact median by clamping, or from a value map.
 """
 
 from __future__ import annotations
@@ -38,18 +36,6 @@ def _consume(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def _pair_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reconciliation by joining all rows of a key, as a plain query would."""
-    left = relation(spark, sf_dir, "lineitem_hundred").select(
-        F.col("l_suppkey").alias("k"), F.col("hundredfold").alias("v"))
-    right = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("k"), F.col("l_quantity").alias("r"))
-    hit = F.expr("case when r is null or r = 0 then 0D "
-                 "when abs(v / r - 100) <= 1e-6 then 1D else 0D end")
-    return left.join(right, "k").agg(
-        F.count("*").alias("n"), F.count_distinct("k").alias("k"), F.avg(hit).alias("share"))
-
-
 def comparisons(sf_dir: str) -> dict[str, Callable[[SparkSession], list[DataFrame]]]:
     def lineitem(spark):
         return table(spark, sf_dir, "lineitem")
@@ -61,7 +47,6 @@ def comparisons(sf_dir: str) -> dict[str, Callable[[SparkSession], list[DataFram
             probes.fused_profile(lineitem(s), {kind: [c]})
             for kind, wanted in FUSED.items() for c in wanted]
             + [probes.freshness_profile(lineitem(s), AS_OF)],
-        "claims_fused_capped": lambda s: [probes.fused_profile(lineitem(s), FUSED, 100_000, AS_OF)],
         "median_side_by_counts": lambda s: [
             probes.fused_profile(lineitem(s), {probes.UNIT: columns})],
         "median_exact_clamped": lambda s: [probes.exact_medians(lineitem(s), columns)],
@@ -70,7 +55,6 @@ def comparisons(sf_dir: str) -> dict[str, Callable[[SparkSession], list[DataFram
         "reconcile_by_counts": lambda s: [
             probes.reconcile_100x(relation(s, sf_dir, "lineitem_hundred"), lineitem(s),
                                   "l_suppkey", "l_suppkey", "hundredfold", "l_quantity")],
-        "reconcile_by_pairs": lambda s: [_pair_count(s, sf_dir)],
     }
 
 
@@ -94,9 +78,7 @@ def main() -> int:
         if only and name not in only:
             continue
         best = None
-        for attempt in range(2):
-            if attempt and best > 60:
-                break  # long enough that start-up costs no longer matter
+        for _ in range(2):
             start = time.perf_counter()
             for df in build(spark):
                 _consume(df)

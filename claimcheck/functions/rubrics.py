@@ -22,12 +22,15 @@ Branch = tuple[str, str, str, str]
 
 
 def number(value: Column) -> Column:
-    """Fixed four decimals, so texts do not depend on how a double prints."""
-    return value.cast("decimal(38,4)").cast("string")
+    """Fixed four decimals, so texts do not depend on how a double prints.
+
+    What no such decimal holds (NaN, infinity, 10^34 and more) is shown as it prints.
+    """
+    return F.coalesce(value.try_cast("decimal(38,4)").cast("string"), value.cast("string"))
 
 
 def _number(value: str) -> str:
-    return f"cast(cast({value} as decimal(38,4)) as string)"
+    return f"coalesce(cast(try_cast({value} as decimal(38,4)) as string), cast({value} as string))"
 
 
 def _say(template: str, *values: str) -> str:

@@ -197,7 +197,11 @@ def _column_row(kind: str, c: str) -> str:
 
 
 def temporal_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if f.dataType.simpleString() in TEMPORAL_TYPES]
+    """Date and timestamp columns whose names are plain identifiers; others are not looked at."""
+    return [
+        f.name for f in df.schema.fields
+        if f.dataType.simpleString() in TEMPORAL_TYPES and f.name.isascii() and f.name.isidentifier()
+    ]
 
 
 def _newest(columns: Sequence[str]) -> str:
@@ -328,6 +332,14 @@ def bounds_profile(
 # --- distinct values ---------------------------------------------------------
 
 
+def _shown(df: DataFrame, column: str) -> Column:
+    """A value as text, a number without zeros after its last decimal: 1.0 and 1.00 are shown as 1."""
+    text = F.col(column).cast("string")
+    if not df.schema[column].dataType.simpleString().startswith(("double", "float", "decimal")):
+        return text
+    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*[1-9])0+$", "$1"), r"\.0+$", "")
+
+
 def distinct_values(
     df: DataFrame,
     columns: Sequence[str],
@@ -345,7 +357,7 @@ def distinct_values(
     pairs = wanted.select(
         F.inline(
             F.array(*[
-                F.struct(F.lit(c).alias("field_path"), F.col(c).cast("string").alias("v"))
+                F.struct(F.lit(c).alias("field_path"), _shown(wanted, c).alias("v"))
                 for c in columns
             ])
         )

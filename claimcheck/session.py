@@ -40,12 +40,13 @@ def small_frame(
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise in the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without
-    one (a test) gets a fresh temporary folder.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session, where
+    all tasks see one disk, may go without it; on a cluster that is an error.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="claimcheck-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="claimcheck-"))
     return df.checkpoint(eager=True)

@@ -130,6 +130,43 @@ def test_enum_bands(spark):
     assert verdicts(spark, tables, capped, scan_limit=1000) == [U]
 
 
+def test_enumerated_numbers_compare_as_numbers(spark):
+    tables = {
+        "double": table(spark, "cast(1 + id % 2 as double)"),
+        "fraction": table(spark, "0.5D + id % 2"),
+        "decimal": table(spark, "cast(1 + id % 2 as decimal(10,2))"),
+        "integer": table(spark, "cast(1 + id % 2 as int)"),
+        "text": table(spark, "concat(1 + id % 2, '.0')"),
+    }
+    assert verdicts(
+        spark, tables,
+        claim("double", "v", "domain_enum", values=["1", "2"]),
+        claim("fraction", "v", "domain_enum", values=["0.5", "1.5"]),
+        claim("decimal", "v", "domain_enum", values=["1", "2"]),
+        claim("integer", "v", "domain_enum", values=["1", "2"]),
+        claim("text", "v", "domain_enum", values=["1", "2"]),
+    ) == [Y, Y, Y, Y, N]
+
+
+def test_wide_numbers_nan_and_infinity_end_no_run(spark):
+    tables = {
+        "wide": table(spark, "1e36D + id"),
+        "nan": table(spark, "double('NaN')"),
+        "infinite": table(spark, "double('Infinity')"),
+    }
+    rows = [claim(t, "v", "unit_scale", unit=u) for t in tables for u in ("USD", "percent")]
+    rows += [claim(t, "v", "domain_enum", min=0.0, max=5.0) for t in tables]
+    found = judge(spark, tables, *rows)
+    assert len(found) == 9 and all(r["verdict"] in (Y, N, U) and r["rationale"] for r in found)
+
+
+def test_date_columns_of_odd_names_are_not_looked_at(spark):
+    odd = spark.range(3).select(
+        F.lit(dt.date(2026, 7, 1)).alias("d"), F.lit(dt.date(2026, 7, 2)).alias("o'd"),
+        F.lit(dt.date(2026, 7, 3)).alias("order-date"))
+    assert probes.temporal_columns(odd) == ["d"]
+
+
 def test_bounds_bands(spark):
     tables = {"t": table(spark, "id - 10"), "s": table(spark, "cast(id as string)")}
     low = claim("t", "v", "domain_enum", min=0.0)
