@@ -55,9 +55,6 @@ _NO_RUBRIC = _finding(
     UNVERIFIABLE, "no rubric", _say("no rule decides a %s claim like this one", "claim_type")
 )
 
-# the whole table was read: no limit, or fewer rows than the limit
-_COMPLETE = "(scan_limit is null or rows_scanned < scan_limit)"
-_CAPPED = f"not coalesce({_COMPLETE}, false)"
 _NO_VALUES = ("not coalesce(row_count > 0 and median_above_0 is not null "
               "and integer_share is not null, false)")
 
@@ -66,15 +63,11 @@ _CENTS = f"(integer_share = 1 and median_above_{CENTS_MEDIAN_FLOOR})"
 _CORROBORATED = (
     f"(recon_matched_keys >= {RECONCILED_KEYS_FLOOR} and recon_matched_keys = recon_suspect_keys "
     "and recon_suspect_rows = recon_suspect_keys and recon_joined = recon_matched_keys "
-    "and recon_ratio_share = 1 and recon_reference_rows > 0 "
-    "and (recon_scan_limit is null or recon_reference_rows < recon_scan_limit))"
+    "and recon_ratio_share = 1 and recon_reference_rows > 0)"
 )
 _MONEY = _decide(
     [
         (_NO_VALUES, UNVERIFIABLE, "no values", "'the column holds no value to measure'"),
-        (_CAPPED, UNVERIFIABLE, "capped scan",
-         _say("only the first %d rows were read; they decide nothing for the whole column",
-              "scan_limit")),
         (f"{_CENTS} and recon_joined is null", UNVERIFIABLE, "cents without reference",
          _say("whole numbers with median %s look like cents, but no reference is declared",
               _number("median"))),
@@ -105,8 +98,7 @@ _PERCENT = _decide(
         ("min_value >= 0 and max_value <= 1", UNVERIFIABLE, "scale ambiguous",
          _say("values from %s to %s may be fractions or small percentages",
               _number("min_value"), _number("max_value"))),
-        (f"min_value >= 0 and median_above_1 and max_value <= 100 and {_COMPLETE}", CONFIRMED,
-         "percent scale",
+        ("min_value >= 0 and median_above_1 and max_value <= 100", CONFIRMED, "percent scale",
          _say("values use the 0 to 100 scale: median %s, maximum %s",
               _number("median"), _number("max_value"))),
     ],
@@ -130,8 +122,6 @@ _NEVER_NULL = (
             (f"null_share >= {NULL_SHARE_FLOOR}", CONTRADICTED, "nulls found",
              _say("stated as never null, but the share of nulls is %s in %d rows",
                   _number("null_share"), "row_count")),
-            (_CAPPED, UNVERIFIABLE, "capped scan",
-             _say("only the first %d rows were read; later ones may be null", "scan_limit")),
             (f"null_share = 0 and row_count >= {NEVER_NULL_MIN_ROWS}", CONFIRMED, "no nulls",
              _say("no null in all %d rows", "row_count")),
         ],
@@ -142,20 +132,17 @@ _NEVER_NULL = (
     + f" else {_NO_RUBRIC} end"
 )
 
-# Values outside the claimed list, compared as text.
-_UNEXPECTED = "array_except(observed_values, predicate.values)"
 _ENUM = _decide(
     [
         ("size(predicate.values) <= 0", UNVERIFIABLE, "no rubric", "'the claim lists no value'"),
-        (f"size({_UNEXPECTED}) > 0", CONTRADICTED, "unexpected values",
-         f"concat('not in the stated list: ', array_join({_UNEXPECTED}, ', '))"),
-        (f"size(observed_values) > 0 and not distinct_capped and {_COMPLETE}", CONFIRMED,
-         "within the list",
-         _say("all %d distinct values of %d rows are in the stated list",
-              "size(observed_values)", "rows_scanned")),
+        ("unexpected_count > 0", CONTRADICTED, "unexpected values",
+         _say("%d of %d distinct values are not in the stated list, the first is %s",
+              "unexpected_count", "distinct_count", "first_unexpected")),
+        ("distinct_count > 0", CONFIRMED, "within the list",
+         _say("all %d distinct values of %d rows are in the stated list", "distinct_count",
+              "row_count")),
     ],
-    ("distinct values not complete",
-     "'no value seen, or not all of them; the stated list is not settled'"),
+    ("no values", "'the column holds no value to measure'"),
 )
 
 _BELOW = "coalesce(min_value < predicate.min, false)"
@@ -173,8 +160,6 @@ _BOUNDS = _decide(
          + _say("maximum %s is above the stated %s", _number("max_value"),
                 _number("predicate.max"))
          + " end)"),
-        (_CAPPED, UNVERIFIABLE, "capped scan",
-         _say("only the first %d rows were read; later ones may break the bound", "scan_limit")),
         ("true", CONFIRMED, "within bounds",
          _say("all %d values lie from %s to %s", "row_count", _number("min_value"),
               _number("max_value"))),
@@ -183,7 +168,7 @@ _BOUNDS = _decide(
 )
 
 _DOMAIN = (
-    f"case when predicate.values is not null and observed_values is not null then {_ENUM} "
+    f"case when predicate.values is not null and distinct_count is not null then {_ENUM} "
     f"when predicate.min is not null or predicate.max is not null then {_BOUNDS} "
     f"else {_NO_RUBRIC} end"
 )
@@ -198,10 +183,8 @@ _DEPRECATED = (
                   "recent_queries", "distinct_users", "as_of")),
             ("recent_queries = 0 and not coalesce(window_rows_any_table > 0, false)", UNVERIFIABLE,
              "dead log", _say(f"the log shows no read of any table in {_WINDOW}", "as_of")),
-            ("recent_queries = 0 and (scan_limit is null or log_rows_scanned < scan_limit)",
-             CONFIRMED, "silent", _say(f"no read in {_WINDOW} over the whole log", "as_of")),
-            ("recent_queries = 0", UNVERIFIABLE, "capped log",
-             _say("no read among the first %d log rows; the rest was not seen", "scan_limit")),
+            ("recent_queries = 0", CONFIRMED, "silent",
+             _say(f"no read in {_WINDOW} over the whole log", "as_of")),
         ],
         ("few reads",
          _say(f"%d reads in {_WINDOW} are neither silence nor use", "recent_queries", "as_of")),
@@ -223,8 +206,6 @@ _FRESHNESS = (
     f"case when {_BROKEN_DAYS} is not null and days_stale is not null then "
     + _decide(
         [
-            (_CAPPED, UNVERIFIABLE, "capped scan",
-             _say("only the first %d rows were read; newer values may follow", "scan_limit")),
             (f"days_stale >= {_BROKEN_DAYS}", CONTRADICTED, "stale",
              _say("stated as %s, but the newest value (%s in %s) is %d days old on %s",
                   "lower(predicate.cadence)", "latest_value", "latest_column", "days_stale",

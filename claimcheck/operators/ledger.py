@@ -129,7 +129,7 @@ def dossiers(
     )
     urn, field = F.col("asset_urn"), F.col("field_path")
     return decided.select(
-        F.concat(F.lit(texts.DOSSIER_ID_PREFIX), F.substring(digest, 1, 32)).alias("document_urn"),
+        F.concat(F.lit(texts.DOSSIER_ID_PREFIX), digest).alias("document_urn"),
         "asset_urn",
         "field_path",
         "pos",

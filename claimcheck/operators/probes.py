@@ -2,7 +2,7 @@
 
 A measurement is one row of typed columns; columns a probe does not fill are
 absent and read as NULL after ``unionByName(allowMissingColumns=True)``.
-``scan_limit`` NULL means the whole table was read.
+Every measurement reads its whole table.
 
 The measures of all claims on a table share one scan with constant state
 (:func:`fused_profile`). What needs more than constant state runs apart:
@@ -17,10 +17,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimcheck.functions import urns
-from claimcheck.session import small_frame
 from claimcheck.vocabulary import (
-    COMPLETENESS, DEPRECATION_USAGE, DISTINCT_CAP, DOMAIN_ENUM, FRESHNESS, RATIO_TARGET,
-    RATIO_TOLERANCE, UNIT_SCALE, USAGE_WINDOW_DAYS,
+    COMPLETENESS, DEPRECATION_USAGE, DOMAIN_ENUM, FRESHNESS, RATIO_TARGET, RATIO_TOLERANCE,
+    UNIT_SCALE, USAGE_WINDOW_DAYS,
 )
 
 UNIT, NULLS, ENUM, BOUNDS, USAGE, FRESH, NONE = (
@@ -37,32 +36,12 @@ def _is_numeric_name(data_type: Column) -> Column:
     return data_type.isin(*NUMERIC_TYPES) | data_type.startswith("decimal")
 
 
-# --- bounded reading ---------------------------------------------------------
+# --- extent ------------------------------------------------------------------
 
 
-def bounded_scan(df: DataFrame, scan_limit: int | None = None) -> DataFrame:
-    """At most ``scan_limit`` rows, counted before any filter; all rows when None.
-
-    A limit makes Spark gather the prefix in one partition, so it is meant for
-    a quick look only. Without one the scan stays distributed.
-    """
-    return df if scan_limit is None else df.limit(scan_limit)
-
-
-def _limit_column(scan_limit: int | None) -> Column:
-    return F.lit(scan_limit).cast("bigint").alias("scan_limit")
-
-
-def scan_extent(df: DataFrame, scan_limit: int | None = None) -> DataFrame:
-    """``rows_scanned`` and whether the scan saw the whole table.
-
-    Exactly as many rows as the limit counts as capped.
-    """
-    counted = bounded_scan(df, scan_limit).agg(F.count("*").alias("rows_scanned"))
-    complete = (
-        F.lit(True) if scan_limit is None else F.col("rows_scanned") < F.lit(scan_limit)
-    )
-    return counted.select("rows_scanned", _limit_column(scan_limit), complete.alias("complete"))
+def scan_extent(df: DataFrame) -> DataFrame:
+    """``rows_scanned``: the rows of the whole table, NULL fields included."""
+    return df.agg(F.count("*").alias("rows_scanned"))
 
 
 # --- routing and refusals ----------------------------------------------------
@@ -230,7 +209,6 @@ def _fresh_row(columns: Sequence[str], as_of: str) -> str:
 def fused_profile(
     df: DataFrame,
     needs: Mapping[str, Sequence[str]],
-    scan_limit: int | None = None,
     as_of: str | None = None,
 ) -> DataFrame:
     """All constant-state measures of a table in one scan, one row per (probe, column).
@@ -257,17 +235,14 @@ def fused_profile(
     if fresh:
         rows.append(_fresh_row(temporal, date.fromisoformat(as_of).isoformat()))
     return (
-        bounded_scan(df.select(*dict.fromkeys([*measured, *temporal])), scan_limit)
+        df.select(*dict.fromkeys([*measured, *temporal]))
         .selectExpr(*aggregates)
         .selectExpr("*", f"{_newest(temporal)} as newest")
         .selectExpr(f"inline(array({', '.join(rows)}))")
-        .withColumn("scan_limit", _limit_column(scan_limit))
     )
 
 
-def exact_medians(
-    df: DataFrame, columns: Sequence[str], scan_limit: int | None = None
-) -> DataFrame:
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(field_path, median)``, exact, without a value map over the whole column.
 
     A first narrow scan brackets the middle with approximate quantiles, 0.2
@@ -276,9 +251,7 @@ def exact_medians(
     exact percentile of the clamped values is that of the column while its
     state holds the bracket's distinct values only.
     """
-    values = bounded_scan(df.select(*columns), scan_limit).select(
-        *[F.col(c).cast("double").alias(c) for c in columns]
-    )
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     bracket = values.agg(
         F.struct(
             *[F.percentile_approx(c, [0.498, 0.502], 10_000).alias(c) for c in columns]
@@ -294,39 +267,21 @@ def exact_medians(
     return wide.select(F.inline(F.array(*rows)))
 
 
-def unit_profile(
-    df: DataFrame, columns: Sequence[str], scan_limit: int | None = None, median: str = "exact"
-) -> DataFrame:
-    """Unit measures per column. ``median``: ``exact`` or ``approx`` for the evidence.
-
-    Verdicts rest on ``median_above_*``, which are exact either way.
-    """
-    profile = fused_profile(df, {UNIT: columns}, scan_limit)
-    return profile.join(medians(df, columns, scan_limit, median), "field_path", "left")
-
-
-def medians(
-    df: DataFrame, columns: Sequence[str], scan_limit: int | None = None, median: str = "exact"
-) -> DataFrame:
-    if median == "exact":
-        return exact_medians(df, columns, scan_limit)
-    wide = bounded_scan(df.select(*columns), scan_limit).agg(
-        *[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(c) for c in columns]
+def unit_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Unit measures per column. Verdicts rest on ``median_above_*``, the median is evidence."""
+    return fused_profile(df, {UNIT: columns}).join(
+        exact_medians(df, columns), "field_path", "left"
     )
-    rows = [F.struct(F.lit(c).alias("field_path"), F.col(c).alias("median")) for c in columns]
-    return wide.select(F.inline(F.array(*rows)))
 
 
-def null_share(df: DataFrame, columns: Sequence[str], scan_limit: int | None = None) -> DataFrame:
+def null_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of NULLs per column."""
-    return fused_profile(df, {NULLS: columns}, scan_limit)
+    return fused_profile(df, {NULLS: columns})
 
 
-def bounds_profile(
-    df: DataFrame, columns: Sequence[str], scan_limit: int | None = None
-) -> DataFrame:
+def bounds_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Extrema per column."""
-    return fused_profile(df, {BOUNDS: columns}, scan_limit)
+    return fused_profile(df, {BOUNDS: columns})
 
 
 # --- distinct values ---------------------------------------------------------
@@ -340,66 +295,94 @@ def _shown(df: DataFrame, column: str) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*[1-9])0+$", "$1"), r"\.0+$", "")
 
 
-def distinct_values(
-    df: DataFrame,
-    columns: Sequence[str],
-    scan_limit: int | None = None,
-    cap: int = DISTINCT_CAP,
-) -> DataFrame:
-    """The first ``cap`` distinct values (as sorted text) per column, and whether more exist.
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(field_path, value, n)``: every distinct value as text with its rows, NULLs left out.
 
-    All columns in one scan: (column, value) pairs collapse in a map-side hash
-    aggregate, so a real enumeration shuffles a handful of rows per task. The
-    rank limit is applied inside each partition before the final shuffle, so
-    even a column of unique values never meets in one task.
+    All columns in one scan: equal (column, value) pairs are counted in a
+    map-side hash aggregate, so a real enumeration shuffles a handful of rows
+    per task, and a column of unique values is spread by value over all tasks.
     """
-    wanted = bounded_scan(df.select(*columns), scan_limit)
-    pairs = wanted.select(
-        F.inline(
-            F.array(*[
-                F.struct(F.lit(c).alias("field_path"), _shown(wanted, c).alias("v"))
-                for c in columns
-            ])
-        )
-    ).where(F.col("v").isNotNull())
-    by_value = Window.partitionBy("field_path").orderBy("v")
-    found = (
-        pairs.distinct()
-        .withColumn("rank", F.row_number().over(by_value))
-        .where(F.col("rank") <= cap + 1)
-        .groupBy("field_path")
-        .agg(F.sort_array(F.collect_list("v")).alias("firsts"))
+    shown = [F.struct(F.lit(c).alias("field_path"), _shown(df, c).alias("value")) for c in columns]
+    return (
+        df.select(F.inline(F.array(*shown)))
+        .where(F.col("value").isNotNull())
+        .groupBy("field_path", "value")
+        .agg(F.count("*").alias("n"))
     )
-    extent = wanted.agg(F.count("*").alias("n")).scalar()
-    asked = small_frame(df.sparkSession, "field_path:string", [{"field_path": c} for c in columns])
-    firsts = F.coalesce("firsts", F.array().cast("array<string>"))
-    return asked.join(found, "field_path", "left").select(
-        F.lit(ENUM).alias("probe_kind"),
-        "field_path",
-        F.slice(firsts, 1, cap).alias("observed_values"),
-        (F.size(firsts) > cap).alias("distinct_capped"),
-        extent.alias("rows_scanned"),
-        _limit_column(scan_limit),
+
+
+def _list_key() -> Column:
+    """A digest that stands for the stated list, so that no row has to carry the list itself."""
+    return F.sha2(F.to_json("predicate.values"), 256).alias("_list")
+
+
+def _against_lists(claims: DataFrame, values: DataFrame) -> DataFrame:
+    """``(table_name, field_path, _list, value, n, listed)``: each value of a claimed column, per list.
+
+    Claims that state the same list of the same column share one ``_list``.
+    """
+    stated = claims.select(
+        "table_name", "field_path", _list_key(),
+        F.col("predicate.values").alias("_values"),
+    ).dropDuplicates(["table_name", "field_path", "_list"])
+    entries = (
+        stated.select("table_name", "field_path", "_list", F.explode("_values").alias("value"))
+        .where(F.col("value").isNotNull())
+        .distinct()
+        .withColumn("listed", F.lit(True))
+    )
+    return values.join(stated.drop("_values"), ["table_name", "field_path"]).join(
+        entries, ["table_name", "field_path", "_list", "value"], "left"
+    )
+
+
+def enum_profile(claims: DataFrame, values: DataFrame) -> DataFrame:
+    """Claims with ``row_count, distinct_count, unexpected_count, first_unexpected``.
+
+    ``claims`` needs ``table_name, field_path, predicate``; ``values`` is
+    ``(table_name, field_path, value, n)``, all distinct values of the claimed
+    columns. Only counts and one value leave the comparison, whatever the
+    number of distinct values; all unexpected ones are :func:`unexpected_values`.
+    A claim on a column without values keeps zero counts.
+    """
+    unlisted = F.col("listed").isNull()
+    found = _against_lists(claims, values).groupBy("table_name", "field_path", "_list").agg(
+        F.sum("n").alias("row_count"),
+        F.count("*").alias("distinct_count"),
+        F.count_if(unlisted).alias("unexpected_count"),
+        F.min(F.when(unlisted, F.col("value"))).alias("first_unexpected"),
+    )
+    counts = ["row_count", "distinct_count", "unexpected_count"]
+    return (
+        claims.withColumn("_list", _list_key())
+        .join(found, ["table_name", "field_path", "_list"], "left")
+        .withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counts})
+        .drop("_list")
+    )
+
+
+def unexpected_values(claims: DataFrame, values: DataFrame) -> DataFrame:
+    """``(table_name, field_path, list_sha256, value, n)``: all values outside a stated list."""
+    return _against_lists(claims, values).where(F.col("listed").isNull()).select(
+        "table_name", "field_path", F.col("_list").alias("list_sha256"), "value", "n"
     )
 
 
 # --- freshness ---------------------------------------------------------------
 
 
-def freshness_profile(df: DataFrame, as_of: str, scan_limit: int | None = None) -> DataFrame:
+def freshness_profile(df: DataFrame, as_of: str) -> DataFrame:
     """The newest DATE or TIMESTAMP value of the table against ``as_of``, one row."""
-    return fused_profile(df, {FRESH: ()}, scan_limit, as_of).select(
+    return fused_profile(df, {FRESH: ()}, as_of).select(
         "probe_kind", "latest_value", "latest_column", "temporal_column_count", "days_stale",
-        "as_of", "rows_scanned", "scan_limit", "probe_error",
+        "as_of", "rows_scanned", "probe_error",
     )
 
 
 # --- usage -------------------------------------------------------------------
 
 
-def usage_window(
-    query_log: DataFrame, assets: DataFrame, as_of: str, scan_limit: int | None = None
-) -> DataFrame:
+def usage_window(query_log: DataFrame, assets: DataFrame, as_of: str) -> DataFrame:
     """Reads of each asset in the 30 days up to and including ``as_of``.
 
     A log row counts under the bare or the full table name. The log is
@@ -408,18 +391,12 @@ def usage_window(
     """
     day = F.lit(as_of).cast("date")
     start = F.date_sub(day, USAGE_WINDOW_DAYS - 1)
-    log = bounded_scan(
-        query_log.select("table_name", F.col("queried_at").alias("at"), "query_user"), scan_limit
-    )
-    in_window = (F.col("at") >= start.cast("timestamp_ntz")) & (
-        F.col("at") < F.date_add(day, 1).cast("timestamp_ntz")
-    )
-    extent = log.agg(
-        F.struct(F.count("*").alias("rows"), F.count_if(in_window).alias("live")).alias("e")
-    ).scalar()
-    per_user = (
-        log.where(in_window).groupBy("table_name", "query_user").agg(F.count("*").alias("reads"))
+    log = query_log.select("table_name", F.col("queried_at").alias("at"), "query_user").where(
+        (F.col("at") >= start.cast("timestamp_ntz"))
+        & (F.col("at") < F.date_add(day, 1).cast("timestamp_ntz"))
     )
+    live = log.agg(F.count("*").alias("live")).scalar()
+    per_user = log.groupBy("table_name", "query_user").agg(F.count("*").alias("reads"))
     watched = assets.select("asset_urn").distinct()
     names = watched.select(
         "asset_urn",
@@ -448,10 +425,8 @@ def usage_window(
         F.lit(USAGE).alias("probe_kind"),
         "recent_queries",
         "distinct_users",
-        extent.getField("rows").alias("log_rows_scanned"),
-        extent.getField("live").alias("window_rows_any_table"),
+        live.alias("window_rows_any_table"),
         F.lit(as_of).alias("as_of"),
-        _limit_column(scan_limit),
     )
 
 
@@ -470,7 +445,6 @@ def reconcile_100x(
     reference_key: str,
     column: str,
     reference_column: str,
-    scan_limit: int | None = None,
 ) -> DataFrame:
     """Does the suspect column sit at 100 times the reference, key by key? One row.
 
@@ -481,27 +455,22 @@ def reconcile_100x(
     * pairs at the right ratio are found by an equi-join on (key, slot), where
       slots cut log(value) so finely that partners lie in the same slot or in
       the next, after equal (key, value) rows were merged into one with a count.
+
+    Each side is read once and merged to (key, value, count); all else follows from that.
     """
-    left = (
-        bounded_scan(suspect.select(F.col(suspect_key).alias("k"), F.col(column).alias("v")),
-                     scan_limit)
-        .where(F.col("v").isNotNull())
-        .select("k", F.col("v").cast("double").alias("v"))
-    )
-    right_scan = bounded_scan(
-        reference.select(F.col(reference_key).alias("k"), F.col(reference_column).alias("v")),
-        scan_limit,
-    )
-    right = right_scan.where(F.col("k").isNotNull()).select(
-        "k", F.col("v").cast("double").alias("v")
+    def _merged(df: DataFrame, key: str, value: str) -> DataFrame:
+        rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+        return rows.groupBy("k", "v").agg(F.count("*").alias("n"))
+
+    left_values = _merged(
+        suspect.where(F.col(column).isNotNull()), suspect_key, column
     )
-    left_values = left.groupBy("k", "v").agg(F.count("*").alias("n"))
-    right_values = right.groupBy("k", "v").agg(F.count("*").alias("n"))
+    right_values = _merged(reference, reference_key, reference_column)
 
-    nothing, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    nothing = F.lit(0).cast("bigint")
     per_key = (
-        left.select("k", one.alias("ls"), nothing.alias("rs"))
-        .unionByName(right.select("k", nothing.alias("ls"), one.alias("rs")))
+        left_values.select("k", F.col("n").alias("ls"), nothing.alias("rs"))
+        .unionByName(right_values.select("k", nothing.alias("ls"), F.col("n").alias("rs")))
         .groupBy("k")
         .agg(F.sum("ls").alias("ls"), F.sum("rs").alias("rs"))
     )
@@ -515,6 +484,7 @@ def reconcile_100x(
             ),
             F.count_if(F.col("k").isNotNull() & (F.col("ls") > 0)).alias("keys"),
             F.coalesce(F.sum("ls"), nothing).alias("rows"),
+            F.coalesce(F.sum("rs"), nothing).alias("reference_rows"),
         ).alias("s")
     ).scalar()
 
@@ -532,7 +502,7 @@ def reconcile_100x(
         "k", sign.alias("sign"), F.floor(position / slot_width).alias("slot"), "v", "n"
     )
     sign, position = _sign_and_log(F.col("v"), 1.0)
-    right_slots = right_values.where(finite).select(
+    right_slots = right_values.where(finite & F.col("k").isNotNull()).select(
         "k",
         sign.alias("sign"),
         F.explode(
@@ -557,7 +527,6 @@ def reconcile_100x(
             nothing,
         ).alias("at_ratio")
     )
-    reference_rows = right_scan.agg(F.count("*").alias("n")).scalar()
     joined = shape.getField("joined")
     return partners.select(
         joined.alias("recon_joined"),
@@ -567,6 +536,5 @@ def reconcile_100x(
         ),
         shape.getField("keys").alias("recon_suspect_keys"),
         shape.getField("rows").alias("recon_suspect_rows"),
-        reference_rows.alias("recon_reference_rows"),
-        _limit_column(scan_limit).alias("recon_scan_limit"),
+        shape.getField("reference_rows").alias("recon_reference_rows"),
     )

@@ -14,7 +14,6 @@ from claimcheck.vocabulary import CLAIM_SCHEMA
 MEASURES = {
     "probe_kind": "string",
     "probe_error": "string",
-    "scan_limit": "bigint",
     "rows_scanned": "bigint",
     "row_count": "bigint",
     "median": "double",
@@ -31,13 +30,12 @@ MEASURES = {
     "recon_suspect_rows": "bigint",
     "recon_ratio_share": "double",
     "recon_reference_rows": "bigint",
-    "recon_scan_limit": "bigint",
     "null_share": "double",
-    "observed_values": "array<string>",
-    "distinct_capped": "boolean",
+    "distinct_count": "bigint",
+    "unexpected_count": "bigint",
+    "first_unexpected": "string",
     "recent_queries": "bigint",
     "distinct_users": "bigint",
-    "log_rows_scanned": "bigint",
     "window_rows_any_table": "bigint",
     "latest_value": "string",
     "latest_column": "string",

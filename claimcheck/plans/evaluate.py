@@ -19,7 +19,6 @@ def evaluate(
     as_of: str,
     query_log: DataFrame | None = None,
     references: DataFrame | None = None,
-    scan_limit: int | None = None,
 ) -> DataFrame:
     """Scored manifest entries: extract, measure, judge, compare.
 
@@ -30,5 +29,5 @@ def evaluate(
     )
     # measuring plans one scan per table and each meets the claims: extract them once
     claims = cut_lineage(claims)
-    measured = measure(claims, tables, as_of, query_log, references, scan_limit)
+    measured = measure(claims, tables, as_of, query_log, references)
     return score.score_entries(manifest, verdicts.adjudicate(measured), errors)

@@ -35,7 +35,6 @@ def run_catalog(
     lineage: DataFrame,
     incidents: DataFrame,
     folder: str,
-    scan_limit: int | None = None,
     author: str = AUTHOR,
 ) -> Run:
     """Verify every asset whose fields the tables know and whose claims could be extracted.
@@ -63,7 +62,7 @@ def run_catalog(
         "left_semi",
     ).select("asset_urn").distinct()
 
-    measured = measure(claims, tables, run_date, query_log, gated.where("ok"), scan_limit)
+    measured = measure(claims, tables, run_date, query_log, gated.where("ok"))
     findings = verdicts.as_findings(verdicts.adjudicate(measured))
     usage = ledger.usage_evidence(query_log, claims.select("asset_urn"), run_date)
     written = publish_run(

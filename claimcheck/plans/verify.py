@@ -20,30 +20,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def measure_table(
-    df: DataFrame,
-    needs: Mapping[str, list[str]],
-    as_of: str | None,
-    scan_limit: int | None = None,
-    median: str = "exact",
-) -> DataFrame | None:
-    """Every measurement wanted of one table: ``(probe_kind, field_path, measures...)``.
+def measure_table(df: DataFrame, needs: Mapping[str, list[str]], as_of: str | None) -> DataFrame:
+    """The constant-state measurements wanted of one table: ``(probe_kind, field_path, measures...)``.
 
-    One scan for all constant-state measures; medians and distinct values
-    read only the columns they are about.
+    One scan for all of them; the shown medians read only the columns they are about.
     """
-    parts = []
-    if needs.keys() - {probes.ENUM}:
-        profile = probes.fused_profile(df, needs, scan_limit, as_of)
-        if needs.get(probes.UNIT):
-            middle = probes.medians(df, needs[probes.UNIT], scan_limit, median).select(
-                F.lit(probes.UNIT).alias("probe_kind"), "field_path", "median"
-            )
-            profile = profile.join(middle, ["probe_kind", "field_path"], "left")
-        parts.append(profile)
-    if needs.get(probes.ENUM):
-        parts.append(probes.distinct_values(df, needs[probes.ENUM], scan_limit))
-    return _union(parts) if parts else None
+    profile = probes.fused_profile(df, needs, as_of)
+    if needs.get(probes.UNIT):
+        middle = probes.exact_medians(df, needs[probes.UNIT]).select(
+            F.lit(probes.UNIT).alias("probe_kind"), "field_path", "median"
+        )
+        profile = profile.join(middle, ["probe_kind", "field_path"], "left")
+    return profile
 
 
 def measure(
@@ -52,8 +40,6 @@ def measure(
     as_of: str | None,
     query_log: DataFrame | None = None,
     references: DataFrame | None = None,
-    scan_limit: int | None = None,
-    median: str = "exact",
 ) -> DataFrame:
     """Claims with their measures, or with the reason why there are none.
 
@@ -86,9 +72,9 @@ def measure(
 
     parts = []
     measured = [
-        measure_table(tables[name], {k: sorted(v) for k, v in kinds.items()},
-                      as_of, scan_limit, median).withColumn("_table", F.lit(name))
-        for name, kinds in sorted(needs.items())
+        measure_table(tables[name], {k: sorted(v) for k, v in kinds.items()}, as_of)
+        .withColumn("_table", F.lit(name))
+        for name, kinds in sorted(needs.items()) if kinds.keys() - {probes.ENUM}
     ]
     if measured:
         rows = _union(measured)
@@ -103,13 +89,21 @@ def measure(
             )
             .drop("_on", "_table", "_kind", "_column")
         )
+    values = [
+        probes.distinct_values(tables[name], sorted(kinds[probes.ENUM]))
+        .withColumn("table_name", F.lit(name))
+        for name, kinds in sorted(needs.items()) if probes.ENUM in kinds
+    ]
+    if values:
+        enumerations = measurable.where(F.col("probe_kind") == probes.ENUM)
+        parts.append(probes.enum_profile(enumerations, _union(values)))
     if query_log is not None and as_of is not None:
         usage_claims = measurable.where(F.col("probe_kind") == probes.USAGE)
-        usage = probes.usage_window(query_log, usage_claims, as_of, scan_limit)
+        usage = probes.usage_window(query_log, usage_claims, as_of)
         parts.append(usage_claims.join(usage.drop("probe_kind"), "asset_urn"))
     out = _union([*parts, refused]) if parts else refused
     if references is not None:
-        ratios = measure_references(references, tables, scan_limit)
+        ratios = measure_references(references, tables)
         if ratios is not None:
             out = out.join(
                 ratios.withColumnsRenamed({"asset_urn": "_urn", "field_path": "_field"}),
@@ -121,9 +115,7 @@ def measure(
     return out
 
 
-def measure_references(
-    references: DataFrame, tables: Mapping[str, DataFrame], scan_limit: int | None = None
-) -> DataFrame | None:
+def measure_references(references: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame | None:
     """Reconciliation measures per declared reference whose tables and columns exist.
 
     Declarations are configuration written by people; one join is planned for each.
@@ -143,7 +135,7 @@ def measure_references(
         parts.append(
             probes.reconcile_100x(
                 suspect, reference, d["suspect_key"], d["reference_key"], d["field_path"],
-                d["reference_column"], scan_limit,
+                d["reference_column"],
             ).withColumns({
                 "asset_urn": F.lit(d["asset_urn"]), "field_path": F.lit(d["field_path"]),
             })
@@ -158,12 +150,10 @@ def verify(
     query_log: DataFrame | None = None,
     declarations: DataFrame | None = None,
     lineage: DataFrame | None = None,
-    scan_limit: int | None = None,
-    median: str = "exact",
 ) -> DataFrame:
     """Judged claims. A declared reference counts only as far as the lineage records it."""
     references = None
     if declarations is not None and lineage is not None:
         references = catalog.lineage_gate(declarations, lineage).where("ok")
-    measured = measure(claims, tables, as_of, query_log, references, scan_limit, median)
+    measured = measure(claims, tables, as_of, query_log, references)
     return verdicts.adjudicate(measured)

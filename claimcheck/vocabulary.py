@@ -16,7 +16,6 @@ DEPRECATION_USAGE = "deprecation_usage"
 CLAIM_TYPES = (UNIT_SCALE, FRESHNESS, COMPLETENESS, DOMAIN_ENUM, DEPRECATION_USAGE)
 
 # Thresholds the verdicts depend on.
-DISTINCT_CAP = 50
 CENTS_MEDIAN_FLOOR = 1000
 DOLLAR_FRACTION_FLOOR = 0.3
 DOLLAR_MEDIAN_CEILING = 1000

@@ -44,9 +44,9 @@ def test_profile_reads_the_claimed_columns_only(spark):
     assert schemas and not any("l_shipdate" in s or "l_returnflag" in s for s in schemas)
 
 
-def test_distinct_values_are_ranked_before_the_shuffle(spark):
-    plan = entry_points.queries()["distinct_values"](spark, SF)._jdf.queryExecution()
-    assert "WindowGroupLimit" in plan.executedPlan().toString()
+def test_distinct_values_are_counted_before_the_shuffle(spark):
+    plan = entry_points.queries()["distinct_values"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "Window" not in plan
 
 
 def test_usage_window_filter_reaches_the_scan(spark):

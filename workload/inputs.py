@@ -181,8 +181,6 @@ RELATIONS = {
         avg(case when v = floor(v) then 1e0 when v is not null then 0e0 end) as integer_share,
         min(v) as min_value, max(v) as max_value, count(v) as row_count,
         count(*) as rows_scanned,
-        case when l_suppkey % 15 = 0 then count(*) when l_suppkey % 15 = 1 then count(*) + 1 end
-            as scan_limit,
         case when l_suppkey % 20 <> 5 then count(distinct l_orderkey) end as recon_joined,
         count(distinct l_orderkey) as recon_matched_keys,
         count(distinct l_orderkey) + case when l_suppkey % 7 = 0 then 1 else 0 end
@@ -190,52 +188,46 @@ RELATIONS = {
         count(distinct l_orderkey) + case when l_suppkey % 11 = 0 then 1 else 0 end
             as recon_suspect_rows,
         case when l_suppkey % 30 = 10 then 0.99e0 else 1e0 end as recon_ratio_share,
-        case when l_suppkey % 13 = 0 then 0 else 1000000 end as recon_reference_rows,
-        cast(case when l_suppkey % 17 = 0 then 1000000 end as bigint) as recon_scan_limit
+        case when l_suppkey % 13 = 0 then 0 else 1000000 end as recon_reference_rows
         from money_values group by l_suppkey""",
     "percent_measures": """select o_custkey as grp, 'percent_0_100' as unit, median(v) as median,
         avg(case when v = floor(v) then 1e0 when v is not null then 0e0 end) as integer_share,
         avg(case when v * 100 = floor(v * 100) then 1e0 when v is not null then 0e0 end)
             as centi_integer_share,
         min(v) as min_value, max(v) as max_value, count(v) as row_count,
-        count(*) as rows_scanned,
-        case when o_custkey % 9 = 0 then count(*) when o_custkey % 9 = 1 then count(*) + 1 end
-            as scan_limit from (select o_custkey, case o_custkey % 5 when 0 then
+        count(*) as rows_scanned from (select o_custkey, case o_custkey % 5 when 0 then
             o_totalprice / 600000 when 1 then o_totalprice / 6000 when 2 then o_totalprice
             when 3 then o_totalprice / 5000 - 1 end * 1e0 as v from orders) as x
         group by o_custkey""",
     "null_measures": """select source as grp, lang, count(*) as rows_scanned, count(*) as row_count,
         avg(case when quality is null then 1e0 else 0e0 end) as null_share,
-        case when lang = 'de' then count(*) end as scan_limit,
         case when lang = 'fr' then true else false end as nullable
         from (select d.*, case when lang = 'en' or d.doc_id % 40 = 1 then 1 else quality end
             as quality from documents d left join labels l on d.doc_id = l.doc_id) as x
         group by source, lang union all
         select p_brand as grp, p_type as lang, count(*) * 20 as rows_scanned,
         count(*) * 20 as row_count, 0e0 as null_share,
-        case when p_type = 'PROMO' then count(*) * 20 end as scan_limit, false as nullable
+        false as nullable
         from part group by p_brand, p_type""",
     "enum_observed": """select o_custkey as grp, o_orderstatus as v, count(*) as n,
         case o_custkey % 4 when 0 then 'F,O,P' when 1 then 'F,O' when 2 then 'F,O,P,X' else ''
             end as claimed from orders group by o_custkey, o_orderstatus""",
     "bounds_measures": """select o_custkey as grp, min(o_totalprice) as min_value,
         max(o_totalprice) as max_value, count(*) as row_count, count(*) as rows_scanned,
-        case when o_custkey % 6 = 0 then count(*) end as scan_limit,
         case when o_custkey % 3 <> 2 then 50000e0 end as min_bound,
         case when o_custkey % 3 <> 1 then 450000e0 end as max_bound
         from orders group by o_custkey""",
     "usage_measures": """select user_id as grp, case when user_id % 5 < 2 then 0 else
             count(case when value > 95 then 1 end) end as recent_queries, count(distinct event_type) as distinct_users,
-        count(*) as log_rows_scanned,
         case when user_id % 4 = 0 then 0 else count(*) end as window_rows_any_table,
-        case when user_id % 3 = 0 then count(*) end as scan_limit, '2024-01-30' as as_of,
+        '2024-01-30' as as_of,
         user_id % 19 <> 18 as deprecated from events where user_id >= 0 group by user_id""",
     "fresh_measures": """select o_custkey as grp, case o_custkey % 4 when 0 then 'hourly'
             when 1 then 'Daily' when 2 then 'weekly' else 'monthly' end as cadence,
         datediff('day', cast(max(o_orderdate) as date), date '2001-08-01')
             as days_stale, cast(max(o_orderdate) as date) as latest,
         case when o_custkey % 10 = 0 then 2 else 1 end as temporal_column_count,
-        count(*) as rows_scanned, case when o_custkey % 8 = 1 then count(*) end as scan_limit
+        count(*) as rows_scanned
         from orders group by o_custkey""",
     # --- findings, one per order -------------------------------------------
     "findings": f"""select {URN.format("'customer_' || o_custkey")} as asset_urn,

@@ -209,10 +209,7 @@ union all select asset_urn, field_path, null, 'error', extraction_error, null, n
 # --- C: probes ----------------------------------------------------------------
 
 _add("bounded_scan", " union all ".join(
-    [f"select '{t}' as table_name, count(*) as rows_scanned, cast(null as bigint) as scan_limit, "
-     f"true as complete from {t}" for t in TABLES]
-    + [f"select '{t} capped', least(count(*), 100000), 100000, count(*) < 100000 from {t}"
-       for t in ("lineitem", "orders")]))
+    f"select '{t}' as table_name, count(*) as rows_scanned from {t}" for t in TABLES))
 
 _POSITION = "median(v) > 0 as median_above_0, median(v) > 1 as median_above_1, " \
             "median(v) > 1000 as median_above_1000"
@@ -250,7 +247,8 @@ def _reconcile(run: str, suspect: str, reference: str, key: str, reference_key:
       (select count(*) as recon_reference_rows from {reference})"""
 
 
-_add("reconcile_100x", " union all ".join([
+_add("reconcile_100x", "select * replace (cast(recon_joined as varchar) as recon_joined) from ("
+     + " union all ".join([
     _reconcile("cents", "orders_cents", "orders", "o_orderkey", "o_orderkey", "amount",
                "o_totalprice"),
     _reconcile("itself", "orders_cents", "orders_cents", "o_orderkey", "o_orderkey", "amount",
@@ -261,7 +259,7 @@ _add("reconcile_100x", " union all ".join([
                "hundredfold", "l_quantity"),
     _reconcile("parts", "lineitem_hundred", "part", "l_partkey", "p_partkey", "hundredfold",
                "p_size"),
-]))
+]) + ")")
 
 _NULLS = [("orders", "o_orderkey"), ("orders", "o_orderdate"), ("documents", "text"),
           ("documents", "lang"), ("labelled_documents", "quality"),
@@ -276,10 +274,8 @@ _ENUMS = [("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("orders",
           ("documents", "lang"), ("documents", "source"), ("part", "p_type"), ("part", "p_brand"),
           ("part", "p_name"), ("customer", "c_name"), ("nation", "n_name")]
 _add("distinct_values", " union all ".join(
-    f"""select '{t}' as table_name, '{c}' as field_path,
-    (select string_agg(v, '|' order by v) from (select distinct cast({c} as varchar) as v from {t}
-      where {c} is not null order by v limit 50)) as observed_values,
-    count(distinct {c}) > 50 as distinct_capped, count(*) as rows_scanned from {t}"""
+    f"select '{t}' as table_name, '{c}' as field_path, cast({c} as varchar) as value, "
+    f"count(*) as n from {t} where {c} is not null group by {c}"
     for t, c in _ENUMS))
 
 _BOUNDS = [("customer", "c_acctbal"), ("customer", "c_nationkey"), ("part", "p_size"),
@@ -296,7 +292,6 @@ def _usage(log: str, assets: str, as_of: str) -> str:
               f"and queried_at < date '{as_of}' + interval 1 day")
     return f"""select a.asset_urn, count(r.table_name) as recent_queries,
       count(distinct r.query_user) as distinct_users,
-      (select count(*) from {log}) as log_rows_scanned,
       (select count(*) from {log} where {window}) as window_rows_any_table
     from (select distinct asset_urn, {_NAME.format('asset_urn')} as full_name,
             {_LAST_NAME} as bare_name from {assets}) a
@@ -394,17 +389,14 @@ def _rules(*branches: tuple[str, str, str], default: str) -> str:
             f"case {rule} else '{default}' end as rule")
 
 
-_CAPPED = "scan_limit is not null and rows_scanned >= scan_limit"
 _U, _Y, _N = "UNVERIFIABLE", "CONFIRMED", "CONTRADICTED"
 _CENTS = "integer_share = 1 and median > 1000"
 _MONEY = _rules(
     ("row_count = 0 or median is null or integer_share is null", _U, "no values"),
-    (_CAPPED, _U, "capped scan"),
     (f"{_CENTS} and recon_joined is null", _U, "cents without reference"),
     (f"{_CENTS} and recon_matched_keys >= 100 and recon_matched_keys = recon_suspect_keys "
      "and recon_suspect_rows = recon_suspect_keys and recon_joined = recon_matched_keys "
-     "and recon_ratio_share = 1 and recon_reference_rows > 0 and (recon_scan_limit is null "
-     "or recon_reference_rows < recon_scan_limit)", _N, "cents corroborated"),
+     "and recon_ratio_share = 1 and recon_reference_rows > 0", _N, "cents corroborated"),
     (_CENTS, _U, "cents not corroborated"),
     ("1 - integer_share >= 0.3 and median > 0 and median <= 1000", _Y, "major units"),
     default="neither signature")
@@ -412,39 +404,34 @@ _PERCENT = _rules(
     ("row_count = 0 or median is null or integer_share is null", _U, "no values"),
     ("centi_integer_share is null", _U, "no rubric"),
     ("min_value >= 0 and max_value <= 1", _U, "scale ambiguous"),
-    (f"min_value >= 0 and median > 1 and max_value <= 100 and not ({_CAPPED})", _Y,
-     "percent scale"),
+    ("min_value >= 0 and median > 1 and max_value <= 100", _Y, "percent scale"),
     default="not the percent scale")
 _NEVER_NULL = _rules(
     ("nullable is distinct from false", _U, "no rubric"),
     ("row_count = 0 or null_share is null", _U, "no rows"),
     ("null_share >= 0.01", _N, "nulls found"),
-    (_CAPPED, _U, "capped scan"),
     ("null_share = 0 and row_count >= 100", _Y, "no nulls"),
     default="trace of nulls or few rows")
 _ENUM = _rules(
     ("len(claimed) = 0", _U, "no rubric"),
     ("len(list_filter(observed, lambda v: not list_contains(claimed, v))) > 0", _N,
      "unexpected values"),
-    (f"len(observed) > 0 and not distinct_capped and not ({_CAPPED})", _Y, "within the list"),
-    default="distinct values not complete")
+    ("len(observed) > 0", _Y, "within the list"),
+    default="no values")
 _BOUND = _rules(
     ("row_count = 0 or min_value is null", _U, "no values"),
     ("coalesce(min_value < min_bound, false) or coalesce(max_value > max_bound, false)", _N,
      "bound violated"),
-    (_CAPPED, _U, "capped scan"),
     ("true", _Y, "within bounds"),
     default="no rubric")
 _DEPRECATED = _rules(
     ("deprecated is distinct from true or recent_queries is null", _U, "no rubric"),
     ("recent_queries >= 10", _N, "still read"),
     ("recent_queries = 0 and window_rows_any_table = 0", _U, "dead log"),
-    ("recent_queries = 0 and (scan_limit is null or log_rows_scanned < scan_limit)", _Y, "silent"),
-    ("recent_queries = 0", _U, "capped log"),
+    ("recent_queries = 0", _Y, "silent"),
     default="few reads")
 _FRESH = _rules(
     ("lower(cadence) not in ('hourly', 'daily', 'weekly') or days_stale is null", _U, "no rubric"),
-    (_CAPPED, _U, "capped scan"),
     ("days_stale >= case lower(cadence) when 'hourly' then 2 when 'daily' then 7 else 21 end", _N,
      "stale"),
     ("lower(cadence) = 'hourly'", _U, "finer than a day"),
@@ -457,8 +444,7 @@ _add("verdict_percent", f"select grp, {_PERCENT} from percent_measures")
 _add("verdict_never_null", f"select grp, lang, {_NEVER_NULL} from null_measures")
 _add("verdict_enum", f"""select grp, {_ENUM} from (select grp,
     case when claimed = '' then cast([] as varchar[]) else string_split(claimed, ',') end as claimed,
-    list(v) as observed, sum(n) as rows_scanned, grp % 5 = 0 as distinct_capped,
-    case when grp % 7 = 0 then sum(n) end as scan_limit
+    list(v) as observed
   from enum_observed group by grp, claimed)""")
 _FOUR = "cast(cast({0} as decimal(38,4)) as varchar)"
 _add("verdict_bounds", f"""select grp, {_BOUND}, case
@@ -467,8 +453,6 @@ _add("verdict_bounds", f"""select grp, {_BOUND}, case
           || ' is below the stated ' || {_FOUR.format('min_bound')} end,
         case when max_value > max_bound then 'maximum ' || {_FOUR.format('max_value')}
           || ' is above the stated ' || {_FOUR.format('max_bound')} end)
-    when {_CAPPED} then 'only the first ' || scan_limit
-      || ' rows were read; later ones may break the bound'
     else 'all ' || row_count || ' values lie from ' || {_FOUR.format('min_value')} || ' to '
       || {_FOUR.format('max_value')} end as rationale from bounds_measures""")
 _add("verdict_deprecated", f"select grp, {_DEPRECATED} from usage_measures")
@@ -487,7 +471,7 @@ def _end_to_end() -> str:
         head = (f"select {pos} as pos, '{table}' as table_name, "
                 + (f"'{column}' as field_path" if column else "cast(null as varchar) as field_path")
                 + f", '{kind}' as claim_type, ")
-        whole = "cast(null as bigint) as scan_limit, count(*) as rows_scanned"
+        whole = "count(*) as rows_scanned"
         unmeasured = (pos in errors or (table, column) == ("documents", "lang") and "min" in predicate
                       or kind == "deprecation_usage" and column
                       or kind == "freshness" and table not in time_columns)
@@ -500,12 +484,12 @@ def _end_to_end() -> str:
             rule = _PERCENT if predicate["unit"].startswith("percent") else _MONEY
             d = declared.get((urn(table), column))
             gated = d is not None and d[2] == "orders"
-            recon = (f"select * exclude (run), cast(null as bigint) as recon_scan_limit from ("
+            recon = (f"select * exclude (run) from ("
                      + _reconcile("x", table, d[2], d[3], d[4], column, d[5]) + ")" if gated else
                      "select cast(null as bigint) as recon_joined, 0 as recon_matched_keys, "
                      "0 as recon_suspect_keys, 0 as recon_suspect_rows, 0 as recon_ratio_share, "
-                     "0 as recon_reference_rows, cast(null as bigint) as recon_scan_limit")
-            parts.append(f"{head} {rule} from (select cast(null as bigint) as scan_limit, * "
+                     "0 as recon_reference_rows")
+            parts.append(f"{head} {rule} from (select * "
                          f"exclude (table_name, field_path) from ({_unit(table, column)})), "
                          f"({recon})")
         elif kind == "completeness":
@@ -515,8 +499,7 @@ def _end_to_end() -> str:
                          f"else 0.0 end) as null_share from {table})")
         elif kind == "domain_enum" and "values" in predicate:
             parts.append(f"{head} {_ENUM} from (select {predicate['values']} as claimed, {whole}, "
-                         f"list(distinct {column}) as observed, count(distinct {column}) > 50 "
-                         f"as distinct_capped from {table})")
+                         f"list(distinct {column}) as observed from {table})")
         elif kind == "domain_enum":
             low, high = predicate.get("min", "null"), predicate.get("max", "null")
             parts.append(f"{head} {_BOUND} from (select {whole}, count({column}) as row_count, "
@@ -530,7 +513,6 @@ def _end_to_end() -> str:
                          f"days_stale from {table})")
         else:
             parts.append(f"""{head} {_DEPRECATED} from (select true as deprecated,
-              cast(null as bigint) as scan_limit, count(*) as log_rows_scanned,
               count(*) filter (w and table_name in ('{table}', 'shop.{table}')) as recent_queries,
               count(*) filter (w) as window_rows_any_table from (select table_name,
                 queried_at >= date '2001-08-01' - interval 29 day
@@ -565,9 +547,9 @@ _NOTES = """case claim_type when 'unit_scale' then 'median, shares of whole valu
   else 'reads of the table in the query log in the 30 days to the run date' end"""
 _WITH_TEXT = ("known", """select f.*, t.description as before from findings f left join field_texts t
   on f.asset_urn = t.asset_urn and f.field_path is not distinct from t.field_path""")
-_DOSSIERS = ("dossiers", f"""select 'urn:li:document:' || left(sha256('claimcheck' || chr(0)
+_DOSSIERS = ("dossiers", f"""select 'urn:li:document:' || sha256('claimcheck' || chr(0)
       || '{RUN_DATE}' || chr(0) || asset_urn || chr(0) || coalesce(field_path, chr(1)) || chr(0)
-      || pos), 32) as document_urn, asset_urn, field_path, pos,
+      || pos) as document_urn, asset_urn, field_path, pos,
     'Evidence by claimcheck: customer_' || o_custkey || '.' || {_LABEL} || ' ({RUN_DATE})' as title,
     '# Evidence dossier of claimcheck' || chr(10) || chr(10) || '- Asset: ' || asset_urn || chr(10)
       || '- Field: ' || {_LABEL} || chr(10) || '- Claim (' || claim_type || '): "' || text || '"'
