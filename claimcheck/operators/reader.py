@@ -182,6 +182,14 @@ def reader_prompts(contexts: DataFrame) -> DataFrame:
     )
 
 
+def _line_keys(text: Column) -> Column:
+    """One row per line of a text: its digest, without the word that marks evidence in a context."""
+    def key(line: Column) -> Column:
+        return F.sha2(F.regexp_replace(line, "^evidence: ", ""), 256)
+
+    return F.explode(F.transform(F.split(text, "\n", -1), key))
+
+
 def bind_reader_answers(
     answers: DataFrame, required_lines: DataFrame, system_prompt: str
 ) -> DataFrame:
@@ -191,7 +199,8 @@ def bind_reader_answers(
     answer counts only under the key of its own prompt, for its asset's
     question, and with exactly one answer per view. The prompt of the view
     with the ledger must contain every current evidence line of
-    ``required_lines`` ``(asset_urn, line)``, else it is stale.
+    ``required_lines`` ``(asset_urn, line)`` as whole lines, else it is stale.
+    Prompts are taken apart where they are stored; only digests of lines meet.
     """
     user = F.col("user_prompt")
     view = F.when(F.contains(user, F.lit(LEDGER_LINE)), "after").otherwise("before")
@@ -204,12 +213,19 @@ def bind_reader_answers(
         .when(~F.contains(user, question(F.col("asset_urn"))), "other question")
         .alias("bad"),
     )
-    with_ledger = checked.where(F.col("view") == "after").select("asset_urn", "user_prompt")
+    seen = (
+        checked.where(F.col("view") == "after")
+        .select("asset_urn", _line_keys(user).alias("_line"))
+        .distinct()
+    )
+    answered = checked.where(F.col("view") == "after").select("asset_urn").distinct()
     stale = (
-        required_lines.select("asset_urn", mask_dates(F.col("line")).alias("line"))
-        .join(with_ledger, "asset_urn")
-        .groupBy("asset_urn")
-        .agg(F.bool_or(~F.contains("user_prompt", F.col("line"))).alias("stale"))
+        required_lines.select("asset_urn", _line_keys(mask_dates(F.col("line"))).alias("_line"))
+        .distinct()
+        .join(answered, "asset_urn", "left_semi")
+        .join(seen, ["asset_urn", "_line"], "left_anti")
+        .select("asset_urn", F.lit(True).alias("stale"))
+        .distinct()
     )
     is_before, is_after = F.col("view") == "before", F.col("view") == "after"
     per_asset = checked.groupBy("asset_urn").agg(

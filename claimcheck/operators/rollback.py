@@ -64,7 +64,8 @@ def dossiers_to_delete(
     Candidates are what the ledger points to and what a search found. A
     pointer that cannot be read or is not attested is an anomaly and blocks
     the rollback; an unattested search hit is merely left alone. Bodies are
-    looked at where they are stored; the join carries the finding only.
+    looked at where they are stored; the joins carry the finding and single
+    (document, asset) pairs, never a document's whole list of assets.
     """
     pairs = ("asset_urn", "document_urn")
     candidates = (
@@ -74,17 +75,23 @@ def dossiers_to_delete(
         .agg(F.bool_or("_ledger").alias("named_by_ledger"))
     )
     found = documents.select(
-        "document_urn", "related_assets", _own_format(author).alias("_own"),
-        F.lit(True).alias("_found"),
+        "document_urn", _own_format(author).alias("_own"), F.lit(True).alias("_found")
+    )
+    about = (
+        documents.select("document_urn", F.explode("related_assets").alias("asset_urn"))
+        .distinct()
+        .withColumn("_about", F.lit(True))
     )
     outcome = (
         F.when(F.col("_found").isNull(), "unreadable")
-        .when(F.col("_own") & _is_about(F.col("asset_urn")), "delete")
+        .when(F.col("_own") & F.coalesce("_about", F.lit(False)), "delete")
         .when(F.col("named_by_ledger"), "anomaly")
         .otherwise("refused")
     )
-    return candidates.join(found, "document_urn", "left").select(
-        *pairs, "named_by_ledger", outcome.alias("outcome")
+    return (
+        candidates.join(found, "document_urn", "left")
+        .join(about, list(pairs), "left")
+        .select(*pairs, "named_by_ledger", outcome.alias("outcome"))
     )
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimcheck.operators import ledger, reader, rollback
+from claimcheck.operators.claims import prompt_key
 from claimcheck.plans.publish import publish_run
 from claimcheck.plans.undo import roll_back
 from claimcheck.sources.outputs import read_latest, read_run
@@ -237,6 +238,16 @@ def test_reader_view(spark):
     ).first()["prompt"]
     assert prompt.count("END CATALOG DATA") == 1 and "[defused-marker]" in prompt
 
+    shown = spark.createDataFrame(
+        [(urn("t"), views[v]) for v in ("before", "after")], "asset_urn string, context string")
+    answers = reader.reader_prompts(shown).select(
+        "asset_urn", F.col("prompt").alias("user_prompt"), F.lit("An answer.").alias("completion"),
+        prompt_key(F.lit("s"), F.col("prompt")).alias("prompt_key"))
+    required = reader.evidence_lines(rows)
+    assert reader.bind_reader_answers(answers, required, "s").first()["fault"] is None
+    newer = required.withColumn("line", F.concat("line", F.lit(", and more")))
+    assert reader.bind_reader_answers(answers, newer, "s").first()["fault"] == "stale evidence"
+
     for broken, reason in (
         (documents.where(F.col("field_path") != "a"), "evidence not whole"),
         (documents.withColumn("body", F.regexp_replace("body", "- Verdict: .*\n", "")),
