@@ -27,25 +27,26 @@ def field_label(field: Column) -> Column:
 
 
 def _correction_head(author: str) -> str:
-    return f"[Contradicted by {author} "
+    return f"[[{author} run "
 
 
-_CORRECTION_TAIL = "). Read the evidence before relying on either statement."
+# Between the markers: the text that was replaced, then what was measured.
+_REPLACED, _MEASURED, _END = "; it read]] ", " [[measured]] ", " [[end]]"
 
 
 def correction(quoted: Column, measured: Column, run_date: str, author: str = AUTHOR) -> Column:
     """The replacement text. It quotes the whole text it replaces."""
     return F.concat(
-        F.lit(f'{_correction_head(author)}{run_date}] It said "'), quoted,
-        F.lit('", which the stored values do not bear out ('), measured, F.lit(_CORRECTION_TAIL),
+        F.lit(f"{_correction_head(author)}{run_date}{_REPLACED}"), quoted,
+        F.lit(_MEASURED), measured, F.lit(_END),
     )
 
 
 def measured_summary(median: Column, integer_share: Column, rationale: Column) -> Column:
     figures = F.concat(
-        F.lit("median "), number(median), F.lit(", whole-number share "), number(integer_share)
+        F.lit("median="), number(median), F.lit(" whole="), number(integer_share)
     )
-    return F.concat_ws(LIST_SEPARATOR, F.coalesce(figures, F.lit("figures in the evidence")),
+    return F.concat_ws(LIST_SEPARATOR, F.coalesce(figures, F.lit("no figures")),
                        rationale)
 
 
@@ -54,12 +55,11 @@ def _quote_for_regex(text: str) -> str:
 
 
 def correction_pattern(author: str = AUTHOR) -> str:
-    """Exactly one correction, end to end; the greedy group reaches the outer quotes."""
+    """Exactly one correction, end to end; the greedy group reaches the outer markers."""
     return (
         r"(?s)\A" + _quote_for_regex(_correction_head(author)) + r"\d{4}-\d{2}-\d{2}"
-        + _quote_for_regex('] It said "') + "(.+)"
-        + _quote_for_regex('", which the stored values do not bear out (') + ".+"
-        + _quote_for_regex(_CORRECTION_TAIL) + r"\z"
+        + _quote_for_regex(_REPLACED) + "(.+)" + _quote_for_regex(_MEASURED) + ".+"
+        + _quote_for_regex(_END) + r"\z"
     )
 
 
@@ -90,21 +90,21 @@ def unwrap_all_corrections(text: Column, author: str = AUTHOR) -> Column:
 
 
 def dossier_title_head(author: str = AUTHOR) -> str:
-    return f"Evidence by {author}: "
+    return f"{author} record "
 
 
 def dossier_header(author: str = AUTHOR) -> str:
-    return f"# Evidence dossier of {author}"
+    return f"{author} record, format 1"
 
 
 def dossier_footer(author: str = AUTHOR) -> str:
-    return f"Generated by {author} from measurements; do not edit."
+    return f"{author} record ends"
 
 
 def dossier_title(urn: Column, field: Column, run_date: str, author: str = AUTHOR) -> Column:
     return F.concat(
         F.lit(dossier_title_head(author)), urns.short_label(urn), F.lit("."),
-        field_label(field), F.lit(f" ({run_date})"),
+        field_label(field), F.lit(f" of {run_date}"),
     )
 
 
@@ -113,18 +113,18 @@ def dossier_body(
     rationale: Column, pre_image: Column, measurement: Column, evidence: Column,
     run_date: str, author: str = AUTHOR,
 ) -> Column:
+    """One ``name: value`` line each; the replaced text, which may have lines of its own, comes last."""
+    values = {
+        "field": field_label(field), "verdict": verdict, "rationale": rationale,
+        "run": F.lit(run_date), "asset": urn, "kind": claim_type, "claim": claim,
+        "measured": measurement, "figures": evidence,
+        "it read": F.coalesce(pre_image, F.lit("")),
+    }
+    lines = [F.concat(F.lit(f"{name}: "), value) for name, value in values.items()]
     return F.concat(
-        F.lit(dossier_header(author)), F.lit("\n\n- Asset: "), urn,
-        F.lit("\n- Field: "), field_label(field),
-        F.lit("\n- Claim ("), claim_type, F.lit('): "'), claim, F.lit('"'),
-        F.lit("\n- Verdict: "), verdict,
-        F.lit(f"\n- Run date: {run_date}"),
-        F.lit("\n- Rationale: "), rationale,
-        F.lit("\n\n## Description before\n\n"),
-        F.coalesce(pre_image, F.lit("(none recorded)")),
-        F.lit("\n\n## Measurement\n\n"), measurement,
-        F.lit("\n\n## Values\n\n```json\n"), evidence, F.lit("\n```\n\n"),
-        F.lit(dossier_footer(author)), F.lit("\n"),
+        F.lit(dossier_header(author) + "\n"),
+        *[x for line in lines for x in (line, F.lit("\n"))],
+        F.lit(dossier_footer(author)),
     )
 
 

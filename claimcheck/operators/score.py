@@ -146,10 +146,9 @@ def score_report(scored: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     not_extracted = names.select(
         F.lit(after).alias("line_no"), "part",
         F.concat(
-            extent.getField("failed").cast("string"), F.lit(" of "),
+            F.lit("not extracted: "), extent.getField("failed").cast("string"), F.lit("/"),
             extent.getField("entries").cast("string"),
-            F.lit(" entries had no extraction ("), F.array_join("items", ", "),
-            F.lit("): a lie counts as missed, a control is unscored. Not verified."),
+            F.lit(" ("), F.array_join("items", ", "), F.lit(")"),
         ).alias("line"),
     )
     off_target = (
@@ -158,11 +157,7 @@ def score_report(scored: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
         .where(F.col("n") > 0)
         .select(
             F.lit(after + 1).alias("line_no"), F.lit(0).alias("part"),
-            F.concat(
-                F.col("n").cast("string"),
-                F.lit(" contradictions on planted lies do not match the planted claim; "
-                      "they are never counted as caught."),
-            ).alias("line"),
+            F.concat(F.lit("off target, not caught: "), F.col("n").cast("string")).alias("line"),
         )
     )
     return head.unionByName(body).unionByName(not_extracted).unionByName(off_target)

@@ -72,7 +72,7 @@ def test_corrections_quote_the_whole_description(spark):
     got = {r["field_path"]: r["description"]
            for r in ledger.corrections(rows, texts, DAY).collect()}
     assert set(got) == {None, "a"}
-    assert '"Amount in USD. Net."' in got["a"] and '"Amount in USD."' in got[None]
+    assert "]] Amount in USD. Net. [[" in got["a"] and "]] Amount in USD. [[" in got[None]
     assert "median 12795.0000" in got["a"] and "cents" not in got["a"]
 
 
@@ -229,28 +229,30 @@ def test_reader_view(spark):
     after = views["after"].split("\n")
     assert after[:3] == views["before"].split("\n")
     assert after[3] == "ledger verdict: MIXED"
-    assert after[4].startswith("corrected description (a): [Contradicted by claimcheck <run-date>]")
+    assert after[4].startswith("corrected description (a): [[claimcheck run <run-date>; it read]]")
     assert after[5:] == [
         "evidence: field=a; verdict=CONTRADICTED; rationale=why a",
         "evidence: field=b; verdict=CONFIRMED; rationale=why b"]
+    asked = F.lit("Which unit?")
     prompt = reader.reader_prompts(
-        spark.createDataFrame([(urn("t"), views["after"])], "asset_urn string, context string")
+        spark.createDataFrame([(urn("t"), views["after"])], "asset_urn string, context string"),
+        "Read.", asked,
     ).first()["prompt"]
     assert prompt.count("END CATALOG DATA") == 1 and "[defused-marker]" in prompt
 
     shown = spark.createDataFrame(
         [(urn("t"), views[v]) for v in ("before", "after")], "asset_urn string, context string")
-    answers = reader.reader_prompts(shown).select(
+    answers = reader.reader_prompts(shown, "Read.", asked).select(
         "asset_urn", F.col("prompt").alias("user_prompt"), F.lit("An answer.").alias("completion"),
         prompt_key(F.lit("s"), F.col("prompt")).alias("prompt_key"))
     required = reader.evidence_lines(rows)
-    assert reader.bind_reader_answers(answers, required, "s").first()["fault"] is None
+    assert reader.bind_reader_answers(answers, required, "s", asked).first()["fault"] is None
     newer = required.withColumn("line", F.concat("line", F.lit(", and more")))
-    assert reader.bind_reader_answers(answers, newer, "s").first()["fault"] == "stale evidence"
+    assert reader.bind_reader_answers(answers, newer, "s", asked).first()["fault"] == "stale evidence"
 
     for broken, reason in (
         (documents.where(F.col("field_path") != "a"), "evidence not whole"),
-        (documents.withColumn("body", F.regexp_replace("body", "- Verdict: .*\n", "")),
+        (documents.withColumn("body", F.regexp_replace("body", "verdict: .*\n", "")),
          "evidence not whole"),
     ):
         faulty = reader.dossier_lines(pointers, broken)

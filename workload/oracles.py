@@ -550,23 +550,18 @@ _WITH_TEXT = ("known", """select f.*, t.description as before from findings f le
 _DOSSIERS = ("dossiers", f"""select 'urn:li:document:' || sha256('claimcheck' || chr(0)
       || '{RUN_DATE}' || chr(0) || asset_urn || chr(0) || coalesce(field_path, chr(1)) || chr(0)
       || pos) as document_urn, asset_urn, field_path, pos,
-    'Evidence by claimcheck: customer_' || o_custkey || '.' || {_LABEL} || ' ({RUN_DATE})' as title,
-    '# Evidence dossier of claimcheck' || chr(10) || chr(10) || '- Asset: ' || asset_urn || chr(10)
-      || '- Field: ' || {_LABEL} || chr(10) || '- Claim (' || claim_type || '): "' || text || '"'
-      || chr(10) || '- Verdict: ' || verdict || chr(10) || '- Run date: {RUN_DATE}' || chr(10)
-      || '- Rationale: ' || rationale || chr(10) || chr(10) || '## Description before' || chr(10)
-      || chr(10) || coalesce(before, '(none recorded)') || chr(10) || chr(10) || '## Measurement'
-      || chr(10) || chr(10) || {_NOTES} || chr(10) || chr(10) || '## Values' || chr(10) || chr(10)
-      || '```json' || chr(10) || evidence || chr(10) || '```' || chr(10) || chr(10)
-      || 'Generated by claimcheck from measurements; do not edit.' || chr(10) as body
+    'claimcheck record customer_' || o_custkey || '.' || {_LABEL} || ' of {RUN_DATE}' as title,
+    concat_ws(chr(10), 'claimcheck record, format 1', 'field: ' || {_LABEL}, 'verdict: ' || verdict,
+      'rationale: ' || rationale, 'run: {RUN_DATE}', 'asset: ' || asset_urn, 'kind: ' || claim_type,
+      'claim: ' || text, 'measured: ' || {_NOTES}, 'figures: ' || evidence,
+      'it read: ' || coalesce(before, ''), 'claimcheck record ends') as body
   from known where verdict <> 'UNVERIFIABLE'""")
 _add("dossiers", "select document_urn, asset_urn, field_path, title, body, "
                  "asset_urn as related_assets from dossiers", _WITH_TEXT, _DOSSIERS)
 _CORRECTIONS = ("corrected", f"""select asset_urn, field_path, pos,
-    '[Contradicted by claimcheck {RUN_DATE}] It said "' || coalesce(before, text)
-    || '", which the stored values do not bear out (median ' || {_FOUR.format('median')}
-    || ', whole-number share ' || {_FOUR.format('integer_share')} || '; ' || rationale
-    || '). Read the evidence before relying on either statement.' as description
+    '[[claimcheck run {RUN_DATE}; it read]] ' || coalesce(before, text)
+    || ' [[measured]] median=' || {_FOUR.format('median')} || ' whole='
+    || {_FOUR.format('integer_share')} || '; ' || rationale || ' [[end]]' as description
   from known where verdict = 'CONTRADICTED'""")
 _add("corrections", "select * from corrected", _WITH_TEXT, _CORRECTIONS)
 
@@ -618,8 +613,8 @@ _IDS = ("named", """select asset_urn, cast(unnest(range(len(urns))) as int) as p
     lambda t: starts_with(t, 'urn:li:document:')) as urns from ledger)""")
 _add("ledger_dossier_ids", "select asset_urn, position, document_urn from named", _IDS)
 
-_ONE = r"""'(?s)^\[Contradicted by claimcheck \d{4}-\d{2}-\d{2}\] It said "(.+)", which the stored""" \
-       r""" values do not bear out \(.+\)\. Read the evidence before relying on either statement\.$'"""
+_ONE = r"""'(?s)^\[\[claimcheck run \d{4}-\d{2}-\d{2}; it read\]\] (.+) \[\[measured\]\] """ \
+       r""".+ \[\[end\]\]$'"""
 _add("restore_description", f"""select doc_id, asset_urn, field_path,
   case when regexp_matches(description, {_ONE}) then regexp_extract(description, {_ONE}, 1) end
     as restored from corrected_texts""")
@@ -628,9 +623,9 @@ _DRAINED = ("drained", """select asset_urn, field_path, c.doc_id,
   from corrected_texts c join documents d on c.doc_id = d.doc_id""")
 _add("drain_corrections", "select * from drained", _DRAINED)
 
-_ATTESTED = """starts_with(title, 'Evidence by claimcheck: ')
-  and starts_with(body, '# Evidence dossier of claimcheck')
-  and contains(body, 'Generated by claimcheck from measurements; do not edit.')"""
+_ATTESTED = """starts_with(title, 'claimcheck record ')
+  and starts_with(body, 'claimcheck record, format 1')
+  and contains(body, 'claimcheck record ends')"""
 _add("dossier_attestation", f"""select document_urn, asset_urn,
   {_ATTESTED} and related = asset_urn as attested from written_documents""")
 _CANDIDATES = ("candidates", f"""select c.asset_urn, c.document_urn, named_by_ledger, case
@@ -640,7 +635,7 @@ _CANDIDATES = ("candidates", f"""select c.asset_urn, c.document_urn, named_by_le
   from (select asset_urn, document_urn, bool_or(l) as named_by_ledger from (
       select asset_urn, document_urn, true as l from named union all
       select related, document_urn, false from written_documents
-        where starts_with(title, 'Evidence by claimcheck: ')
+        where starts_with(title, 'claimcheck record ')
           and related in (select asset_urn from ledger)) group by all) c
   left join written_documents w using (document_urn)""")
 _add("dossiers_to_delete", "select * from candidates", _IDS, _CANDIDATES)
@@ -664,12 +659,12 @@ from (select a.asset_urn,
 # --- G: reader ------------------------------------------------------------------
 
 _LINES = ("lines", r"""select distinct p.asset_urn, p.document_urn, case
-    when regexp_matches(body, '\n- Verdict: ') then 'field='
-      || regexp_extract(body, '\n- Field: ([^\n]+)', 1) || '; verdict='
-      || regexp_extract(body, '\n- Verdict: ([^\n]+)', 1) || '; rationale='
-      || regexp_extract(body, '\n- Rationale: ([^\n]+)', 1) end as line,
+    when regexp_matches(body, '\nverdict: ') then 'field='
+      || regexp_extract(body, '\nfield: ([^\n]+)', 1) || '; verdict='
+      || regexp_extract(body, '\nverdict: ([^\n]+)', 1) || '; rationale='
+      || regexp_extract(body, '\nrationale: ([^\n]+)', 1) end as line,
     case when w.document_urn is null then 'absent'
-      when not regexp_matches(body, '\n- Verdict: ') then 'incomplete' end as fault
+      when not regexp_matches(body, '\nverdict: ') then 'incomplete' end as fault
   from pointers p left join written_documents w using (document_urn)""")
 _add("dossier_lines", """
 select * from lines union all select asset_urn, null, null, case when n = 0 then 'no evidence'
@@ -697,12 +692,11 @@ _add("context_before_after", f"""select asset_urn, 0 as part,
 
 
 def _prompt(urn_name: str, context: str) -> str:
-    from claimcheck.operators.reader import INSTRUCTIONS
+    from workload.inputs import READER_INSTRUCTIONS
 
-    return f"""'{INSTRUCTIONS}' || chr(10) || chr(10) || 'BEGIN CATALOG DATA' || chr(10)
+    return f"""'{READER_INSTRUCTIONS}' || chr(10) || chr(10) || 'BEGIN CATALOG DATA' || chr(10)
       || {context} || chr(10) || 'END CATALOG DATA' || chr(10) || chr(10)
-      || 'Question: In what unit is the amount of ' || {urn_name} || ' stored, and can its '
-      || 'description be trusted? Answer in two sentences.'"""
+      || 'Which unit do the amounts of ' || {urn_name} || ' have?'"""
 
 
 _add("reader_prompts", f"""
@@ -773,13 +767,12 @@ union all select 1, 0, '|---|---|---|---|---|---|'
 union all select line_no, 0, '| ' || case when claim_type = 'total' then '**total**'
     else claim_type end || ' | ' || lies || ' | ' || caught || ' | ' || missed || ' | '
     || controls || ' | ' || false_positives || ' |' from counted
-union all select 8, 0, count(extraction_error) || ' of ' || count(*)
-    || ' entries had no extraction (' || string_agg(regexp_extract(asset_urn, '(customer_[0-9]+)', 1)
+union all select 8, 0, 'not extracted: ' || count(extraction_error) || '/' || count(*)
+    || ' (' || string_agg(regexp_extract(asset_urn, '(customer_[0-9]+)', 1)
       || '.' || field_path, ', ' order by regexp_extract(asset_urn, '(customer_[0-9]+)', 1) || '.'
       || field_path) filter (extraction_error is not null)
-    || '): a lie counts as missed, a control is unscored. Not verified.' from scored
-union all select 9, 0, sum(off_target) || ' contradictions on planted lies do not match the '
-    || 'planted claim; they are never counted as caught.'
+    || ')' from scored
+union all select 9, 0, 'off target, not caught: ' || sum(off_target)
   from scored where planted_lie having sum(off_target) > 0""", _SCORED, _COUNTED)
 _add("run_validity", """
 select u as untyped_entries, m as missing_completions, f as unexpected_failures,
