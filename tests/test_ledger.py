@@ -73,7 +73,7 @@ def test_corrections_quote_the_whole_description(spark):
            for r in ledger.corrections(rows, texts, DAY).collect()}
     assert set(got) == {None, "a"}
     assert "]] Amount in USD. Net. [[" in got["a"] and "]] Amount in USD. [[" in got[None]
-    assert "median 12795.0000" in got["a"] and "cents" not in got["a"]
+    assert "median=12795.0000" in got["a"] and "cents" not in got["a"]
 
 
 def test_write_gate(spark):
