@@ -67,7 +67,7 @@ def test_run_over_a_catalog(spark, tmp_path):
         (urn("invoices"), claims.UNKNOWN_PROMPT)}
     fixes = read_run(spark, run.written.corrections, DAY).collect()
     assert [(r["asset_urn"], r["field_path"]) for r in fixes] == [(urn("payments"), "amount")]
-    assert '"Amount in USD."' in fixes[0]["description"]
+    assert "]] Amount in USD. [[" in fixes[0]["description"]
     raised = read_run(spark, run.written.incidents, DAY).collect()
     assert [r["asset_urn"] for r in raised] == [urn("payments")]
     # a refused reference and an open suspicion both keep the incident standing
