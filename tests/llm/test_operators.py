@@ -235,3 +235,21 @@ def test_scores_beat_the_base_on_held_out_text(docs, none, spark):
     words = [*rows[11][1].split(), None]
     assert abs(one["base_score"] - sum(np.log10((count[w] + 0.1) / (n + 0.1 * (len(count) + 1))) for w in words)) < 1e-9
     assert pitman_yor.score(docs).count() == len(TEXTS) and pitman_yor.score(none).count() == 0
+
+
+def shared_by_two(seed, n, changed=()):
+    """A passage of words of its own within two documents; the given words differ in the second one."""
+    own = [f"own{seed}x{i}" for i in range(n)]
+    other = [f"{w}y" if i in changed else w for i, w in enumerate(own)]
+    around = [[f"{side}{seed}x{i}" for i in range(60)] for side in "abcd"]
+    return own, " ".join(around[0] + own + around[1]), " ".join(around[2] + other + around[3])
+
+
+def test_a_passage_is_found_though_each_of_its_seeds_is_met_before_elsewhere(spark):
+    ship_library(spark)
+    own, b, c = shared_by_two(1, 80)
+    earlier = [(i, " ".join([f"q{i}x{j}" for j in range(60)] + own[i : i + 6] + [f"r{i}x{j}" for j in range(60)])) for i in range(75)]
+    docs = spark.createDataFrame([*earlier, (1000, b), (1001, c)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in chaining.cleaned(docs).collect()}
+    assert rows[1001]["n_removed"] == 80 and rows[1001]["sources"] == [1000]
+    assert all(r["n_removed"] == 0 for d, r in rows.items() if d != 1001)
