@@ -253,3 +253,24 @@ def test_a_passage_is_found_though_each_of_its_seeds_is_met_before_elsewhere(spa
     rows = {r["doc_id"]: r for r in chaining.cleaned(docs).collect()}
     assert rows[1001]["n_removed"] == 80 and rows[1001]["sources"] == [1000]
     assert all(r["n_removed"] == 0 for d, r in rows.items() if d != 1001)
+
+
+def test_passages_of_low_identity_are_found_as_by_brute_force(spark):
+    ship_library(spark)
+    rows, texts = [], {}
+    for case in range(24):
+        step = (6, 8, 10)[case % 3]
+        _, b, c = shared_by_two(case, 60 + 40 * (case % 2), range(case % step, 100, step))
+        rows += [(2 * case, b), (2 * case + 1, c)]
+        texts[case] = c.split(), b.split()
+    found = {r["doc_id"]: r["n_removed"] for r in chaining.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    best = {case: sum(u - x for x, u, _, _ in chaining.passages_of(chaining.edit_script(a, b), 50, 0.8)) for case, (a, b) in texts.items()}
+    assert all(best.values()) and all(found[2 * case + 1] >= 0.9 * n for case, n in best.items())
+    assert all(found[2 * case] == 0 for case in best)
+
+
+def test_a_long_run_out_of_reach_does_not_hide_a_near_one():
+    far, near, last = (0, 0, 100), (150, 150, 10), (165, 166, 10)
+    assert [near, last] in chaining.chains([far, near, last])
+    single = [(10 * i, 10 * i, chaining.K) for i in range(5)]
+    assert chaining.chains(single) == [single]
