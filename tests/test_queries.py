@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from workload.compare import differences, duckdb_session
+from workload.inputs import relation, table
 
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(entry_points.queries())
@@ -52,3 +53,10 @@ def test_distinct_values_are_counted_before_the_shuffle(spark):
 def test_usage_window_filter_reaches_the_scan(spark):
     plan = entry_points.queries()["usage_window"](spark, SF)._jdf.queryExecution()
     assert "GreaterThanOrEqual(ts," in plan.executedPlan().toString()
+
+
+def test_ground_truth_holds_every_order_and_claim_type(spark):
+    manifest = relation(spark, SF, "manifest")
+    assert manifest.count() == table(spark, SF, "orders").count()
+    assert {r["claim_type"] for r in manifest.select("claim_type").distinct().collect()} == {
+        "unit_scale", "freshness", "completeness", "domain_enum", "deprecation_usage"}

@@ -308,7 +308,7 @@ RELATIONS = {
             as description, o_orderkey % 2 = 0 as planted_lie,
         case when o_orderkey % 10 = 4 then 'unit_scale' else {_CLAIM_TYPE} end as claim_type,
         case when o_orderkey % 3 = 0 then 'Order ' || o_orderkey end as planted_text
-        from orders where o_orderpriority <> '2-HIGH'""",
+        from orders""",
     "failures": """select asset_urn, field_path, 'unknown prompt' as extraction_error from findings
         where o_orderkey % 13 = 0 and field_path is not null""",
 }
