@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimcheck.llm import bitplanes, chaining, hash_forest, interval_expansion, merge_queue, packing, permutation_index, pitman_yor, robust_outliers, wrapper
+from claimcheck.llm import bitplanes, chaining, hash_forest, interval_expansion, merge_queue, merkle, oracles, packing, permutation_index, pitman_yor, robust_outliers, wrapper
 from claimcheck.llm.common import shared_folder, ship_library
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_merkle_climb": oracles.MERKLE}
 
 
 def query(function):
@@ -82,3 +82,8 @@ def op9_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op13_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove(table(spark, sf_dir, "documents"))
