@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimcheck.llm import bitplanes, chaining, hash_forest, interval_expansion, merge_queue, merkle, oracles, packing, periodic_runs, permutation_index, pitman_yor, robust_outliers, wrapper
+from claimcheck.llm import bitplanes, chaining, hash_forest, interval_expansion, license_scan, merge_queue, merkle, oracles, packing, periodic_runs, permutation_index, pitman_yor, robust_outliers, wrapper
 from claimcheck.llm.common import shared_folder, ship_library
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op13_merkle_climb": oracles.MERKLE}
+ORACLES: dict[str, str] = {"op11_diagonal_voting": oracles.LICENSES, "op13_merkle_climb": oracles.MERKLE}
 
 
 def query(function):
@@ -84,6 +84,11 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op11_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
