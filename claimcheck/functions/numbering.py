@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from claimcheck.session import cut_lineage
+from claimcheck.session import stored
 
 
 def numbered(
@@ -14,7 +14,7 @@ def numbered(
     group: Sequence[str],
     order: Sequence[str | Column],
     name: str = "line_no",
-    store: Callable[[DataFrame], DataFrame] = cut_lineage,
+    store: Callable[[DataFrame], DataFrame] = stored,
 ) -> DataFrame:
     """Adds ``name``: the row's position in its group, from 0, by ``order`` (nulls first).
 

@@ -14,7 +14,6 @@ from claimcheck.vocabulary import AUTHOR, TABLE_LABEL
 
 # Fixed formats of this library's own texts.
 DOSSIER_ID_PREFIX = "urn:li:document:"
-SUMMARY_SEPARATOR = " | "
 LIST_SEPARATOR = "; "
 NO_DOSSIERS = "no dossiers"
 

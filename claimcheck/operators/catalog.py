@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimcheck.functions import urns
-from claimcheck.functions.parts import MAX_CHARS, gather_in_parts
+from claimcheck.functions.numbering import numbered
 from claimcheck.session import small_frame
 
 # Catalog names of the column types.
@@ -136,11 +136,11 @@ def merge_upstreams(existing: DataFrame, declared: DataFrame) -> DataFrame:
     )
 
 
-def upstream_lists(edges: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """The merged edges as ``(downstream, part, upstreams array)``, in order."""
-    return gather_in_parts(
-        edges, ["downstream"], ["origin", "position"], "upstream", ["upstream"], max_chars
-    ).withColumnRenamed("items", "upstreams")
+def upstream_lists(edges: DataFrame) -> DataFrame:
+    """The merged edges as ``(downstream, line_no, upstream)``, ``line_no`` giving their order."""
+    return numbered(edges, ["downstream"], ["origin", "position", "upstream"]).select(
+        "downstream", "line_no", "upstream"
+    )
 
 
 def lineage_gate(declarations: DataFrame, lineage: DataFrame) -> DataFrame:

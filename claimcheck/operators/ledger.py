@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimcheck.functions import texts
-from claimcheck.functions.parts import MAX_CHARS, gather_in_parts
+from claimcheck.functions.numbering import numbered
 from claimcheck.operators.probes import usage_window
 from claimcheck.vocabulary import (
     AUTHOR, CENTS_MEDIAN_FLOOR, CONFIRMED, CONTRADICTED, HIGH_USAGE_FLOOR, MIXED, UNIT_SCALE,
@@ -56,38 +56,32 @@ def verdict_tally(findings: DataFrame) -> DataFrame:
     )
 
 
-def verdict_summary(findings: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """``(asset_urn, part, summary)``: the tally, then each open field with its reason.
+# Sections of an asset's ledger lines, in order.
+TALLY_LINE, REASON_LINE, POINTER_LINE = range(3)
 
-    An asset with more reasons than one task should hold continues in further parts.
-    """
+
+def _summary_lines(findings: DataFrame) -> DataFrame:
+    """``(asset_urn, section, field_path, pos, line)``: the tally, and each open field's reason."""
     reasons = findings.where(F.col("verdict") == UNVERIFIABLE).select(
-        "asset_urn", F.lit(False).alias("is_tally"), "field_path", "pos",
+        "asset_urn", F.lit(REASON_LINE).alias("section"), "field_path", "pos",
         F.concat(
             F.lit("unverifiable "), texts.field_label(F.col("field_path")), F.lit(": "),
             F.coalesce("rationale", F.lit("")),
-        ).alias("entry"),
+        ).alias("line"),
     )
     tallies = verdict_tally(findings).select(
-        "asset_urn", F.lit(True).alias("is_tally"), F.col("tally").alias("entry")
-    )
-    # the tally is the heading of part 0, so it sorts before all reasons
-    listed = gather_in_parts(
-        reasons.unionByName(tallies, allowMissingColumns=True)
-        .withColumn("rank", F.when(F.col("is_tally"), 0).otherwise(1)),
-        ["asset_urn"], ["rank", "field_path", "pos"], "entry", ["field_path", "pos", "entry"],
-        max_chars, pinned="is_tally",
-    )
-    items, is_first = F.col("items"), F.col("part") == 0
-    tally = F.when(is_first, F.element_at(items, 1))
-    open_fields = F.when(is_first, F.slice(items, F.lit(2), F.size(items))).otherwise(items)
-    return listed.select(
-        "asset_urn", "part",
-        F.concat_ws(
-            texts.SUMMARY_SEPARATOR, tally,
-            F.nullif(F.array_join(open_fields, texts.LIST_SEPARATOR), F.lit("")),
-        ).alias("summary"),
+        "asset_urn", F.lit(TALLY_LINE).alias("section"), F.col("tally").alias("line")
     )
+    return reasons.unionByName(tallies, allowMissingColumns=True)
+
+
+_LINE_ORDER = ("section", "field_path", "pos", "line")
+
+
+def verdict_summary(findings: DataFrame) -> DataFrame:
+    """``(asset_urn, line_no, line)``: the tally, then each open field with its reason."""
+    lines = numbered(_summary_lines(findings), ["asset_urn"], _LINE_ORDER)
+    return lines.select("asset_urn", "line_no", "line")
 
 
 # What is measured for each kind of claim, in words.
@@ -164,27 +158,27 @@ def corrections(
     )
 
 
-def ledger_rows(
-    findings: DataFrame, documents: DataFrame, run_date: str, max_chars: int = MAX_CHARS
-) -> DataFrame:
-    """``(asset_urn, part, verdict, verified_at, evidence)``: summary and document pointers."""
-    pointers = gather_in_parts(
-        documents.select("asset_urn", "field_path", "pos", "document_urn"),
-        ["asset_urn"], ["field_path", "pos"], "document_urn", ["document_urn"], max_chars,
-    ).select("asset_urn", "part", F.array_join("items", texts.LIST_SEPARATOR).alias("pointers"))
+def ledger_rows(findings: DataFrame, documents: DataFrame, run_date: str) -> DataFrame:
+    """``(asset_urn, line_no, verdict, verified_at, evidence)``: summary lines, then one document each.
+
+    ``evidence`` of an asset without documents ends with a line that says so.
+    """
+    pointers = documents.select(
+        "asset_urn", F.lit(POINTER_LINE).alias("section"), "field_path", "pos",
+        F.col("document_urn").alias("line"),
+    )
+    without = (
+        findings.select("asset_urn").distinct()
+        .join(documents.select("asset_urn").distinct(), "asset_urn", "left_anti")
+        .select("asset_urn", F.lit(POINTER_LINE).alias("section"), F.lit(texts.NO_DOSSIERS).alias("line"))
+    )
+    lines = _summary_lines(findings).unionByName(pointers).unionByName(without, allowMissingColumns=True)
     return (
-        verdict_summary(findings, max_chars)
-        .join(pointers, ["asset_urn", "part"], "full")
+        numbered(lines, ["asset_urn"], _LINE_ORDER)
         .join(asset_verdict(findings), "asset_urn")
         .select(
-            "asset_urn",
-            "part",
-            "verdict",
-            F.lit(run_date).alias("verified_at"),
-            F.concat_ws(
-                texts.SUMMARY_SEPARATOR, "summary",
-                F.coalesce("pointers", F.when(F.col("part") == 0, texts.NO_DOSSIERS)),
-            ).alias("evidence"),
+            "asset_urn", "line_no", "verdict", F.lit(run_date).alias("verified_at"),
+            F.col("line").alias("evidence"),
         )
     )
 
@@ -242,49 +236,43 @@ def _dangerous(findings: DataFrame) -> DataFrame:
     )
 
 
+def _incident_claims(findings: DataFrame, usage: DataFrame) -> DataFrame:
+    """The contradicted unit claims of much-used assets."""
+    used = usage.where(F.col("queries_last_30d") >= HIGH_USAGE_FLOOR)
+    return _dangerous(findings).join(used.select("asset_urn"), "asset_urn", "left_semi")
+
+
 def incident_drafts(
-    findings: DataFrame, usage: DataFrame, run_date: str, author: str = AUTHOR,
-    max_chars: int = MAX_CHARS,
+    findings: DataFrame, usage: DataFrame, run_date: str, author: str = AUTHOR
 ) -> DataFrame:
     """At most one incident per asset: a contradicted unit claim on a much-used asset.
 
-    ``(asset_urn, part, title, claims, description)``; only a body too large
-    for one task continues in parts above 0.
+    ``(asset_urn, title, claims, description)``; the claims themselves are the
+    rows of ``incident_lines``.
     """
-    used = usage.where(F.col("queries_last_30d") >= HIGH_USAGE_FLOOR)
-    # The number of claims is combined map-side and per asset; the claims
-    # themselves meet the used assets once and are gathered from there.
-    wrong = _dangerous(findings).join(used.select("asset_urn"), "asset_urn", "left_semi").select(
+    counts = _incident_claims(findings, usage).groupBy("asset_urn").agg(F.count("*").alias("claims"))
+    description = F.concat(
+        F.col("claims").cast("string"), F.lit(" unit or scale claims contradicted by measurement. Usage: "),
+        F.col("queries_last_30d").cast("string"), F.lit(" queries in the last 30 days by "),
+        F.col("distinct_users").cast("string"), F.lit(f" users. Raised by {author}, run {run_date}."),
+    )
+    return counts.join(usage, "asset_urn").select(
+        "asset_urn", texts.incident_title(F.col("asset_urn"), author).alias("title"), "claims",
+        description.alias("description"),
+    )
+
+
+def incident_lines(findings: DataFrame, usage: DataFrame) -> DataFrame:
+    """``(asset_urn, line_no, line)``: the claims of each draft, by field."""
+    wrong = _incident_claims(findings, usage).select(
         "asset_urn", "field_path", "pos",
         F.concat(
             F.lit("- "), texts.field_label(F.col("field_path")), F.lit(': "'), "text",
             F.lit('" is contradicted: '), "rationale",
         ).alias("line"),
     )
-    counts = wrong.groupBy("asset_urn").agg(F.count("*").alias("claims"))
-    lines = gather_in_parts(
-        wrong, ["asset_urn"], ["field_path", "pos"], "line",
-        ["field_path", "pos", "line"], max_chars,
-    )
-    urn = F.col("asset_urn")
-    head = F.concat(
-        F.col("claims").cast("string"), F.lit(" unit or scale claims contradicted by measurement:")
-    )
-    tail = F.concat(
-        F.lit("Usage: "), F.col("queries_last_30d").cast("string"),
-        F.lit(" queries in the last 30 days by "), F.col("distinct_users").cast("string"),
-        F.lit(f" users. Raised by {author}, run {run_date}."),
-    )
-    return (
-        lines.join(counts, "asset_urn")
-        .join(used, "asset_urn")
-        .select(
-            "asset_urn",
-            "part",
-            texts.incident_title(urn, author).alias("title"),
-            "claims",
-            F.concat_ws("\n", head, F.array_join("items", "\n"), tail).alias("description"),
-        )
+    return numbered(wrong, ["asset_urn"], ["field_path", "pos", "line"]).select(
+        "asset_urn", "line_no", "line"
     )
 
 

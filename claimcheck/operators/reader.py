@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimcheck.functions import texts
-from claimcheck.functions.parts import MAX_CHARS, gather_in_parts
+from claimcheck.functions.numbering import numbered
 from claimcheck.operators.claims import prompt_key
 from claimcheck.vocabulary import CONTRADICTED
 
@@ -140,40 +140,67 @@ def context_lines(
     return out.withColumn("line", mask_dates(F.col("line")))
 
 
-def asset_context(lines: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """``(asset_urn, part, context)``: the context lines as text blocks."""
-    return gather_in_parts(
-        lines, ["asset_urn"], ["section", "key"], "line",
-        ["section", "key", "source", "line"], max_chars,
-    ).select("asset_urn", "part", F.array_join("items", "\n").alias("context"))
+_READING_ORDER = ("section", "key", "line", "source")
 
 
-def context_before_after(lines: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """The context without and with everything the ledger added, side by side."""
-    before = asset_context(lines.where(F.col("section") < LEDGER_SECTION), max_chars)
-    after = asset_context(lines, max_chars)
-    return before.withColumnRenamed("context", "before").join(
-        after.withColumnRenamed("context", "after"), ["asset_urn", "part"], "full"
+def asset_context(lines: DataFrame) -> DataFrame:
+    """``(asset_urn, line_no, line)``: the context lines in reading order."""
+    return numbered(lines, ["asset_urn"], _READING_ORDER).select("asset_urn", "line_no", "line")
+
+
+def context_before_after(lines: DataFrame) -> DataFrame:
+    """``(asset_urn, line_no, before, after)``: the context without and with what the ledger added.
+
+    What the ledger added stands below everything else, so the lines of both
+    views have the same numbers; ``before`` of an added line is NULL.
+    """
+    added = F.col("section") >= LEDGER_SECTION
+    return numbered(lines, ["asset_urn"], _READING_ORDER).select(
+        "asset_urn", "line_no", F.when(~added, F.col("line")).alias("before"), F.col("line").alias("after")
     )
 
 
+def _defused(data: Column) -> Column:
+    for marker in (FENCE_CLOSE, FENCE_OPEN):
+        data = F.replace(data, F.lit(marker), F.lit(DEFUSED))
+    return data
+
+
 def reader_prompts(contexts: DataFrame, instructions: str, question: Column) -> DataFrame:
     """Adds ``prompt``: instructions, fenced context and question.
 
     ``question`` is an expression over ``contexts``. Fence markers in the data are defused.
     """
-    data = F.col("context")
-    for marker in (FENCE_CLOSE, FENCE_OPEN):
-        data = F.replace(data, F.lit(marker), F.lit(DEFUSED))
     return contexts.withColumn(
         "prompt",
         F.concat(
-            F.lit(f"{instructions}\n\n{FENCE_OPEN}\n"), data,
+            F.lit(f"{instructions}\n\n{FENCE_OPEN}\n"), _defused(F.col("context")),
             F.lit(f"\n{FENCE_CLOSE}\n\n"), question,
         ),
     )
 
 
+def prompt_lines(context: DataFrame, instructions: str, question: Column) -> DataFrame:
+    """``(asset_urn, part, line_no, line)``: a prompt as rows, for a context of any size.
+
+    ``part`` 0 is what stands before the lines of ``asset_context``, 1 those
+    lines, 2 what stands after them; ``question`` is an expression over
+    ``asset_urn``. Joined by line ends in this order they are the prompt.
+    """
+    assets = context.select("asset_urn").distinct()
+
+    def frame(part: int, line: Column) -> DataFrame:
+        return assets.select(
+            "asset_urn", F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("line_no"), line.alias("line")
+        )
+
+    data = context.select("asset_urn", F.lit(1).alias("part"), "line_no", _defused(F.col("line")).alias("line"))
+    return (
+        frame(0, F.lit(f"{instructions}\n\n{FENCE_OPEN}")).unionByName(data)
+        .unionByName(frame(2, F.concat(F.lit(f"{FENCE_CLOSE}\n\n"), question)))
+    )
+
+
 def _line_keys(text: Column) -> Column:
     """One row per line of a text: its digest, without the word that marks evidence in a context."""
     def key(line: Column) -> Column:
@@ -257,12 +284,11 @@ def evidence_lines(findings: DataFrame) -> DataFrame:
 
 
 def asset_report(
-    findings: DataFrame, descriptions: DataFrame, corrections: DataFrame, documents: DataFrame,
-    max_chars: int = MAX_CHARS,
+    findings: DataFrame, descriptions: DataFrame, corrections: DataFrame, documents: DataFrame
 ) -> DataFrame:
-    """``(asset_urn, part, findings)``: JSON lines of all findings, sorted by field.
+    """``(asset_urn, line_no, finding)``: all findings as JSON, sorted by field.
 
-    Each line has the description before and after and the dossier.
+    Each has the description before and after and the dossier.
     """
     claim_keys = ["asset_urn", "field_path", "pos"]
 
@@ -290,10 +316,6 @@ def asset_report(
             F.col("text").alias("claim_text"), "verdict", "rationale", "before", "after", "dossier",
         )
     )
-    return gather_in_parts(
-        rows.select(*claim_keys, line.alias("line")),
-        ["asset_urn"], ["field_path", "pos"], "line", ["field_path", "pos"], max_chars,
-    ).select(
-        "asset_urn", "part", F.size("items").alias("n_findings"),
-        F.array_join("items", "\n").alias("findings"),
-    )
+    return numbered(
+        rows.select(*claim_keys, line.alias("finding")), ["asset_urn"], ["field_path", "pos", "finding"]
+    ).select("asset_urn", "line_no", "finding")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimcheck.functions import texts, urns
-from claimcheck.functions.parts import MAX_CHARS, gather_in_parts
+from claimcheck.functions.numbering import numbered
 from claimcheck.session import small_frame
 from claimcheck.vocabulary import CLAIM_TYPES, CONTRADICTED
 
@@ -113,54 +113,51 @@ def _entry_name() -> Column:
     )
 
 
-def score_report(scored: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """``(line_no, part, line)``: the table and its disclosures as text lines in order."""
+def score_report(scored: DataFrame) -> DataFrame:
+    """``(line_no, line)``: the table and its disclosures as text lines, ``line_no`` giving their order.
+
+    The entries without an extraction come last, one on a line.
+    """
     spark = scored.sparkSession
     head = small_frame(
-        spark, "line_no:int,part:int,line:string",
-        [{"line_no": i, "part": 0, "line": line} for i, line in enumerate(TABLE_HEAD)],
+        spark, "line_no:int,line:string",
+        [{"line_no": i, "line": line} for i, line in enumerate(TABLE_HEAD)],
     )
     order = {name: i + len(TABLE_HEAD) for i, name in enumerate((*CLAIM_TYPES, TOTAL))}
     position = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     label = F.when(F.col("claim_type") == TOTAL, f"**{TOTAL}**").otherwise(F.col("claim_type"))
     shown = [F.col(c).cast("string") for c in COUNTS[:5]]
     body = score_table(scored).select(
-        position[F.col("claim_type")].alias("line_no"), F.lit(0).alias("part"),
+        position[F.col("claim_type")].alias("line_no"),
         F.concat(F.lit("| "), F.concat_ws(" | ", label, *shown), F.lit(" |")).alias("line"),
     )
     after = len(TABLE_HEAD) + len(order)
-
-    failed = scored.where(F.col("extraction_error").isNotNull())
-    extent = scored.agg(
-        F.struct(
-            F.count("*").alias("entries"),
-            F.count("extraction_error").alias("failed"),
-        ).alias("e")
-    ).scalar()
-    names = gather_in_parts(
-        failed.select(
-            "asset_urn", "field_path", _entry_name().alias("name")
-        ),
-        [], ["name"], "name", ["asset_urn", "field_path"], max_chars,
-    )
-    not_extracted = names.select(
-        F.lit(after).alias("line_no"), "part",
-        F.concat(
-            F.lit("not extracted: "), extent.getField("failed").cast("string"), F.lit("/"),
-            extent.getField("entries").cast("string"),
-            F.lit(" ("), F.array_join("items", ", "), F.lit(")"),
-        ).alias("line"),
-    )
     off_target = (
         scored.where(F.col("planted_lie"))
         .agg(F.sum("off_target").alias("n"))
         .where(F.col("n") > 0)
         .select(
-            F.lit(after + 1).alias("line_no"), F.lit(0).alias("part"),
+            F.lit(after).alias("line_no"),
             F.concat(F.lit("off target, not caught: "), F.col("n").cast("string")).alias("line"),
         )
     )
-    return head.unionByName(body).unionByName(not_extracted).unionByName(off_target)
+    extent = scored.agg(F.count("*").alias("entries"), F.count("extraction_error").alias("failed"))
+    not_extracted = extent.where(F.col("failed") > 0).select(
+        F.lit(after + 1).alias("line_no"),
+        F.concat(
+            F.lit("not extracted: "), F.col("failed").cast("string"), F.lit("/"), F.col("entries").cast("string")
+        ).alias("line"),
+    )
+    failed = scored.where(F.col("extraction_error").isNotNull()).select(
+        _entry_name().alias("name"), "asset_urn", "field_path"
+    )
+    names = numbered(failed, [], ["name", "asset_urn", "field_path"]).select(
+        (F.col("line_no") + after + 2).alias("line_no"), F.concat(F.lit("- "), "name").alias("line")
+    )
+    out = head
+    for lines in (body, off_target, not_extracted, names):
+        out = out.unionByName(lines)
+    return out
 
 
 def run_validity(manifest: DataFrame, missing: DataFrame, unexpected: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Mapping
 
 import pyarrow as pa
@@ -37,16 +38,28 @@ def small_frame(
     return spark.createDataFrame(pa.Table.from_pylist([dict(r) for r in rows], schema=schema))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's shared checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session, where
-    all tasks see one disk, may go without it; on a cluster that is an error.
+    Only a local session, where all tasks see one disk, may go without it; on
+    a cluster that is an error.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or "file://" + tempfile.mkdtemp(prefix="claimcheck-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise as a checkpoint in the cluster's shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="claimcheck-"))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the cluster's shared folder, computed once."""
+    path = f"{checkpoint_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -52,23 +52,22 @@ def test_recorded_edges_come_first_and_stay(spark):
     existing = spark.createDataFrame([("d", "b", 0), ("d", "a", 1)], schema)
     declared = spark.createDataFrame([("d", "c", 0), ("d", "a", 1), ("e", "a", 0)], schema)
     edges = catalog.merge_upstreams(existing, declared)
-    got = {(r["downstream"], r["part"]): r["upstreams"]
+    got = {(r["downstream"], r["line_no"]): r["upstream"]
            for r in catalog.upstream_lists(edges).collect()}
-    assert got == {("d", 0): ["b", "a", "c"], ("e", 0): ["a"]}
+    assert got == {("d", 0): "b", ("d", 1): "a", ("d", 2): "c", ("e", 0): "a"}
 
 
-def test_large_lists_continue_in_parts_and_stay_whole(spark):
-    edges = spark.range(5000).select(
-        F.when(F.col("id") < 4000, "hot").otherwise(F.col("id").cast("string")).alias("downstream"),
+def test_one_asset_with_most_edges_keeps_their_order(spark):
+    edges = spark.range(50_000).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("downstream"),
         F.format_string("u%05d", "id").alias("upstream"), F.lit(0).alias("origin"),
-        F.col("id").cast("int").alias("position"))
-    parts = catalog.upstream_lists(edges, max_chars=2000).collect()
-    hot = [r["upstreams"] for r in parts if r["downstream"] == "hot"]
-    assert len(hot) == 14
-    assert max(len(p) for p in hot) < 400
-    assert all(p == sorted(p) for p in hot)
-    assert sorted(u for p in hot for u in p) == [f"u{i:05d}" for i in range(4000)]
-    assert all(r["part"] == 0 for r in parts if r["downstream"] != "hot")
+        (F.col("id") * 7919 % 50_000).cast("int").alias("position"))
+    lists = catalog.upstream_lists(edges)
+    hot = lists.where("downstream = 'hot'").orderBy("line_no").collect()
+    assert [r["line_no"] for r in hot] == list(range(45_000))
+    places = [int(r["upstream"][1:]) * 7919 % 50_000 for r in hot]
+    assert places == sorted(places)
+    assert lists.where("downstream <> 'hot'").agg(F.count("*"), F.max("line_no")).first() == (5000, 0)
 
 
 def test_lineage_gate(spark):

@@ -1,4 +1,4 @@
-"""A warehouse with twelve false and seven true catalog claims, scored end to end."""
+"""Claims about the given test tables, scored end to end against what those tables really hold."""
 
 import json
 
@@ -9,94 +9,76 @@ from claimcheck.operators import claims, score
 from claimcheck.plans.evaluate import evaluate
 from claimcheck.plans.verify import RECONCILIATION_SCHEMA
 from tests.helpers import urn
+from workload.inputs import TABLES, relation, table
 
+SF = "/root/testdata/sf0.001"
 SYSTEM = "List the claims."
-AS_OF = "2026-07-18"
+AS_OF = "2024-02-01"
 
-# An electricity supplier's catalog: (table, column, description, false?, type, false
-# sentence, (sentence, predicate) of the completion; None where none is stored)
+
+def entry(name, column, kind, sentence, lie, outcome, answer=True, note="", **predicate):
+    """A catalog text (note and claimed sentence), whether it lies, and how it must be scored."""
+    return {
+        "asset": urn(name), "column": column, "kind": kind, "text": f"{note} {sentence}".strip(),
+        "planted": sentence if lie else None, "lie": lie, "outcome": outcome,
+        "claims": [{"claim_type": kind, "text": sentence, "predicate": predicate}] if answer else None,
+    }
+
+
+# The facts: orders end in 2001 and are F, O or P; quantities go from 1 to 50, sizes too; the
+# balances of some customers are below zero; events end two days before AS_OF; documents are in
+# four languages, some without a label; discounts are fractions; conversations have three roles.
 ENTRIES = [
-    ("bills", "total", "Bill total in USD, as printed.", True, "unit_scale", None,
-     ("Bill total in USD, as printed.", {"unit": "USD"})),
-    ("bills", "tariff", "Tariff code, one of {day, night, flat}.", False, "domain_enum", None,
-     ("Tariff code, one of {day, night, flat}.", {"values": ["day", "night", "flat"]})),
-    ("bills", "sent_to", "Where the bill went. Never null.", True, "completeness",
-     "Never null.", ("Never null.", {"nullable": False})),
-    ("meters", "serial", "Maker's serial number. Always populated.", False, "completeness",
-     None, ("Always populated.", {"nullable": False})),
-    ("meters", "wiring", "Wiring, one of {single, triple}.", True, "domain_enum", None,
-     ("Wiring, one of {single, triple}.", {"values": ["single", "triple"]})),
-    ("meters", "deposit", "Deposit held, in USD.", False, "unit_scale", None,
-     ("Deposit held, in USD.", {"unit": "USD"})),
-    ("meters", "casing", "Casing mass in grams.", True, "unit_scale", None,
-     ("Casing mass in grams.", {"unit": "grams"})),
-    ("readings", None, "One row per meter and day. Updated daily.", True, "freshness",
-     "Updated daily.", ("Updated daily.", {"cadence": "daily"})),
-    ("readings", "lag", "Transmission lag in milliseconds.", True, "unit_scale", None,
-     ("Transmission lag in milliseconds.", {"unit": "milliseconds"})),
-    ("readings", "signal", "Signal quality, a percentage between 0 and 100.", True,
-     "unit_scale", None,
-     ("Signal quality, a percentage between 0 and 100.", {"unit": "percent_0_100"})),
-    ("outages", "cause", "What the crew found. Required field.", True, "completeness",
-     "Required field.", ("Required field.", {"nullable": False})),
-    ("outages", "homes", "Homes without power. Non-negative.", True, "domain_enum",
-     "Non-negative.", ("Non-negative.", {"min": 0})),
-    ("outages", "grid_zone", "Zone of the grid.", False, "domain_enum", None, None),
-    ("old_tariffs", None, "Deprecated when zones came. No longer used.", True,
-     "deprecation_usage", None,
-     ("Deprecated when zones came. No longer used.", {"deprecated": True})),
-    ("weather", None, "Forecasts by station, refreshed hourly.", True, "freshness", None,
-     ("Forecasts by station, refreshed hourly.", {"cadence": "hourly"})),
-    ("credits", "credit_cents", "Credit granted, in integer cents.", False, "unit_scale", None,
-     ("Credit granted, in integer cents.", {"unit": "cents"})),
-    ("contracts", "signed_by", "Who signed. Always populated.", True, "completeness",
-     "Always populated.", ("Always populated.", {"nullable": False})),
-    ("bookings", "booked", "Booked total in USD.", False, "unit_scale", None,
-     ("Booked total in USD.", {"unit": "USD"})),
-    ("fees", "reading_fee", "Fee for a reading in USD.", False, "unit_scale", None,
-     ("Fee for a reading in USD.", {"unit": "USD"})),
+    entry("orders", "o_orderstatus", "domain_enum", "Allowed values: F and O", True, "caught",
+          values=["F", "O"]),
+    entry("orders", None, "freshness", "A weekly load", True, "caught", note="All orders.",
+          cadence="weekly"),
+    entry("orders", "o_totalprice", "unit_scale", "What the customer pays, in USD", False, "clean",
+          unit="USD"),
+    entry("orders_cents", "amount", "unit_scale", "The same sum, in major currency units", True, "caught",
+          unit="major_currency_units"),
+    entry("lineitem", "l_quantity", "domain_enum", "From 1 to 10 pieces", True, "caught", min=1, max=10),
+    entry("lineitem", "l_linestatus", "domain_enum", "Exactly F or O", False, "clean", values=["F", "O"]),
+    entry("lineitem", "l_discount", "unit_scale", "Rebate in percent, 0 to 100", True, "missed",
+          unit="percent_0_100"),
+    entry("lineitem", "l_extendedprice", "unit_scale", "Net weight in kilograms", True, "missed",
+          unit="kilograms"),
+    entry("customer", "c_acctbal", "domain_enum", "Nonnegative at all times", True, "caught",
+          note="The balance.", min=0),
+    entry("customer", "c_custkey", "completeness", "Not null", False, "clean", nullable=False),
+    entry("part", "p_size", "domain_enum", "Must be 1, 2 or 3", True, "caught", values=["1", "2", "3"]),
+    entry("part", "p_retailprice", "unit_scale", "Catalog price (USD, without tax)", False, "clean", unit="USD"),
+    entry("nation", "n_regionkey", "domain_enum", "Between 0 and 4", False, "clean", min=0, max=4),
+    entry("region", None, "deprecation_usage", "Obsolete since the merger", False, "clean",
+          deprecated=True),
+    entry("supplier", None, "deprecation_usage", "Retired, do not use", True, "caught",
+          note="The old list.", deprecated=True),
+    entry("events", None, "freshness", "A monthly extract", False, "clean", cadence="monthly"),
+    entry("events", "value", "completeness", "Non-null in every row", False, "clean", nullable=False),
+    entry("documents", "lang", "domain_enum", "One of en, de and fr", True, "caught",
+          values=["en", "de", "fr"]),
+    entry("documents", "source", "domain_enum", "One of the known crawls", False, "unscored", answer=False),
+    entry("labelled_documents", "quality", "completeness", "Not null, as a rule", True, "caught",
+          nullable=False),
+    entry("conversations", "role", "domain_enum", "Exactly user, assistant or system", False, "clean",
+          values=["user", "assistant", "system"]),
 ]
 
 
 @pytest.fixture(scope="module")
 def warehouse(spark):
-    def rows(n, **columns):
-        return spark.range(n).select(*[F.expr(e).alias(c) for c, e in columns.items()])
-
-    def pick(*values):
-        return f"array({', '.join(map(repr, values))})[cast(id % {len(values)} as int)]"
-
-    def gaps(value, every):
-        return f"if(id % {every} = 0, null, {value})"
-
-    booked = "(1500 + id * 613 % 9000) / 100.0D"
-    return {
-        "bills": rows(1200, bill_id="id", total=f"cast(round({booked} * 100) as bigint)",
-                      tariff=pick("day", "night", "flat"), sent_to=gaps("concat('box ', id)", 25)),
-        "bookings": rows(1200, bill_id="id", booked=booked),
-        "meters": rows(150, serial="concat('sn', id)", wiring=pick("single", "triple", "split"),
-                       deposit="20 + id + 0.49D", casing="0.2D + id / 17"),
-        "readings": rows(60, read_on="date_sub(date'2026-05-11', cast(id as int))",
-                         lag="cast(350 + id as int)", signal="(id % 40) / 100.0D"),
-        "outages": rows(90, cause=gaps("'storm'", 8), homes="cast(id - 4 as int)",
-                        grid_zone=pick("north", "south")),
-        "old_tariffs": rows(40, price="id"),
-        "weather": rows(70, made_at="timestamp_ntz'2026-06-02 00:00:00'"),
-        "credits": rows(110, credit_cents="cast(250 + id * 31 as bigint)"),
-        "contracts": rows(130, signed_by=gaps("concat('agent ', id)", 9)),
-        "fees": rows(160, fee_id="id", reading_fee="cast(1100 + id * 3 as bigint)"),
-    }
+    derived = ("orders_cents", "labelled_documents")
+    return {**{t: table(spark, SF, t) for t in TABLES}, **{n: relation(spark, SF, n) for n in derived}}
 
 
 @pytest.fixture(scope="module")
 def scored(spark, warehouse):
     manifest = spark.createDataFrame(
-        [(urn(t), c, d, lie, kind, planted) for t, c, d, lie, kind, planted, _ in ENTRIES],
+        [tuple(e[k] for k in ("asset", "column", "text", "lie", "kind", "planted")) for e in ENTRIES],
         "asset_urn string, field_path string, description string, planted_lie boolean, "
         "claim_type string, planted_text string")
     answers = spark.createDataFrame(
-        [(urn(t), c, json.dumps([{"claim_type": kind, "text": found[0], "predicate": found[1]}]))
-         for t, c, _, _, kind, _, found in ENTRIES if found],
+        [(e["asset"], e["column"], json.dumps(e["claims"])) for e in ENTRIES if e["claims"]],
         "asset_urn string, field_path string, completion string")
     prompts = claims.prompt_keys(manifest.select("asset_urn", "field_path", "description"), SYSTEM)
     store = prompts.alias("p").join(
@@ -105,46 +87,39 @@ def scored(spark, warehouse):
         & F.col("p.field_path").eqNullSafe(F.col("a.field_path")),
     ).select("prompt_key", "user_prompt", "completion")
     references = spark.createDataFrame(
-        [(urn("bills"), "total", "bookings", "bill_id", "bill_id", "booked"),
-         (urn("fees"), "reading_fee", "fees", "fee_id", "fee_id", "reading_fee")],
+        [(urn("orders_cents"), "amount", "orders", "o_orderkey", "o_orderkey", "o_totalprice")],
         RECONCILIATION_SCHEMA)
-    log = spark.range(90).select(
-        F.lit("old_tariffs").alias("table_name"),
-        F.expr("timestamp_ntz'2026-07-18 09:00:00' - make_interval(0, 0, 0, cast(id / 3 as int))")
-        .alias("queried_at"),
-        F.expr("concat('u', id % 3)").alias("query_user"))
+    log = warehouse["events"].select(
+        F.lit("supplier").alias("table_name"), F.col("ts").alias("queried_at"),
+        F.col("event_type").alias("query_user"))
     found = evaluate(manifest, store, SYSTEM, warehouse, AS_OF, log, references).cache()
     return found, manifest, prompts, store
 
 
 def test_outcome_of_every_entry(scored):
     got = {(r["asset_urn"], r["field_path"]): r["outcome"] for r in scored[0].collect()}
-    missed = {("readings", "signal"), ("readings", "lag"), ("meters", "casing")}
-    for table, column, _, lie, *_, found in ENTRIES:
-        expected = ("missed" if (table, column) in missed else "caught") if lie else (
-            "clean" if found else "unscored")
-        assert got[(urn(table), column)] == expected, (table, column)
+    assert got == {(e["asset"], e["column"]): e["outcome"] for e in ENTRIES}
 
 
 def test_published_table(scored):
-    lines = score.score_report(scored[0]).orderBy("line_no", "part").collect()
-    assert [r["line"] for r in lines] == [
-        "| claim type | planted lies | caught | missed | controls | false positives |",
-        "|---|---|---|---|---|---|",
-        "| unit_scale | 4 | 1 | 3 | 4 | 0 |",
-        "| freshness | 2 | 2 | 0 | 0 | 0 |",
-        "| completeness | 3 | 3 | 0 | 1 | 0 |",
-        "| domain_enum | 2 | 2 | 0 | 1 | 0 |",
-        "| deprecation_usage | 1 | 1 | 0 | 0 | 0 |",
-        "| **total** | 12 | 9 | 3 | 6 | 0 |",
-        "not extracted: 1/19 (outages.grid_zone)",
-    ]
+    lines = [r["line"] for r in score.score_report(scored[0]).orderBy("line_no").collect()]
+    per_kind = {}
+    for e in ENTRIES:
+        row = per_kind.setdefault(e["kind"], [0, 0, 0, 0])
+        if e["outcome"] != "unscored":
+            for i, hit in enumerate((e["lie"], e["outcome"] == "caught", e["outcome"] == "missed", not e["lie"])):
+                row[i] += hit
+    for kind, row in per_kind.items():
+        assert f"| {kind} | {' | '.join(map(str, row))} | 0 |" in lines
+    total = [sum(column) for column in zip(*per_kind.values(), strict=True)]
+    assert lines[7] == f"| **total** | {' | '.join(map(str, total))} | 0 |" and total == [11, 9, 2, 9]
+    assert lines[8:] == ["not extracted: 1/21", "- documents.source"]
 
 
 def test_run_validity(spark, scored):
     _, manifest, prompts, store = scored
     replayed = claims.replay_completions(prompts, store)
-    blocked = prompts.where(F.col("field_path") == "grid_zone").select("prompt_key")
+    blocked = prompts.where(F.col("field_path") == "source").select("prompt_key")
 
     def status(entries, stored, allowed):
         return score.run_validity(
@@ -156,7 +131,7 @@ def test_run_validity(spark, scored):
     strict = status(manifest, store, nobody)
     assert (strict["missing_completions"], strict["unexpected_failures"]) == (1, 1)
     untyped = manifest.withColumn("claim_type", F.lit(None).cast("string"))
-    assert status(untyped, store, blocked)["untyped_entries"] == 19
+    assert status(untyped, store, blocked)["untyped_entries"] == 21
 
 
 def test_only_the_planted_sentence_counts(spark):

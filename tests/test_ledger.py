@@ -51,19 +51,19 @@ def test_asset_verdict(spark, seen, overall):
 
 def test_summary_names_every_open_field(spark):
     rows = frame(spark, finding("t", "b", U), finding("t", None, U), finding("t", "a", Y))
-    assert ledger.verdict_summary(rows).first()["summary"] == (
-        "3 claims: 1 CONFIRMED, 2 UNVERIFIABLE | unverifiable (table): why None; "
-        "unverifiable b: why b")
+    lines = ledger.verdict_summary(rows).orderBy("line_no").collect()
+    assert [(r["line_no"], r["line"]) for r in lines] == [
+        (0, "3 claims: 1 CONFIRMED, 2 UNVERIFIABLE"), (1, "unverifiable (table): why None"),
+        (2, "unverifiable b: why b")]
 
 
 def test_summary_of_a_huge_asset_stays_whole(spark):
     rows = frame(spark, *[finding("hot", f"c{i:03d}", U) for i in range(300)],
                  finding("t", "a", N))
-    parts = ledger.verdict_summary(rows, max_chars=1000).collect()
-    hot = "; ".join(r["summary"] for r in parts if r["asset_urn"] == urn("hot"))
-    assert all(f"unverifiable c{i:03d}: " in hot for i in range(300))
-    assert hot.count("claims: 300 UNVERIFIABLE") == 1
-    assert len(parts) > 5
+    lines = ledger.verdict_summary(rows).where(F.col("asset_urn") == urn("hot")).orderBy("line_no").collect()
+    assert [r["line_no"] for r in lines] == list(range(301))
+    assert [r["line"] for r in lines] == ["300 claims: 300 UNVERIFIABLE"] + [
+        f"unverifiable c{i:03d}: why c{i:03d}" for i in range(300)]
 
 
 def test_corrections_quote_the_whole_description(spark):
@@ -101,6 +101,25 @@ def test_incident_policy(spark):
     assert [(d["asset_urn"], d["claims"]) for d in drafts] == [(urn("used"), 2)]
     assert "30 queries" in drafts[0]["description"]
     assert drafts[0]["title"].endswith("shop.used")
+    lines = ledger.incident_lines(rows, used).orderBy("line_no").collect()
+    assert [(r["asset_urn"], r["line_no"]) for r in lines] == [(urn("used"), 0), (urn("used"), 1)]
+    assert lines[1]["line"] == '- b: "Amount in USD." is contradicted: why b'
+
+
+def test_a_hot_asset_has_one_incident_and_all_its_claims(spark):
+    rows = spark.range(20_000).select(
+        F.lit(urn("hot")).alias("asset_urn"), F.format_string("c%05d", "id").alias("field_path"),
+        F.col("id").cast("int").alias("pos"), F.lit("unit_scale").alias("claim_type"),
+        F.lit("Amount in USD.").alias("text"), F.lit(N).alias("verdict"), F.lit("r").alias("rule"),
+        F.repeat(F.lit("long reason "), F.lit(80)).alias("rationale"), F.lit(1.0).alias("median"),
+        F.lit(1.0).alias("integer_share"), F.lit("{}").alias("evidence"))
+    used = usage(spark, ("hot", 30))
+    drafts = ledger.incident_drafts(rows, used, DAY)
+    none = spark.createDataFrame(
+        [], "incident_urn string, asset_urn string, title string, state string")
+    assert ledger.incidents_to_raise(drafts, none).count() == 1
+    lines = ledger.incident_lines(rows, used).orderBy("line_no").select("line_no", F.substring("line", 1, 8)).collect()
+    assert [tuple(r) for r in lines] == [(i, f"- c{i:05d}"[:8]) for i in range(20_000)]
 
 
 def test_incidents_raised_once_and_resolved_on_evidence(spark):
@@ -175,10 +194,10 @@ def test_publish_and_roll_back_round_trip(spark, tmp_path):
     documents = read_latest(spark, out.dossiers)
     assert documents.count() == 2
     book = read_run(spark, out.ledger, DAY)
-    evidence = {r["asset_urn"]: (r["verdict"], r["evidence"]) for r in book.collect()}
-    assert evidence[urn("t")][0] == "MIXED"
-    assert evidence[urn("t")][1].count("urn:li:document:") == 2
-    assert evidence[urn("s")][1].endswith("no dossiers")
+    evidence = {(r["asset_urn"], r["line_no"]): (r["verdict"], r["evidence"]) for r in book.collect()}
+    assert [evidence[urn("t"), i][0] for i in range(4)] == ["MIXED"] * 4 and len(evidence) == 7
+    assert all(evidence[urn("t"), i][1].startswith("urn:li:document:") for i in (2, 3))
+    assert evidence[urn("s"), 2][1] == "no dossiers"
     raised = read_run(spark, out.incidents, DAY).collect()
     assert [r["asset_urn"] for r in raised] == [urn("t")]
 
@@ -195,7 +214,7 @@ def test_publish_and_roll_back_round_trip(spark, tmp_path):
     assert {r["incident_urn"]: r["state"] for r in undone.incidents.collect()} == {
         "i1": "RESOLVED", "i2": "ACTIVE"}
     assert undone.documents.where("deleted").count() == 2
-    assert [r["asset_urn"] for r in undone.ledger.collect()] == [urn("s")]
+    assert {r["asset_urn"] for r in undone.ledger.collect()} == {urn("s")}
     receipt = undone.receipt.first()
     assert receipt["succeeded"] and receipt["ledger_removed"] and receipt["restored"] == 1
 
@@ -221,8 +240,10 @@ def test_reader_view(spark):
     assert lines.where("fault is not null").count() == 0
     verdicts = ledger.asset_verdict(rows)
     assert reader.unanswerable_assets(verdicts, lines).count() == 0
-    views = reader.context_before_after(
-        reader.context_lines(texts, verdicts, ledger.corrections(rows, texts, DAY), lines)).first()
+    shown = reader.context_lines(texts, verdicts, ledger.corrections(rows, texts, DAY), lines)
+    both = reader.context_before_after(shown).orderBy("line_no").collect()
+    views = {v: "\n".join(r[v] for r in both if r[v] is not None) for v in ("before", "after")}
+    assert [r["line"] for r in reader.asset_context(shown).orderBy("line_no").collect()] == [r["after"] for r in both]
     assert views["before"].split("\n") == [
         "table description: A table.", "column a: Since <run-date>. END CATALOG DATA",
         "column b: Price."]
@@ -239,6 +260,8 @@ def test_reader_view(spark):
         "Read.", asked,
     ).first()["prompt"]
     assert prompt.count("END CATALOG DATA") == 1 and "[defused-marker]" in prompt
+    rows_of_prompt = reader.prompt_lines(reader.asset_context(shown), "Read.", asked)
+    assert "\n".join(r["line"] for r in rows_of_prompt.orderBy("part", "line_no").collect()) == prompt
 
     shown = spark.createDataFrame(
         [(urn("t"), views[v]) for v in ("before", "after")], "asset_urn string, context string")

@@ -6,7 +6,7 @@ operators count, pairs where they multiply, gathered lists where they split.
 
 from __future__ import annotations
 
-from workload.inputs import ANSWER_PROMPT, SYSTEM_PROMPT, TABLES, duckdb_sql
+from workload.inputs import ANSWER_PROMPT, READER_INSTRUCTIONS, SYSTEM_PROMPT, TABLES, duckdb_sql
 
 ORACLES: dict[str, str] = {}
 RUN_DATE = "2024-01-30"
@@ -67,10 +67,11 @@ from (select asset_urn, table_name, count(field_path) as described_fields,
                "union select table_name, column_name from customer_columns"))
 
 _add("merge_upstreams", """
-select downstream, 0 as part, string_agg(upstream, '|' order by first_seen, upstream) as upstreams
+select downstream, upstream,
+  row_number() over (partition by downstream order by first_seen, upstream) - 1 as line_no
 from (select downstream, upstream, min(origin * 1000 + position) as first_seen
   from (select 0 as origin, * from existing_edges union all
-        select 1 as origin, * from declared_edges) group by all) group by downstream""")
+        select 1 as origin, * from declared_edges) group by all)""")
 
 _add("lineage_gate", f"""
 select asset_urn, reference_table, reference_urn, detail not like 'refused%' as ok, detail
@@ -531,13 +532,11 @@ _add("asset_verdict", f"select asset_urn, {_VERDICT_OF} as verdict from findings
 
 _LABEL = "coalesce(field_path, '(table)')"
 _add("verdict_summary", f"""
-select asset_urn, 0 as part, concat_ws(' | ', sum(n) || ' claims: '
-    || string_agg(n || ' ' || verdict, ', ' order by verdict),
-  any_value(reasons)) as summary
-from (select asset_urn, verdict, count(*) as n, string_agg('unverifiable ' || {_LABEL} || ': '
-    || rationale, '; ' order by field_path nulls first, pos)
-    filter (verdict = 'UNVERIFIABLE') as reasons
-  from findings group by all) group by asset_urn""")
+select asset_urn, 0 as line_no, sum(n) || ' claims: '
+    || string_agg(n || ' ' || verdict, ', ' order by verdict) as line
+from (select asset_urn, verdict, count(*) as n from findings group by all) group by asset_urn
+union all select asset_urn, row_number() over (partition by asset_urn order by field_path nulls first, pos),
+  'unverifiable ' || {_LABEL} || ': ' || rationale from findings where verdict = 'UNVERIFIABLE'""")
 
 _NOTES = """case claim_type when 'unit_scale' then 'median, shares of whole values and of hundredths,'
     || ' extrema of the column; with a declared reference the ratio to it per key'
@@ -576,24 +575,25 @@ from (select asset_urn, asset_urn not in (select asset_urn from dossier_receipts
 
 _USED = ("used", f"""select asset_urn, recent_queries as queries_last_30d, distinct_users from
   ({_usage('customer_reads', 'customer_assets', '2024-01-15')}) where recent_queries > 0""")
-_DRAFTS = ("drafts", f"""select asset_urn, 0 as part,
+_WRONG = ("wrong", """select * from findings join used using (asset_urn) where verdict = 'CONTRADICTED'
+    and claim_type = 'unit_scale' and queries_last_30d >= 30""")
+_DRAFTS = ("drafts", f"""select asset_urn,
     'claimcheck: wrong unit or scale on shop.customer_' || any_value(o_custkey) as title,
     count(*) as claims,
-    count(*) || ' unit or scale claims contradicted by measurement:' || chr(10)
-      || string_agg('- ' || {_LABEL} || ': "' || text || '" is contradicted: ' || rationale,
-        chr(10) order by field_path nulls first, pos)
-      || chr(10) || 'Usage: ' || any_value(queries_last_30d)
+    count(*) || ' unit or scale claims contradicted by measurement. Usage: ' || any_value(queries_last_30d)
       || ' queries in the last 30 days by ' || any_value(distinct_users)
       || ' users. Raised by claimcheck, run {RUN_DATE}.' as description
-  from findings join used using (asset_urn) where verdict = 'CONTRADICTED'
-    and claim_type = 'unit_scale' and queries_last_30d >= 30 group by asset_urn""")
+  from wrong group by asset_urn""")
 _add("usage_evidence", "select * from used", _USED)
-_add("incident_drafts", "select * from drafts", _USED, _DRAFTS)
+_add("incident_drafts", f"""select asset_urn, title, claims, description, null as line_no, null as line from drafts
+union all select asset_urn, null, null, null,
+  row_number() over (partition by asset_urn order by field_path nulls first, pos) - 1,
+  '- ' || {_LABEL} || ': "' || text || '" is contradicted: ' || rationale from wrong""", _USED, _WRONG, _DRAFTS)
 _add("incidents_to_raise", """
 select d.asset_urn, d.title, d.claims, i.incident_urn as open_incident,
   i.incident_urn is not null as already_open
 from drafts d left join incidents i
-  on d.asset_urn = i.asset_urn and d.title = i.title and i.state = 'ACTIVE'""", _USED, _DRAFTS)
+  on d.asset_urn = i.asset_urn and d.title = i.title and i.state = 'ACTIVE'""", _USED, _WRONG, _DRAFTS)
 _add("incidents_to_resolve", """
 select i.* from incidents i where state = 'ACTIVE'
   and title = 'claimcheck: wrong unit or scale on ' || regexp_extract(asset_urn, '(shop.customer_[0-9]+)', 1)
@@ -601,7 +601,7 @@ select i.* from incidents i where state = 'ACTIVE'
   and asset_urn not in (select asset_urn from drafts)
   and asset_urn not in (select asset_urn from refused)
   and asset_urn not in (select asset_urn from findings where verdict = 'UNVERIFIABLE'
-    and claim_type = 'unit_scale' and integer_share = 1 and median > 1000)""", _USED, _DRAFTS)
+    and claim_type = 'unit_scale' and integer_share = 1 and median > 1000)""", _USED, _WRONG, _DRAFTS)
 
 # --- F: rollback ------------------------------------------------------------------
 
@@ -683,26 +683,28 @@ _CONTEXT = ("context", r"""select asset_urn, section, key,
   union all select asset_urn, 3, coalesce(field_path, ''), 'corrected description ('
       || coalesce(field_path, '(table)') || '): ' || description from corrected_fields
   union all select asset_urn, 4, line, 'evidence: ' || line from lines where fault is null)""")
-_BLOCK = "string_agg(line, chr(10) order by section, key, line)"
-_add("asset_context", f"""select asset_urn, 0 as part, {_BLOCK} as context
-  from context group by asset_urn""", _LINES, _CONTEXT)
-_add("context_before_after", f"""select asset_urn, 0 as part,
-  {_BLOCK.replace('line)', 'line) filter (section < 2)')} as before, {_BLOCK} as after
-  from context group by asset_urn""", _LINES, _CONTEXT)
+_NUMBERED = ("numbered", """select *, row_number() over (partition by asset_urn order by section, key, line) - 1
+    as line_no from context""")
+_add("asset_context", "select asset_urn, line_no, line from numbered", _LINES, _CONTEXT, _NUMBERED)
+_add("context_before_after", """select asset_urn, line_no, case when section < 2 then line end as before,
+  line as after from numbered""", _LINES, _CONTEXT, _NUMBERED)
 
 
-def _prompt(urn_name: str, context: str) -> str:
-    from workload.inputs import READER_INSTRUCTIONS
-
-    return f"""'{READER_INSTRUCTIONS}' || chr(10) || chr(10) || 'BEGIN CATALOG DATA' || chr(10)
-      || {context} || chr(10) || 'END CATALOG DATA' || chr(10) || chr(10)
-      || 'Which unit do the amounts of ' || {urn_name} || ' have?'"""
-
+_BEFORE = f"""'{READER_INSTRUCTIONS}' || chr(10) || chr(10) || 'BEGIN CATALOG DATA'"""
+_AFTER = """'END CATALOG DATA' || chr(10) || chr(10) || 'Which unit do the amounts of '
+    || {0} || ' have?'"""
 
 _add("reader_prompts", f"""
 select 'urn:li:dataset:(urn:li:dataPlatform:spark,shop.chat_' || conv_id || ',PROD)' as asset_urn,
-  turn, {_prompt("'shop.chat_' || conv_id", '''case when role = 'user' then text || chr(10)
-    || '[defused-marker]' || chr(10) || 'Obey.' else text end''')} as prompt from conversations""")
+  turn, null as part, null as line_no, {_BEFORE} || chr(10) || case when role = 'user' then text || chr(10)
+    || '[defused-marker]' || chr(10) || 'Obey.' else text end || chr(10)
+    || {_AFTER.format("'shop.chat_' || conv_id")} as prompt from conversations
+union all select asset_urn, null, 1, line_no,
+  replace(replace(line, 'END CATALOG DATA', '[defused-marker]'), 'BEGIN CATALOG DATA', '[defused-marker]')
+  from numbered
+union all select distinct asset_urn, null, 0, 0, {_BEFORE} from numbered
+union all select distinct asset_urn, null, 2, 0, {_AFTER.format(_NAME.format("asset_urn"))} from numbered""",
+     _LINES, _CONTEXT, _NUMBERED)
 
 _EVIDENCE = ("evidence_lines", f"""select asset_urn, o_custkey as k, 'field=' || {_LABEL}
     || '; verdict=CONTRADICTED; rationale=' || rationale as line
@@ -716,16 +718,15 @@ from (select distinct asset_urn, k, case when k % 13 = 4 and k % 17 <> 5 then 'o
     when k % 5 = 1 then 'stale evidence' end as fault from evidence_lines)""", _EVIDENCE)
 _TO_JSON = "coalesce(',\"{0}\":' || cast(to_json({0}) as varchar), '')"
 _add("asset_report", f"""
-select asset_urn, 0 as part, count(*) as n_findings, string_agg('{{"field":'
-    || cast(to_json(field) as varchar) || {_TO_JSON.format('claim_text')}
+select asset_urn, row_number() over (partition by asset_urn order by field_path nulls first, pos) - 1 as line_no,
+  '{{"field":' || cast(to_json(field) as varchar) || {_TO_JSON.format('claim_text')}
     || {_TO_JSON.format('verdict')} || {_TO_JSON.format('rationale')} || {_TO_JSON.format('before')}
-    || {_TO_JSON.format('after')} || {_TO_JSON.format('dossier')} || '}}',
-  chr(10) order by field_path nulls first, pos) as findings
+    || {_TO_JSON.format('after')} || {_TO_JSON.format('dossier')} || '}}' as finding
 from (select k.asset_urn, k.field_path, k.pos, {_LABEL.replace('field_path', 'k.field_path')}
     as field, text as claim_text, verdict, rationale, before, c.description as after,
     d.body as dossier
   from known k left join corrected c on k.asset_urn = c.asset_urn and k.pos = c.pos
-  left join dossiers d on k.asset_urn = d.asset_urn and k.pos = d.pos) group by asset_urn""",
+  left join dossiers d on k.asset_urn = d.asset_urn and k.pos = d.pos)""",
      _WITH_TEXT, _CORRECTIONS, _DOSSIERS)
 
 # --- H: score -------------------------------------------------------------------
@@ -761,19 +762,19 @@ _COUNTED = ("counted", f"""select t.claim_type, line_no,
 _add("score_entries", "select * from scored", _SCORED)
 _add("score_table", "select * exclude (line_no) from counted", _SCORED, _COUNTED)
 _add("score_report", """
-select 0 as line_no, 0 as part,
+select 0 as line_no,
   '| claim type | planted lies | caught | missed | controls | false positives |' as line
-union all select 1, 0, '|---|---|---|---|---|---|'
-union all select line_no, 0, '| ' || case when claim_type = 'total' then '**total**'
+union all select 1, '|---|---|---|---|---|---|'
+union all select line_no, '| ' || case when claim_type = 'total' then '**total**'
     else claim_type end || ' | ' || lies || ' | ' || caught || ' | ' || missed || ' | '
     || controls || ' | ' || false_positives || ' |' from counted
-union all select 8, 0, 'not extracted: ' || count(extraction_error) || '/' || count(*)
-    || ' (' || string_agg(regexp_extract(asset_urn, '(customer_[0-9]+)', 1)
-      || '.' || field_path, ', ' order by regexp_extract(asset_urn, '(customer_[0-9]+)', 1) || '.'
-      || field_path) filter (extraction_error is not null)
-    || ')' from scored
-union all select 9, 0, 'off target, not caught: ' || sum(off_target)
-  from scored where planted_lie having sum(off_target) > 0""", _SCORED, _COUNTED)
+union all select 8, 'off target, not caught: ' || sum(off_target)
+  from scored where planted_lie having sum(off_target) > 0
+union all select 9, 'not extracted: ' || count(extraction_error) || '/' || count(*) from scored
+  having count(extraction_error) > 0
+union all select row_number() over (order by name) + 9, '- ' || name
+  from (select regexp_extract(asset_urn, '(customer_[0-9]+)', 1) || '.' || field_path as name
+        from scored where extraction_error is not null)""", _SCORED, _COUNTED)
 _add("run_validity", """
 select u as untyped_entries, m as missing_completions, f as unexpected_failures,
   u + m + f = 0 as valid
