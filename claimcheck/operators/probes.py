@@ -17,6 +17,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimcheck.functions import urns
+from claimcheck.session import small_frame
 from claimcheck.vocabulary import (
     COMPLETENESS, DEPRECATION_USAGE, DOMAIN_ENUM, FRESHNESS, RATIO_TARGET, RATIO_TOLERANCE,
     UNIT_SCALE, USAGE_WINDOW_DAYS,
@@ -32,7 +33,7 @@ NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 TEMPORAL_TYPES = ("date", "timestamp", "timestamp_ntz")
 
 
-def _is_numeric_name(data_type: Column) -> Column:
+def is_numeric_name(data_type: Column) -> Column:
     return data_type.isin(*NUMERIC_TYPES) | data_type.startswith("decimal")
 
 
@@ -96,7 +97,7 @@ def probe_errors(routed: DataFrame, columns: DataFrame) -> DataFrame:
         .when(no_table, F.concat(F.lit("no such table: "), table))
         .when(per_column & F.col("_type").isNull(),
               F.concat(F.lit("no such column: "), table, F.lit("."), field))
-        .when(kind.isin(UNIT, BOUNDS) & ~_is_numeric_name(F.col("_type")),
+        .when(kind.isin(UNIT, BOUNDS) & ~is_numeric_name(F.col("_type")),
               F.concat(F.lit("not a numeric column: "), table, F.lit("."), field))
         .when((kind == FRESH) & (F.col("_temporal") == 0),
               F.concat(F.lit("no date or timestamp column in table: "), table))
@@ -242,29 +243,60 @@ def fused_profile(
     )
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(field_path, median)``, exact, without a value map over the whole column.
+# Counters of a round of selection, and buckets of an octave in the first one.
+SLOTS, OCTAVE = 1 << 16, 16
+NAN_BUCKET, INFINITE_BUCKET, MIDDLE_BUCKET = 1 << 21, 1 << 20, 40_000
 
-    A first narrow scan brackets the middle with approximate quantiles, 0.2
-    percent to each side at 0.01 percent accuracy. The second one clamps all
-    values into the bracket, which moves no value across the middle, so the
-    exact percentile of the clamped values is that of the column while its
-    state holds the bracket's distinct values only.
-    """
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    bracket = values.agg(
-        F.struct(
-            *[F.percentile_approx(c, [0.498, 0.502], 10_000).alias(c) for c in columns]
-        ).alias("b")
-    ).scalar()
 
-    def _clamped(c: str) -> Column:
-        low, high = bracket.getField(c)[0], bracket.getField(c)[1]
-        return F.when(F.col(c).isNotNull(), F.greatest(low, F.least(high, F.col(c))))
+def _bucket(v: Column) -> Column:
+    """A whole number that grows with the double, NaN last: one of some 70,000."""
+    size = F.abs(v)
+    octaves = F.floor(F.log2(size) * OCTAVE) + MIDDLE_BUCKET
+    return (
+        F.when(v == 0, F.lit(0)).when(F.isnan(v), F.lit(NAN_BUCKET))
+        .when(size == float("inf"), F.signum(v) * INFINITE_BUCKET).otherwise(F.signum(v) * octaves)
+    ).cast("int")
 
-    wide = values.agg(*[F.percentile(_clamped(c), 0.5).alias(c) for c in columns])
-    rows = [F.struct(F.lit(c).alias("field_path"), F.col(c).alias("median")) for c in columns]
-    return wide.select(F.inline(F.array(*rows)))
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(field_path, median)`` of the columns that hold a value, by selection.
+
+    Four rounds count values in buckets that follow their order and go on with
+    the bucket that holds the middle rank: sixteenths of octaves, then twice
+    65,536 equal slots between the bucket's extrema, then single values, of
+    which a slot's slot cannot hold more than some 93,000. State is bounded
+    whatever the data, and counting is a map-side combined aggregate. Two rows
+    a column go from one round to the next, so they are broadcast.
+    """
+    values = df.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("field_path"), F.col(c).cast("double").alias("v")) for c in columns]))
+    ).where(F.col("v").isNotNull())
+    counted = [F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")]
+
+    def holding_the_rank(buckets: DataFrame) -> DataFrame:
+        smaller = Window.partitionBy("field_path", "target").orderBy("bucket").rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        return (
+            buckets.withColumn("rank", F.col("rank") - F.coalesce(F.sum("n").over(smaller), F.lit(0)))
+            .where((F.col("rank") >= 0) & (F.col("rank") < F.col("n")))
+            .select(F.col("field_path").alias("_column"), "target", "rank", "low", "high")
+        )
+
+    first = values.groupBy("field_path", _bucket(F.col("v")).alias("bucket")).agg(*counted)
+    middle = F.expr("array_distinct(array((total - 1) div 2, total div 2))")
+    first = first.withColumn("total", F.sum("n").over(Window.partitionBy("field_path")))
+    found = holding_the_rank(first.withColumn("target", F.explode(middle)).withColumn("rank", F.col("target")))
+    width = F.col("high") - F.col("low")
+    slot = F.when(width > 0, F.floor((F.col("v") - F.col("low")) / width * (SLOTS - 1))).otherwise(0)
+    for bucket in (slot, slot, F.col("v")):
+        inside = (F.col("field_path") == F.col("_column")) & F.col("v").between(F.col("low"), F.col("high"))
+        rows = values.join(F.broadcast(found), inside).groupBy("field_path", "target", "rank", bucket.alias("bucket"))
+        found = holding_the_rank(rows.agg(*counted))
+    low, high = F.min("low"), F.max("low")
+    return found.groupBy(F.col("_column").alias("field_path")).agg(
+        F.when(low == high, low).otherwise(low * 0.5 + high * 0.5).alias("median")
+    )
 
 
 def unit_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -287,26 +319,72 @@ def bounds_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --- distinct values ---------------------------------------------------------
 
 
+# How values of a column are compared with a stated list.
+AS_TEXT, AS_NUMBER, AS_DOUBLE, AS_FLOAT = "text", "number", "double", "float"
+
+
+def _compared_as(df: DataFrame, column: str) -> str:
+    kind = df.schema[column].dataType.simpleString()
+    if kind in (AS_DOUBLE, AS_FLOAT):
+        return kind
+    return AS_NUMBER if kind in NUMERIC_TYPES or kind.startswith("decimal") else AS_TEXT
+
+
+def _plain_number(text: Column) -> Column:
+    """A decimal number without sign of zero, leading zeros or zeros after its last decimal.
+
+    ``1e7`` is written out where a decimal of 38 digits holds it; other text stays as it is.
+    """
+    scientific = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]{1,2}$")
+    long = F.when(scientific, text.try_cast("decimal(38,18)"))
+    exact = long.cast("double") == text.try_cast("double")
+    digits = F.when(exact, long.cast("string")).otherwise(text)
+    whole = F.regexp_extract(digits, r"^[+-]?0*([0-9]*)", 1)
+    fraction = F.regexp_extract(digits, r"\.([0-9]*?)0*$", 1)
+    size = F.concat(
+        F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction))
+    )
+    signed = F.when(digits.startswith("-") & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size)
+    return F.when(digits.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), signed).otherwise(digits)
+
+
 def _shown(df: DataFrame, column: str) -> Column:
-    """A value as text, a number without zeros after its last decimal: 1.0 and 1.00 are shown as 1."""
+    """A value as text, a number without needless zeros."""
     text = F.col(column).cast("string")
-    if not df.schema[column].dataType.simpleString().startswith(("double", "float", "decimal")):
-        return text
-    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*[1-9])0+$", "$1"), r"\.0+$", "")
+    kind = df.schema[column].dataType.simpleString()
+    return _plain_number(text) if kind in (AS_DOUBLE, AS_FLOAT) or kind.startswith("decimal") else text
+
+
+def _value_key(value: Column, compared_as: str) -> Column:
+    """What equal values have in common: for numbers not their spelling, but the number."""
+    if compared_as == AS_TEXT:
+        return value.cast("string")
+    if compared_as == AS_NUMBER:
+        return _plain_number(value.cast("string"))
+    return (value.try_cast(compared_as) + F.lit(0).cast(compared_as)).cast("string")
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(field_path, value, n)``: every distinct value as text with its rows, NULLs left out.
+    """``(field_path, compared_as, value_key, value, n)``: every distinct value with its rows, NULLs left out.
 
-    All columns in one scan: equal (column, value) pairs are counted in a
-    map-side hash aggregate, so a real enumeration shuffles a handful of rows
-    per task, and a column of unique values is spread by value over all tasks.
+    ``value`` is its text; ``value_key`` is equal for equal values, so 1.0 and
+    1.00, or 0.0 and -0.0, are one value. All columns in one scan: equal
+    (column, value) pairs are counted in a map-side hash aggregate, so a real
+    enumeration shuffles a handful of rows per task, and a column of unique
+    values is spread by value over all tasks.
     """
-    shown = [F.struct(F.lit(c).alias("field_path"), _shown(df, c).alias("value")) for c in columns]
+    shown = []
+    for c in columns:
+        kind, text = _compared_as(df, c), _shown(df, c)
+        value_key = _value_key(F.col(c), kind) if kind in (AS_DOUBLE, AS_FLOAT) else text
+        shown.append(F.struct(
+            F.lit(c).alias("field_path"), F.lit(kind).alias("compared_as"), value_key.alias("value_key"),
+            text.alias("value"),
+        ))
     return (
         df.select(F.inline(F.array(*shown)))
         .where(F.col("value").isNotNull())
-        .groupBy("field_path", "value")
+        .groupBy("field_path", "compared_as", "value_key", "value")
         .agg(F.count("*").alias("n"))
     )
 
@@ -319,20 +397,28 @@ def _list_key() -> Column:
 def _against_lists(claims: DataFrame, values: DataFrame) -> DataFrame:
     """``(table_name, field_path, _list, value, n, listed)``: each value of a claimed column, per list.
 
+    An entry of a list is read in the way its column is compared: as text, or as a number of its type.
+
     Claims that state the same list of the same column share one ``_list``.
     """
     stated = claims.select(
         "table_name", "field_path", _list_key(),
         F.col("predicate.values").alias("_values"),
     ).dropDuplicates(["table_name", "field_path", "_list"])
+    entry = F.col("_entry")
+    ways = [
+        F.struct(F.lit(kind).alias("compared_as"), _value_key(entry, kind).alias("value_key"))
+        for kind in (AS_TEXT, AS_NUMBER, AS_DOUBLE, AS_FLOAT)
+    ]
     entries = (
-        stated.select("table_name", "field_path", "_list", F.explode("_values").alias("value"))
-        .where(F.col("value").isNotNull())
+        stated.select("table_name", "field_path", "_list", F.explode("_values").alias("_entry"))
+        .select("table_name", "field_path", "_list", F.inline(F.array(*ways)))
+        .where(F.col("value_key").isNotNull())
         .distinct()
         .withColumn("listed", F.lit(True))
     )
     return values.join(stated.drop("_values"), ["table_name", "field_path"]).join(
-        entries, ["table_name", "field_path", "_list", "value"], "left"
+        entries, ["table_name", "field_path", "_list", "compared_as", "value_key"], "left"
     )
 
 
@@ -340,8 +426,7 @@ def enum_profile(claims: DataFrame, values: DataFrame) -> DataFrame:
     """Claims with ``row_count, distinct_count, unexpected_count, first_unexpected``.
 
     ``claims`` needs ``table_name, field_path, predicate``; ``values`` is
-    ``(table_name, field_path, value, n)``, all distinct values of the claimed
-    columns. Only counts and one value leave the comparison, whatever the
+    ``table_name`` with what ``distinct_values`` gives of the claimed columns. Only counts and one value leave the comparison, whatever the
     number of distinct values; all unexpected ones are :func:`unexpected_values`.
     A claim on a column without values keeps zero counts.
     """
@@ -438,103 +523,105 @@ def _product(left: str, right: str) -> Column:
     return F.col(left).cast("decimal(19,0)") * F.col(right).cast("decimal(19,0)")
 
 
-def reconcile_100x(
-    suspect: DataFrame,
-    reference: DataFrame,
-    suspect_key: str,
-    reference_key: str,
-    column: str,
-    reference_column: str,
-) -> DataFrame:
-    """Does the suspect column sit at 100 times the reference, key by key? One row.
+SIDE_SCHEMA = "side string, k string, v double"
+
+
+def side_rows(df: DataFrame, sides: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """``(side, k, v)``: key and value of several column pairs of a table, in one scan.
+
+    ``sides`` maps a name to its key and value column. Keys are compared as
+    text, numbers as they are written without needless zeros, so 1 and 1.0 match.
+    """
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("side"), _shown(df, k).alias("k"), F.col(v).cast("double").alias("v"))
+        for name, (k, v) in sides.items()
+    ])))
+
+
+def ratio_measures(rows: DataFrame, uses: DataFrame) -> DataFrame:
+    """For each reference: does its suspect side sit at 100 times its reference side, key by key?
 
-    The measures are those of the inner join on the key, but the join's pairs
-    are never produced, so a key with many rows on both sides does no harm:
+    ``rows`` is ``(side, k, v)``; ``uses`` is ``(ref, side, is_left)``, two rows
+    for each ``ref``. The measures are those of the inner join on the key, but
+    the join's pairs are never produced, so a key with many rows on both sides
+    does no harm:
 
     * joined rows are the sum over keys of the product of the two row counts;
     * pairs at the right ratio are found by an equi-join on (key, slot), where
       slots cut log(value) so finely that partners lie in the same slot or in
-      the next, after equal (key, value) rows were merged into one with a count.
+      the next.
 
-    Each side is read once and merged to (key, value, count); all else follows from that.
+    ``rows`` is read once and merged to (side, key, value, count) in one
+    shuffle; totals and both sides of the slots read what that wrote. For that
+    they must not differ below it, so rows are chosen and join keys made by
+    way of the counts, which no filter can reach through the aggregate.
     """
-    def _merged(df: DataFrame, key: str, value: str) -> DataFrame:
-        rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-        return rows.groupBy("k", "v").agg(F.count("*").alias("n"))
-
-    left_values = _merged(
-        suspect.where(F.col(column).isNotNull()), suspect_key, column
+    merged = rows.groupBy("side", "k", "v").agg(F.count("*").alias("n")).join(uses, "side")
+    keyed, nothing = F.col("k").isNotNull(), F.lit(0).cast("bigint")
+    left, right = F.when(F.col("is_left"), F.col("n")), F.when(~F.col("is_left"), F.col("n"))
+    per_key = merged.groupBy("ref", "k").agg(
+        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), left)), nothing).alias("ls"),
+        F.coalesce(F.sum(right), nothing).alias("rs"),
     )
-    right_values = _merged(reference, reference_key, reference_column)
-
-    nothing = F.lit(0).cast("bigint")
-    per_key = (
-        left_values.select("k", F.col("n").alias("ls"), nothing.alias("rs"))
-        .unionByName(right_values.select("k", nothing.alias("ls"), F.col("n").alias("rs")))
-        .groupBy("k")
-        .agg(F.sum("ls").alias("ls"), F.sum("rs").alias("rs"))
+    totals = per_key.groupBy("ref").agg(
+        F.coalesce(F.sum(F.when(keyed, _product("ls", "rs"))), nothing).alias("joined"),
+        F.count_if(keyed & (F.col("ls") > 0) & (F.col("rs") > 0)).alias("recon_matched_keys"),
+        F.count_if(keyed & (F.col("ls") > 0)).alias("recon_suspect_keys"),
+        F.sum("ls").alias("recon_suspect_rows"),
+        F.sum("rs").alias("recon_reference_rows"),
     )
-    shape = per_key.agg(
-        F.struct(
-            F.coalesce(
-                F.sum(F.when(F.col("k").isNotNull(), _product("ls", "rs"))), nothing
-            ).alias("joined"),
-            F.count_if(F.col("k").isNotNull() & (F.col("ls") > 0) & (F.col("rs") > 0)).alias(
-                "matched"
-            ),
-            F.count_if(F.col("k").isNotNull() & (F.col("ls") > 0)).alias("keys"),
-            F.coalesce(F.sum("ls"), nothing).alias("rows"),
-            F.coalesce(F.sum("rs"), nothing).alias("reference_rows"),
-        ).alias("s")
-    ).scalar()
 
     # |v / r - 100| <= t means ln(v / 100) and ln(r) differ by t / 100 at most
     # (plus rounding); a slot is twice that margin wide on each side.
     margin = 2.0 * RATIO_TOLERANCE / RATIO_TARGET
     slot_width = 4.0 * margin
+    finite = (F.abs("v") > 0) & (F.abs("v") < float("inf"))
 
-    def _sign_and_log(value: Column, scale: float) -> tuple[Column, Column]:
-        return F.signum(value), F.log(F.abs(value) / F.lit(scale))
+    def _placed(count: Column, scale: float) -> DataFrame:
+        usable = F.when(finite & keyed, count) > 0
+        keys = {"k": F.col("k"), "sign": F.signum("v"), "at": F.log(F.abs("v") / F.lit(scale))}
+        return merged.where(usable).select(
+            "ref", *[F.when(usable, key).alias(name) for name, key in keys.items()], "v", "n"
+        )
 
-    finite = (F.abs("v") > 0) & (F.abs("v") < float("inf"))
-    sign, position = _sign_and_log(F.col("v"), RATIO_TARGET)
-    left_slots = left_values.where(finite & F.col("k").isNotNull()).select(
-        "k", sign.alias("sign"), F.floor(position / slot_width).alias("slot"), "v", "n"
+    left_slots = _placed(left, RATIO_TARGET).withColumn("slot", F.floor(F.col("at") / slot_width)).drop("at")
+    both = [F.floor((F.col("at") + shift) / slot_width) for shift in (-margin, margin)]
+    right_slots = _placed(right, 1.0).select(
+        "ref", "k", "sign", F.explode(F.array_distinct(F.array(*both))).alias("slot"),
+        F.col("v").alias("r"), F.col("n").alias("m"),
     )
-    sign, position = _sign_and_log(F.col("v"), 1.0)
-    right_slots = right_values.where(finite & F.col("k").isNotNull()).select(
-        "k",
-        sign.alias("sign"),
-        F.explode(
-            F.array_distinct(
-                F.array(
-                    F.floor((position - margin) / slot_width),
-                    F.floor((position + margin) / slot_width),
-                )
-            )
-        ).alias("slot"),
-        F.col("v").alias("r"),
-        F.col("n").alias("m"),
+    near = F.abs(F.col("v") / F.col("r") - RATIO_TARGET) <= RATIO_TOLERANCE
+    partners = left_slots.join(right_slots, ["ref", "k", "sign", "slot"]).groupBy("ref").agg(
+        F.sum(F.when(near, _product("n", "m"))).alias("at_ratio")
     )
-    partners = left_slots.join(right_slots, ["k", "sign", "slot"]).agg(
-        F.coalesce(
-            F.sum(
-                F.when(
-                    F.abs(F.col("v") / F.col("r") - RATIO_TARGET) <= RATIO_TOLERANCE,
-                    _product("n", "m"),
-                )
-            ),
-            nothing,
-        ).alias("at_ratio")
+    share = F.coalesce("at_ratio", nothing).cast("double") / F.col("joined").cast("double")
+    return (
+        uses.select("ref").distinct().join(totals, "ref", "left").join(partners, "ref", "left")
+        .select(
+            "ref",
+            F.coalesce("joined", nothing).alias("recon_joined"),
+            F.coalesce("recon_matched_keys", nothing).alias("recon_matched_keys"),
+            F.when(F.col("joined") > 0, share).alias("recon_ratio_share"),
+            *[F.coalesce(c, nothing).alias(c)
+              for c in ("recon_suspect_keys", "recon_suspect_rows", "recon_reference_rows")],
+        )
     )
-    joined = shape.getField("joined")
-    return partners.select(
-        joined.alias("recon_joined"),
-        shape.getField("matched").alias("recon_matched_keys"),
-        F.when(joined > 0, F.col("at_ratio").cast("double") / joined.cast("double")).alias(
-            "recon_ratio_share"
-        ),
-        shape.getField("keys").alias("recon_suspect_keys"),
-        shape.getField("rows").alias("recon_suspect_rows"),
-        shape.getField("reference_rows").alias("recon_reference_rows"),
+
+
+def reconcile_100x(
+    suspect: DataFrame,
+    reference: DataFrame,
+    suspect_key: str,
+    reference_key: str,
+    column: str,
+    reference_column: str,
+) -> DataFrame:
+    """The measures of one reference, one row; each table is read once."""
+    rows = side_rows(suspect, {"suspect": (suspect_key, column)}).unionByName(
+        side_rows(reference, {"reference": (reference_key, reference_column)})
     )
+    uses = small_frame(
+        suspect.sparkSession, "ref:int,side:string",
+        [{"ref": 0, "side": "suspect"}, {"ref": 0, "side": "reference"}],
+    ).withColumn("is_left", F.col("side") == "suspect")
+    return ratio_measures(rows, uses).drop("ref")

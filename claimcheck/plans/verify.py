@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from claimcheck.functions import urns
 from claimcheck.operators import catalog, probes, verdicts
+from claimcheck.plans.measures import Commits, measure_references, measure_tables
 
 RECONCILIATION_SCHEMA = (
     "asset_urn string, field_path string, reference_table string, suspect_key string, "
@@ -16,131 +15,84 @@ RECONCILIATION_SCHEMA = (
 )
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def measure_table(df: DataFrame, needs: Mapping[str, list[str]], as_of: str | None) -> DataFrame:
-    """The constant-state measurements wanted of one table: ``(probe_kind, field_path, measures...)``.
-
-    One scan for all of them; the shown medians read only the columns they are about.
-    """
-    profile = probes.fused_profile(df, needs, as_of)
-    if needs.get(probes.UNIT):
-        middle = probes.exact_medians(df, needs[probes.UNIT]).select(
-            F.lit(probes.UNIT).alias("probe_kind"), "field_path", "median"
-        )
-        profile = profile.join(middle, ["probe_kind", "field_path"], "left")
-    return profile
-
-
 def measure(
     claims: DataFrame,
     tables: Mapping[str, DataFrame],
     as_of: str | None,
     query_log: DataFrame | None = None,
     references: DataFrame | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Claims with their measures, or with the reason why there are none.
 
-    The driver loops over tables only. What it collects for that are the
-    distinct (table, probe, column) triples that exist in the schemas, so
-    their number is bounded by the schemas it already holds, not by claims.
+    Every table is measured by a job of its own, which commits a table of
+    measures (below ``folder``, if a run is to be resumable); the claims meet
+    all of them in one join. What the driver collects are the distinct (table,
+    probe, column) triples that exist in the schemas, so their number is
+    bounded by the schemas it already holds, not by claims.
     """
     spark = claims.sparkSession
+    commits = Commits(spark, folder)
     schema = catalog.schema_rows(spark, tables)
     routed = probes.probe_errors(probes.route_claims(claims, as_of), schema)
     if query_log is None:
         no_log = F.when(F.col("probe_kind") == probes.USAGE, "no query log")
         routed = routed.withColumn("probe_error", F.coalesce("probe_error", no_log))
-    refused = routed.where(F.col("probe_error").isNotNull())
-    measurable = routed.where(F.col("probe_error").isNull()).drop("probe_error")
 
     # a freshness or usage claim is about the table, whatever column it names
     on_column = F.when(
         F.col("probe_kind").isin(probes.UNIT, probes.NULLS, probes.BOUNDS, probes.ENUM),
         F.col("field_path"),
     )
-    wanted = measurable.select("table_name", "probe_kind", on_column.alias("column")).where(
-        F.col("probe_kind") != probes.USAGE
+    wanted = routed.where(F.col("probe_error").isNull() & (F.col("probe_kind") != probes.USAGE)).select(
+        "table_name", "probe_kind", on_column.alias("column")
     )
     needs: dict[str, dict[str, list[str]]] = {}
     for row in wanted.distinct().collect():
         columns = needs.setdefault(row["table_name"], {}).setdefault(row["probe_kind"], [])
         if row["column"] is not None:
             columns.append(row["column"])
+    profiles, values, failed = measure_tables(tables, needs, as_of, commits)
 
-    parts = []
-    measured = [
-        measure_table(tables[name], {k: sorted(v) for k, v in kinds.items()}, as_of)
-        .withColumn("_table", F.lit(name))
-        for name, kinds in sorted(needs.items()) if kinds.keys() - {probes.ENUM}
-    ]
-    if measured:
-        rows = _union(measured)
-        rows = rows.withColumnsRenamed({"probe_kind": "_kind", "field_path": "_column"})
-        parts.append(
-            measurable.withColumn("_on", on_column)
-            .join(
-                rows,
-                (F.col("table_name") == F.col("_table"))
-                & (F.col("probe_kind") == F.col("_kind"))
-                & F.col("_on").eqNullSafe(F.col("_column")),
-            )
-            .drop("_on", "_table", "_kind", "_column")
-        )
-    values = [
-        probes.distinct_values(tables[name], sorted(kinds[probes.ENUM]))
-        .withColumn("table_name", F.lit(name))
-        for name, kinds in sorted(needs.items()) if probes.ENUM in kinds
-    ]
-    if values:
-        enumerations = measurable.where(F.col("probe_kind") == probes.ENUM)
-        parts.append(probes.enum_profile(enumerations, _union(values)))
-    if query_log is not None and as_of is not None:
-        usage_claims = measurable.where(F.col("probe_kind") == probes.USAGE)
-        usage = probes.usage_window(query_log, usage_claims, as_of)
-        parts.append(usage_claims.join(usage.drop("probe_kind"), "asset_urn"))
-    out = _union([*parts, refused]) if parts else refused
-    if references is not None:
-        ratios = measure_references(references, tables)
-        if ratios is not None:
-            out = out.join(
-                ratios.withColumnsRenamed({"asset_urn": "_urn", "field_path": "_field"}),
-                (F.col("asset_urn") == F.col("_urn"))
-                & F.col("field_path").eqNullSafe(F.col("_field"))
-                & (F.col("probe_kind") == probes.UNIT),
-                "left",
-            ).drop("_urn", "_field")
-    return out
-
-
-def measure_references(references: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame | None:
-    """Reconciliation measures per declared reference whose tables and columns exist.
+    usage_claim = F.col("probe_kind") == probes.USAGE
+    failures = failed.select(F.col("table_name").alias("_failed"), "failure")
+    routed = routed.join(failures, (F.col("table_name") == F.col("_failed")) & ~usage_claim, "left")
+    routed = routed.withColumn("probe_error", F.coalesce("probe_error", "failure")).drop("_failed", "failure")
+    open_ = F.col("probe_error").isNull()
+    measured = routed.where(~open_)
 
-    Declarations are configuration written by people; one join is planned for each.
-    """
-    parts = []
-    for d in references.select(
-        "asset_urn", "field_path", "reference_table", "suspect_key", "reference_key",
-        "reference_column", urns.table_name(F.col("asset_urn")).alias("suspect_table"),
-    ).distinct().collect():
-        suspect, reference = tables.get(d["suspect_table"]), tables.get(d["reference_table"])
-        if suspect is None or reference is None:
-            continue
-        if not {d["suspect_key"], d["field_path"]} <= set(suspect.columns):
-            continue
-        if not {d["reference_key"], d["reference_column"]} <= set(reference.columns):
-            continue
-        parts.append(
-            probes.reconcile_100x(
-                suspect, reference, d["suspect_key"], d["reference_key"], d["field_path"],
-                d["reference_column"],
-            ).withColumns({
-                "asset_urn": F.lit(d["asset_urn"]), "field_path": F.lit(d["field_path"]),
-            })
-        )
-    return _union(parts) if parts else None
+    found = profiles.withColumnsRenamed(
+        {"table_name": "_table", "probe_kind": "_kind", "field_path": "_column", "probe_error": "_error"}
+    )
+    scanned = routed.where(open_ & ~F.col("probe_kind").isin(probes.ENUM, probes.USAGE)).withColumn("_on", on_column)
+    scanned = scanned.join(
+        found,
+        (F.col("table_name") == F.col("_table"))
+        & (F.col("probe_kind") == F.col("_kind"))
+        & F.col("_on").eqNullSafe(F.col("_column")),
+    ).withColumn("probe_error", F.col("_error"))
+    measured = measured.unionByName(
+        scanned.drop("_on", "_table", "_kind", "_column", "_error"), allowMissingColumns=True
+    )
+    enumerations = probes.enum_profile(routed.where(open_ & (F.col("probe_kind") == probes.ENUM)), values)
+    measured = measured.unionByName(enumerations, allowMissingColumns=True)
+    if query_log is not None and as_of is not None:
+        usage_claims = routed.where(open_ & usage_claim)
+        usage = probes.usage_window(query_log, usage_claims, as_of).drop("probe_kind")
+        measured = measured.unionByName(usage_claims.join(usage, "asset_urn"), allowMissingColumns=True)
+    if references is None:
+        return measured
+    ratios = measure_references(references, tables, schema, commits)
+    same = (
+        (F.col("asset_urn") == F.col("_urn")) & F.col("field_path").eqNullSafe(F.col("_field"))
+        & (F.col("probe_kind") == probes.UNIT)
+    )
+    measured = measured.join(
+        ratios.withColumnsRenamed({"asset_urn": "_urn", "field_path": "_field"}), same, "left"
+    )
+    return measured.withColumn("probe_error", F.coalesce("probe_error", "reference_error")).drop(
+        "_urn", "_field", "reference_error"
+    )
 
 
 def verify(
@@ -150,10 +102,14 @@ def verify(
     query_log: DataFrame | None = None,
     declarations: DataFrame | None = None,
     lineage: DataFrame | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Judged claims. A declared reference counts only as far as the lineage records it."""
+    """Judged claims. A declared reference counts only as far as the lineage records it.
+
+    Measures are committed below ``folder``; a repeated call with it measures only what is not there.
+    """
     references = None
     if declarations is not None and lineage is not None:
         references = catalog.lineage_gate(declarations, lineage).where("ok")
-    measured = measure(claims, tables, as_of, query_log, references)
+    measured = measure(claims, tables, as_of, query_log, references, folder)
     return verdicts.adjudicate(measured)

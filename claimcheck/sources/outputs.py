@@ -26,3 +26,9 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest run, found from partition values alone."""
     runs = spark.read.parquet(path)
     return runs.where(F.col("run_date") == runs.agg(F.max("run_date")).scalar())
+
+
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """Was a table written there to its end?"""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,71 @@ def test_enumerated_numbers_compare_as_numbers(spark):
     ) == [Y, Y, Y, Y, N]
 
 
+@pytest.mark.parametrize("expression, values", [
+    ("array(1e7D, 2e7D)[cast(id % 2 as int)]", ["10000000", "20000000"]),
+    ("array(1e7D, 2e7D)[cast(id % 2 as int)]", ["1e7", "2.0E7"]),
+    ("array(1e-4D, 0.5D)[cast(id % 2 as int)]", ["0.0001", "0.50"]),
+    ("array(-0.0D, 0.0D)[cast(id % 2 as int)]", ["0"]),
+    ("array(0.1F, 1e8F)[cast(id % 2 as int)]", ["0.1", "100000000"]),
+    ("cast(10000000 * (1 + id % 2) as bigint)", ["1e7", "20000000.0"]),
+    ("cast(0.00000000000000000012 as decimal(38,20))", ["0.00000000000000000012"]),
+    ("cast(-1.50 as decimal(10,2))", ["-1.5"]),
+])
+def test_spelling_of_a_number_does_not_matter(spark, expression, values):
+    tables = {"t": table(spark, expression)}
+    found = judge(spark, tables, claim("t", "v", "domain_enum", values=values),
+                  claim("t", "v", "domain_enum", values=["3", *values[1:], "1.50"]))
+    assert [r["verdict"] for r in found] == [Y, N]
+    assert "E" not in found[1]["first_unexpected"]
+
+
+def test_median_of_any_doubles(spark):
+    rng = np.random.default_rng(7)
+    sets = [
+        rng.normal(size=801), np.exp(rng.normal(size=900) * 90), -np.exp(rng.normal(size=901) * 50),
+        [5e-324, -5e-324, 0.0, 1e308, -1e308], [0.0] * 90 + [-0.0] * 9 + [1.0], [1.0, 2.0], [7.0],
+        [np.inf, -np.inf, 1.0, 2.0, 3.5], 1 + rng.integers(0, 90, 700) * 2.0**-52,
+        np.nextafter(np.arange(1.0, 900.0), 0), [np.nan, 3.0, 1.0],
+    ]
+    names = [f"c{i}" for i in range(len(sets))]
+    rows = [[float(x[i]) if i < len(x) else None for x in sets] for i in range(max(map(len, sets)))]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    medians = probes.exact_medians(frame, [*names[:6], *names[6:]])
+    got = {r["field_path"]: r["median"] for r in medians.collect()}
+    for name, values in zip(names, sets, strict=True):
+        ordered = np.sort(np.asarray(values, dtype=float))
+        low, high = ordered[(len(ordered) - 1) // 2], ordered[len(ordered) // 2]
+        assert got[name] == (low if low == high else 0.5 * low + 0.5 * high), name
+    plan = medians._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan
+    empty = probes.unit_profile(frame.where("c0 > 1e300"), ["c0"]).first()
+    assert empty["median"] is None and empty["row_count"] == 0
+
+
+def test_an_unreadable_table_spoils_its_own_claims_only(spark, tmp_path):
+    for name in ("good", "bad"):
+        table(spark, "1.5D + id").coalesce(1).write.parquet(str(tmp_path / name))
+    (broken,) = (tmp_path / "bad").glob("*.parquet")
+    whole = broken.read_bytes()
+    for checksum in (tmp_path / "bad").glob(".*.crc"):
+        checksum.unlink()
+    broken.write_bytes(whole[:4] + b"x" * (len(whole) - 8) + whole[-4:])
+    tables = {n: spark.read.schema("v double").parquet(str(tmp_path / n)) for n in ("good", "bad")}
+    rows = [claim(t, "v", kind, **p) for t in tables for kind, p in (
+        ("unit_scale", {"unit": "USD"}), ("completeness", {"nullable": False}), ("domain_enum", {"values": ["1.5"]}))]
+    folder = str(tmp_path / "measures")
+    found = judge(spark, tables, *rows, folder=folder)
+    assert [r["rule"] for r in found[3:]] == ["probe error"] * 3
+    assert all("the measurement failed" in r["rationale"] for r in found[3:])
+    assert all(r["rule"] != "probe error" for r in found[:3])
+    # a repeated run takes what was committed and measures again what had failed
+    first = {p: p.stat().st_mtime_ns for p in (tmp_path / "measures/profile/good").iterdir()}
+    broken.write_bytes(whole)
+    again = judge(spark, {**tables, "bad": spark.read.schema("v double").parquet(str(tmp_path / "bad"))}, *rows, folder=folder)
+    assert [r["rule"] for r in again[3:]] == [r["rule"] for r in found[:3]]
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "measures/profile/good").iterdir()} == first
+
+
 def test_wide_numbers_nan_and_infinity_end_no_run(spark):
     tables = {
         "wide": table(spark, "1e36D + id"),
@@ -348,3 +414,38 @@ def test_reconciliation_counts_beyond_a_bigint(spark):
         F.lit(4_000_000_000).cast("bigint").alias("a"), F.lit(9_000_000_000).cast("bigint").alias("b"))
     product = counts.select(probes._product("a", "b").alias("p")).agg(F.sum("p")).first()[0]
     assert int(product) == 36 * 10**18
+
+
+def test_references_that_cannot_be_measured_reach_the_finding(spark):
+    cents = spark.range(200).select(F.col("id").alias("k"), F.expr("150000 + id * 100").alias("a"),
+                                    F.expr("150000 + id * 100").alias("b"), F.expr("150000 + id * 100").alias("c"))
+    plain = spark.range(200).select(F.col("id").cast("double").alias("k"), F.expr("1500D + id").alias("total"),
+                                    F.lit("x").alias("word"))
+    tables = {"cents": cents, "plain": plain}
+    declared = [(urn("cents"), "a", "plain", "k", "k", "total"), (urn("cents"), "b", "gone", "k", "k", "total"),
+                (urn("cents"), "c", "plain", "k", "k", "word")]
+    lineage = [(urn(t), urn("cents")) for t in ("plain", "gone")]
+    found = judge(spark, tables, *[claim("cents", c, "unit_scale", unit="USD") for c in "abc"],
+                  declared=declared, lineage=lineage)
+    assert [r["rule"] for r in found] == ["cents corroborated", "probe error", "probe error"]
+    assert "no such table: gone" in found[1]["rationale"]
+    assert "not a numeric column: plain.word" in found[2]["rationale"]
+
+
+@pytest.mark.parametrize("references", [1, 3])
+def test_a_pair_of_tables_is_scanned_once_whatever_is_declared(spark, tmp_path, references):
+    columns = [f"v{i}" for i in range(references)]
+    for name, scale in (("left", 100), ("right", 1)):
+        spark.range(300).select(
+            F.col("id").alias("k"), *[((F.col("id") + 1) * scale * (i + 1)).alias(c) for i, c in enumerate(columns)]
+        ).write.parquet(str(tmp_path / name))
+    left, right = (spark.read.parquet(str(tmp_path / n)) for n in ("left", "right"))
+    rows = probes.side_rows(left, {f"l{c}": ("k", c) for c in columns}).unionByName(
+        probes.side_rows(right, {f"r{c}": ("k", c) for c in columns}))
+    uses = spark.createDataFrame(
+        [(c, f"{side}{c}", side == "l") for c in columns for side in "lr"], "ref string, side string, is_left boolean")
+    measures = probes.ratio_measures(rows, uses)
+    assert {(r["ref"], r["recon_ratio_share"], r["recon_matched_keys"]) for r in measures.collect()} == {
+        (c, 1.0, 300) for c in columns}
+    plan = measures._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") == 2

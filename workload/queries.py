@@ -462,7 +462,10 @@ def verdict_enum(spark, sf_dir):
     )
     measured = probes.enum_profile(
         with_predicate(claims, values=F.col("claimed")),
-        observed.select("table_name", "field_path", F.col("v").alias("value"), "n"),
+        observed.select(
+            "table_name", "field_path", F.lit(probes.AS_TEXT).alias("compared_as"),
+            F.col("v").alias("value_key"), F.col("v").alias("value"), "n",
+        ),
     )
     return _verdicts(verdicts.verdict_enum(measured))
 
