@@ -70,9 +70,9 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int | None = 0, c
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     n = (len(ids) + len(end)) // 4
                     begun.append({"doc_id": doc_id, "start": start, "n_tokens": n})
                     rest += ids

@@ -1,19 +1,33 @@
 """Byte-level encoding of whole texts with the tokenizers library, one library call per new word.
 
-The library splits a text before merging, and a split never lies inside a word. A space between two
-other characters that are no white space always begins a new piece, so a text may be cut there and
-the parts encoded on their own. Most words repeat; their ids are kept per Python worker, in a
-dictionary of bounded size that starts anew when it is full.
+The library splits a text before merging, and a split never lies inside a word. A space or line end between
+two characters that are no white space always begins a new piece, so a text may be cut there and the parts
+encoded on their own. A batch of texts is cut and its parts are numbered in Arrow; only different parts are
+looked up, and their ids are put together again by one gather. Most parts repeat; their ids are kept per
+Python worker, in a dictionary of bounded size that starts anew when it is full. A text that has white space
+beside white space or at an end is cut at its other spaces only.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space at either end of a text or beside other white space.
 BESIDE = re.compile(r" \s|\s |\A\s|\s\Z")
+#: For Arrow: white space at an end or beside other white space, or the character that marks cuts.
+CUT = "\x01"
+_SPACE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{180e}\pZ]"
+ODD = rf"{_SPACE}{_SPACE}|\A{_SPACE}|{_SPACE}\z|\x01"
+#: Letters with ASCII marks after them: the marks are a piece of their own.
+MARKED = re.compile(r"([ ]?)([^\s!-~]*[^\s!-/:-@\[-`{-~]+)([!-/:-@\[-`{-~]+)")
 CACHED_WORDS = 1_600_000
+GROUP_BYTES = 8 << 20
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -37,38 +51,78 @@ class WordEncoder:
 
     def __init__(self, encode_words):
         self.encode_words = encode_words
-        self.marks = dict(zip(".,", encode_words([".", ","]), strict=True))
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        (self.line_end,) = encode_words(["\n"])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text (null: none)."""
-        out = []
-        for at in range(0, len(texts), 200):
-            cut = [words_of(t) if t else [] for t in texts[at : at + 200]]
-            heads = [words.pop(0) if words else None for words in cut]
-            self._learn(self.first, "", set(heads) - {None})
-            self._learn(self.later, " ", set().union(*cut))
-            first, later = self.first, self.later.__getitem__
-            out += [b"" if head is None else first[head] + b"".join(map(later, words)) for head, words in zip(heads, cut, strict=True)]
+        texts = pc.fill_null((pa.array(texts, pa.string()) if isinstance(texts, list) else texts).cast(pa.large_string()), "")
+        group = np.cumsum(pc.binary_length(texts).to_numpy()) // GROUP_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        return [ids for a, b in zip(cuts, cuts[1:], strict=False) for ids in self._group(texts.slice(a, b - a))]
+
+    def _group(self, texts: pa.Array) -> list[bytes]:
+        odd = pc.match_substring_regex(texts, ODD)
+        cut = texts
+        for mark in (" ", "\n"):
+            cut = pc.replace_substring(cut, mark, CUT + mark)
+        # odd texts are cut here too, but what comes of them is not used
+        lists = pc.split_pattern(pc.if_else(odd, "", cut), CUT)
+        parts = lists.flatten().dictionary_encode()
+        pool, starts, lengths = self._pool(parts.dictionary.to_pylist())
+        at = parts.indices.to_numpy()
+        size = lengths[at]
+        ends = np.r_[0, np.cumsum(size)]
+        where = np.repeat(starts[at] - ends[:-1], size)
+        where += np.arange(len(where))
+        raw = pool[where].tobytes()
+        offsets = (4 * ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        out = [raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+        odd_at = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        cut = [words_of(texts[i].as_py()) for i in odd_at]
+        found = iter(self._look_up([w if k == 0 else f" {w}" for words in cut for k, w in enumerate(words)]))
+        for i, words in zip(odd_at, cut, strict=True):
+            out[i] = b"".join(islice(found, len(words)))
         return out
 
-    def _learn(self, known: dict[str, bytes], prefix: str, words: set[str]) -> None:
-        """Letters before a full stop or comma are a piece of their own, so their ids are found without it."""
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = [w for w in words if w not in known]
-        marked = [w for w in new if w[-1] in self.marks and w[:-1].isalpha()]
-        bare = {w[:-1] for w in marked}.union(new).difference(marked, known)
-        known.update(zip(bare, self.encode_words([prefix + w for w in bare]), strict=True))
-        known.update({w: known[w[:-1]] + self.marks[w[-1]] for w in marked})
+    def _pool(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the parts in a row; where each part's begin, and how many they are."""
+        found = self._look_up(parts)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(lengths) - lengths, lengths
+
+    def _look_up(self, parts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        known = self.known
+        new = [p for p in dict.fromkeys(parts) if p not in known]
+        if new:
+            self._learn(new)
+        return [known[p] for p in parts]
+
+    def _learn(self, new: list[str]) -> None:
+        """Of a part: its line end, letters and marks are pieces whose ids are found on their own."""
+        pieces = []
+        for part in new:
+            line = part[0] == "\n" and len(part) > 1 and not part[1].isspace() if part else False
+            bare = part[1:] if line else part
+            found = MARKED.fullmatch(bare)
+            marked = found is not None and found[2].isalpha()
+            pieces.append((line, found[1] + found[2] if marked else bare, found[3] if marked else ""))
+        marks = list({mark for _, _, mark in pieces} - self.marks.keys())
+        self.marks.update(zip(marks, self.encode_words(marks), strict=True))
+        bodies = list({body for _, body, _ in pieces} - self.known.keys())
+        ids = dict(zip(bodies, self.encode_words(bodies), strict=True))
+        for part, (line, body, mark) in zip(new, pieces, strict=True):
+            own = ids[body] if body in ids else self.known[body]
+            self.known[part] = (self.line_end if line else b"") + own + self.marks[mark]
 
 
 def library_encoder(path: str) -> WordEncoder:
     """The encoder of a tokenizer file of the tokenizers library, one for each Python worker."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -83,8 +137,13 @@ def library_encoder(path: str) -> WordEncoder:
 
         def encode_words(words: list[str]) -> list[bytes]:
             """As texts of many lines: a line end between two words is a piece, and here one id, of its own."""
-            if len(line_end) != 4 or any("\n" in w or not w for w in words):
+            if len(line_end) != 4:
                 return each(words)
+            plain = [w for w in words if w and "\n" not in w]
+            if len(plain) < len(words):
+                other = [w for w in words if not w or "\n" in w]
+                found = dict(zip([*plain, *other], [*encode_words(plain), *each(other)], strict=True))
+                return [found[w] for w in words]
             groups = [words[i : i + 2000] for i in range(0, len(words), 2000)]
             found = tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)
             out = []

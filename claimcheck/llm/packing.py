@@ -41,9 +41,9 @@ def cut_pieces(docs: DataFrame, path: str, max_length: int = 1024, end_id: int =
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sequence = library_encoder(path), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, out = batch.slice(at, 500), []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+            for at in range(0, batch.num_rows, 4000):
+                part, out = batch.slice(at, 4000), []
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     ids, start = ids + end, 0
                     n = len(ids) // 4
                     for length in binary_lengths(n, max_length):

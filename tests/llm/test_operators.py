@@ -46,6 +46,13 @@ def key(row):
     return tuple((v is None, v) for v in row)
 
 
+TOKENIZER = tokenizers.Tokenizer.from_file(PATH)
+
+
+def library_tokenizer_ids(text):
+    return np.array(TOKENIZER.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def library_ids(text):
     return np.array(tokenizers.Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, dtype="<u4")
 
@@ -71,6 +78,15 @@ def test_written_ids_are_read_back_in_order(spark, docs, none):
     assert bitplanes.read_ids(spark, empty).count() == 0
 
 
+def test_texts_in_arrow_groups_equal_the_library():
+    from claimcheck.llm.encoding import library_encoder
+
+    rng = np.random.default_rng(11)
+    letters = [*"abAB1 9.,'!%$\n\t  \u00a0\u3000é日ß½²ⅷ\u0301\x01\x1c ", "<|endoftext|>", "'s", "don't", " the", " \n", "\r\n", "😀"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 25))) for _ in range(5000)] + [None, "", " ", "\n", LONG, LONG * 200]
+    assert library_encoder(PATH).encode(texts) == [library_tokenizer_ids(t) for t in texts]
+
+
 def test_merge_queue_equals_the_library(docs, none):
     rows = merge_queue.round_trip(docs, PATH).collect()
     expected = [(d, len(i), sha256(i.tobytes()).hexdigest(), sha256((t or "").encode()).hexdigest()) for d, t in TEXTS for i in [library_ids(t)]]
