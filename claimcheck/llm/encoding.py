@@ -73,9 +73,12 @@ class WordEncoder:
         pool, starts, lengths = self._pool(parts.dictionary.to_pylist())
         at = parts.indices.to_numpy()
         size = lengths[at]
-        ends = np.r_[0, np.cumsum(size)]
-        where = np.repeat(starts[at] - ends[:-1], size)
-        where += np.arange(len(where))
+        ends = np.zeros(len(at) + 1, dtype=np.int64)
+        np.cumsum(size, out=ends[1:])
+        # one text may hold more ids than an int32 counts
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        where = np.repeat(starts[at] - ends[:-1].astype(kind), size)
+        where += np.arange(len(where), dtype=kind)
         raw = pool[where].tobytes()
         offsets = (4 * ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
         out = [raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
@@ -89,34 +92,42 @@ class WordEncoder:
     def _pool(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the parts in a row; where each part's begin, and how many they are."""
         found = self._look_up(parts)
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(lengths) - lengths, lengths
+        lengths = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), (np.cumsum(lengths) - lengths).astype(np.int32), lengths
 
     def _look_up(self, parts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        known = self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
+        found = list(map(self.known.get, parts))
+        new = [i for i, ids in enumerate(found) if ids is None]
         if new:
-            self._learn(new)
-        return [known[p] for p in parts]
+            self._learn(list({parts[i] for i in new}))
+            for i in new:
+                found[i] = self.known[parts[i]]
+        return found
 
     def _learn(self, new: list[str]) -> None:
         """Of a part: its line end, letters and marks are pieces whose ids are found on their own."""
-        pieces = []
+        whole, cut = [], []
         for part in new:
-            line = part[0] == "\n" and len(part) > 1 and not part[1].isspace() if part else False
+            line = part[:1] == "\n" and not part[1:2].isspace() and len(part) > 1
             bare = part[1:] if line else part
-            found = MARKED.fullmatch(bare)
-            marked = found is not None and found[2].isalpha()
-            pieces.append((line, found[1] + found[2] if marked else bare, found[3] if marked else ""))
-        marks = list({mark for _, _, mark in pieces} - self.marks.keys())
+            found = None if bare[-1:].isalnum() else MARKED.fullmatch(bare)
+            if found is not None and found[2].isalpha():
+                cut.append((part, line, found[1] + found[2], found[3]))
+            elif line:
+                cut.append((part, line, bare, ""))
+            else:
+                whole.append(part)
+        bodies = {body for _, _, body, _ in cut}.difference(whole, self.known)
+        unknown = [*whole, *bodies]
+        self.known.update(zip(unknown, self.encode_words(unknown), strict=True))
+        marks = list({mark for _, _, _, mark in cut} - self.marks.keys())
         self.marks.update(zip(marks, self.encode_words(marks), strict=True))
-        bodies = list({body for _, body, _ in pieces} - self.known.keys())
-        ids = dict(zip(bodies, self.encode_words(bodies), strict=True))
-        for part, (line, body, mark) in zip(new, pieces, strict=True):
-            own = ids[body] if body in ids else self.known[body]
-            self.known[part] = (self.line_end if line else b"") + own + self.marks[mark]
+        known, marks, line_end = self.known, self.marks, self.line_end
+        for part, line, body, mark in cut:
+            ids = known[body] + marks[mark]
+            known[part] = line_end + ids if line else ids
 
 
 def library_encoder(path: str) -> WordEncoder:
