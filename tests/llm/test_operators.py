@@ -219,7 +219,7 @@ def test_repeated_bytes_go(docs, none, monkeypatch, unit_bytes):
 def test_passages_of_earlier_documents_go(docs, none):
     rows = {r["doc_id"]: r for r in chaining.cleaned(docs).where("doc_id is not null").collect()}
     assert rows[1]["n_removed"] == 0 and rows[2]["text"] == "" and rows[3]["n_removed"] >= 119
-    assert 68 <= rows[10]["n_removed"] <= 74 and rows[10]["sources"] == [1]
+    assert 68 <= rows[10]["n_removed"] <= 74 and rows[10]["sources"] == [1, 2, 3]
     assert all(rows[d]["n_removed"] == 0 for d in (4, 5, 6, 7, 8, 9, 12, 14)) and rows[4]["text"] is None
     assert chaining.cleaned(none).count() == 0 and chaining.cleaned(docs).count() == len(TEXTS)
 
@@ -290,3 +290,56 @@ def test_a_long_run_out_of_reach_does_not_hide_a_near_one():
     assert [near, last] in chaining.chains([far, near, last])
     single = [(10 * i, 10 * i, chaining.K) for i in range(5)]
     assert chaining.chains(single) == [single]
+
+
+def test_what_several_documents_hold_together_is_no_passage(spark):
+    ship_library(spark)
+    sources = [prose(100 + i, 200).split() for i in range(4)]
+    own = [prose(200 + i, 8).split() for i in range(3)]
+    for size in (16, 20, 24, 30):
+        parts = [s[50 : 50 + size] for s in sources]
+        mixed = [w for i, part in enumerate(parts) for w in (*part, *(own[i] if i < 3 else ()))]
+        rows = [(i, " ".join(s)) for i, s in enumerate(sources)] + [(9, " ".join(mixed))]
+        found = chaining.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 9").first()
+        assert found["n_removed"] == 0, size
+
+
+def test_columns_of_the_same_names_stay_under_a_prefix(spark):
+    ship_library(spark)
+    rows = [(1, " ".join(BASE), "a", "b"), (2, prose(7, 30) + " " + " ".join(BASE), "c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string, spans string")
+    found = {r["doc_id"]: r for r in chaining.cleaned(docs, prefix="p_").collect()}
+    assert [(found[i]["n_words"], found[i]["spans"]) for i in (1, 2)] == [("a", "b"), ("c", "d")]
+    assert found[2]["p_n_words"] == 150 and found[2]["p_n_removed"] >= 120
+
+
+def test_stages_of_the_pipeline(spark, tmp_path):
+    """Each stage acts on what the one before kept, and hands on the columns of documents."""
+    import corpus_pipeline
+
+    clean = [prose(300 + i, 120) for i in range(60)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(clean)]
+    passage = prose(400, 70)
+    rows += [
+        (100, "few words", "en", "s", 9), (101, clean[0], "en", "s", len(clean[0])), (102, clean[1] + " more", "en", "s", 0),
+        (103, prose(401, 60) + " " + passage, "en", "s", 0), (104, prose(402, 60) + " " + passage + " " + prose(403, 60), "en", "s", 0),
+    ]
+    (tmp_path / "sf").mkdir()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    kept, now = [], spark.read.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path / "sf"))
+        assert now.columns == docs.columns
+        kept.append({r["doc_id"]: r["text"] for r in now.collect()})
+    assert 100 not in kept[0] and {*range(60), 101, 102, 103, 104} <= kept[0].keys()
+    assert kept[1].keys() == kept[0].keys() - {101, 102}
+    assert kept[2].keys() == kept[1].keys() and kept[2][103] == kept[1][103]
+    assert kept[2][104] == f"{prose(402, 60)} {prose(403, 60)}"
+    assert all(kept[2][i] == clean[i] for i in range(60))
+    pieces = corpus_pipeline.run(spark, str(tmp_path / "sf")).collect()
+    total = {d: len(library_tokenizer_ids(t)) // 4 + 1 for d, t in kept[2].items()}
+    found = defaultdict(int)
+    for p in pieces:
+        found[p["doc_id"]] += p["length"]
+    assert dict(found) == total
