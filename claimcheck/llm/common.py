@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_FOLDERS: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below the one that driver and executors share (spark.checkpoint.dir).
 
@@ -20,8 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS.append("file://" + tempfile.mkdtemp(prefix="llm-"))
+        base = _LOCAL_FOLDERS[0]
     return f"{base}/llm-{uuid.uuid4().hex}"
 
 

@@ -26,8 +26,8 @@ _SPACE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{180e}\pZ]"
 ODD = rf"{_SPACE}{_SPACE}|\A{_SPACE}|{_SPACE}\z|\x01"
 #: Letters with ASCII marks after them: the marks are a piece of their own.
 MARKED = re.compile(r"([ ]?)([^\s!-~]*[^\s!-/:-@\[-`{-~]+)([!-/:-@\[-`{-~]+)")
-CACHED_WORDS = 1_600_000
-GROUP_BYTES = 8 << 20
+CACHED_WORDS = 1_000_000
+GROUP_BYTES = 4 << 20
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
