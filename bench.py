@@ -49,7 +49,7 @@ def comparisons(sf_dir: str) -> dict[str, Callable[[SparkSession], list[DataFram
             + [probes.freshness_profile(lineitem(s), AS_OF)],
         "median_side_by_counts": lambda s: [
             probes.fused_profile(lineitem(s), {probes.UNIT: columns})],
-        "median_exact_clamped": lambda s: [probes.exact_medians(lineitem(s), columns)],
+        "median_by_selection": lambda s: [probes.exact_medians(lineitem(s), columns)],
         "median_exact_value_map": lambda s: [
             lineitem(s).agg(*[F.median(c) for c in columns])],
         "reconcile_by_counts": lambda s: [
