@@ -3,19 +3,23 @@
 The block elements of a page form a tree; adjacent siblings of one label (tag, class, id) are one
 repeating node. The trees of all pages of a host are aligned by simple tree matching, the largest
 order-preserving match of nodes with equal labels, and merged into the host's wrapper: for each node the
-number of pages that have it and its text, as long as all of them agree on it. Nodes of constant text
-are template, the varying slots content. The text of a page is taken from its content slots, less those
-whose element says that they are menus, adverts and the like.
+number of pages that have it, its text as long as all of them agree on it, and how much text and how much
+of that in links it has on all of them. Nodes of constant text are template. From the root of a page the
+way goes to the child whose varying slots hold, by the wrapper, more than half of the text outside links,
+as long as that child is a container; where it ends is the content. Elements that say that they are menus,
+adverts and the like are no content; an article or main element around the content is taken as a whole,
+and decides where the wrapper does not.
 
 Pages are parsed where they are read. Each task merges its own pages of a host first, so a host with
-most of the pages sends one small tree for each task.
+most of the pages sends one small tree for each task. Of a node with many children those of few pages are
+folded into one for each tag, so names that are made up for every page do not add up.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 from zlib import crc32
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from claimcheck.llm.common import written
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+SPECIAL = re.compile(r"[>\"']")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
@@ -41,6 +46,8 @@ ASIDE_NAMES = frozenset("ad ads advert advertisement advertising adsense sponsor
 MAIN_TAGS = ("article", "main")
 #: A node is template only in a wrapper of at least so many different pages.
 LEAST_PAGES = 3
+#: Of more children than WIDE those found on less than one in RARE of their parent's pages are folded.
+WIDE, RARE = 100, 20
 
 
 @dataclass
@@ -54,98 +61,183 @@ class Element:
         return self.tag in ASIDE_TAGS or self.tag == "header" and not inside or self.tag not in ("body", "html", "article", "main") and not ASIDE_NAMES.isdisjoint(words) or self.tag == "article" and not {"comment", "comments", "ad", "advert"}.isdisjoint(words)
 
 
+class Markup:
+    """Where the tags of a page end, in time linear in the page, also where tags and quotes stay open."""
+
+    def __init__(self, html: str):
+        self.html, self.begin, self.special, self.open = html, 0, -1, set()
+        self.last = html.rfind(">")
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag's attributes from a place on, quoted ones skipped; -1 if none does."""
+        seen = []
+        while True:
+            if not self.begin <= at <= self.special:
+                found = SPECIAL.search(self.html, at)
+                self.begin, self.special = at, found.start() if found else len(self.html)
+            stop = self.special
+            if stop == len(self.html) or stop in self.open:
+                break
+            if self.html[stop] == ">":
+                return stop
+            seen.append(stop)
+            at = self.html.find(self.html[stop], stop + 1) + 1
+            if not at:
+                break
+        self.open.update(seen)
+        return -1
+
+    def tokens(self, at: int) -> Iterator[tuple[int, int, str, str, str]]:
+        """Start, end, slash, name and attributes of each tag; no name for comments and declarations.
+
+        A place sent to the iterator is where the next tag is looked for.
+        """
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                close = html.find("-->", at + 4)
+                token = at, close + 3 if close >= 0 else len(html), "", "", ""
+            elif (name := OPENING.match(html, at)) and (close := self.end(name.end())) >= 0:
+                token = at, close + 1, name[1], name[2].lower(), html[name.end() : close]
+            elif html[at + 1 : at + 2] in ("!", "?", "/") and at < self.last:
+                token = at, html.find(">", at) + 1, "", "", ""
+            else:
+                at += 1
+                continue
+            to = yield token
+            at = token[1] if to is None else to
+
+
 def parse(html: str) -> Element:
     """The tree of a page. Raw elements, comments and declarations are left out; open elements end at the end."""
     root, at, end = Element("html"), 0, len(html)
-    stack = [root]
+    stack, places, body = [root], {}, None
+    tokens = Markup(html).tokens(0)
+
+    def cut(to: int) -> None:
+        while len(stack) > to:
+            places[stack.pop().tag].pop()
 
-    def close(tags: set[str], bounds: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in bounds:
-                return
+    def nearest(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
+    def close(tags: set[str], bounds: set[str]) -> None:
+        if (to := nearest(tags)) > nearest(bounds - tags):
+            cut(to)
+
+    token = next(tokens, None)
     while at < end:
-        found = TOKEN.search(html, at)
-        text = html[at : found.start() if found else end]
+        text = html[at : token[0] if token else end]
         if text:
             stack[-1].parts.append(unescape(text) if "&" in text else text)
-        if not found:
+        if not token:
             break
-        at, tag = found.end(), (found[2] or "").lower()
-        if not tag:
-            continue
-        if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-            continue
-        if tag in RAW:
-            if not found[3].endswith("/"):
-                closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = closing.end() if closing else end
-            continue
-        if tag in ("html", "body"):
-            continue
-        if tag == "head":
-            closing = html.find("<body", at)
-            at = closing if closing >= 0 else at
-            continue
-        if tag in CLOSES_P:
-            close({"p"}, {"td", "th", "button", "table"})
-        if tag in ENDS:
-            close(*ENDS[tag])
-        names = " ".join(a or b or c for _, a, b, c in NAMED.findall(found[3])) if "=" in found[3] else ""
-        element = Element(tag, names)
-        stack[-1].parts.append(element)
-        if tag not in VOID:
-            stack.append(element)
+        _, at, slash, tag, rest = token
+        if tag and slash:
+            if to := nearest([tag]):
+                cut(to)
+        elif tag in RAW:
+            if not rest.endswith("/"):
+                closing = re.compile(rf"</{tag}\b", re.I).search(html, at)
+                at = (html.find(">", closing.end()) if closing else -1) + 1 or end
+        elif tag == "head":
+            body = html.find("<body", at) if body is None or 0 <= body < at else body
+            at = max(at, body)
+        elif tag and tag not in ("html", "body"):
+            if tag in CLOSES_P:
+                close({"p"}, {"td", "th", "button", "table"})
+            if tag in ENDS:
+                close(*ENDS[tag])
+            element = Element(tag, " ".join(a or b or c for _, a, b, c in NAMED.findall(rest)) if "=" in rest else "")
+            stack[-1].parts.append(element)
+            if tag not in VOID:
+                places.setdefault(tag, []).append(len(stack))
+                stack.append(element)
+        try:
+            token = tokens.send(at)
+        except StopIteration:
+            token = None
     return root
 
 
+def parts(element: Element, enter: Callable[[Element], bool]) -> Iterator[str | Element]:
+    """The parts of an element in page order; in place of elements to enter come their own parts."""
+    around = [iter(element.parts)]
+    while around:
+        part = next(around[-1], None)
+        if part is None:
+            around.pop()
+        elif isinstance(part, str) or not enter(part):
+            yield part
+        else:
+            around.append(iter(part.parts))
+
+
 @dataclass
 class Node:
-    """A block element, or a run of equal siblings, of a page or wrapper. text: None where it varies."""
+    """A block element, or a run of equal siblings, of a page or wrapper. text: None where it varies.
+
+    chars, linked and count add up over pages: characters of its own text, those in links, elements.
+    """
 
     label: str
     pages: int = 1
     text: int | None = 0
+    chars: int = 0
+    linked: int = 0
+    count: int = 1
     children: list[Node] = field(default_factory=list)
     elements: list[Element] = field(default_factory=list)
+    own: float = 0
+    mass: float = 0
 
     def plain(self) -> list:
-        return [self.label, self.pages, self.text, [c.plain() for c in self.children]]
+        return [self.label, self.pages, self.text, self.chars, self.linked, self.count, [c.plain() for c in self.children]]
 
     @classmethod
     def of(cls, plain: list) -> Node:
-        return cls(plain[0], plain[1], plain[2], [cls.of(c) for c in plain[3]])
+        return cls(*plain[:6], [cls.of(c) for c in plain[6]])
+
+    @property
+    def tag(self) -> str:
+        return self.label.partition(".")[0]
+
+    def weigh(self, pages: int) -> Node:
+        """Sets own and mass, of it and below: varying text outside links for each page that has the node."""
+        self.own = 0 if constant(self, pages) else max(0, self.chars - 2 * self.linked) / self.pages
+        self.mass = self.own + sum(c.weigh(pages).mass * c.pages for c in self.children) / self.pages
+        return self
+
+
+def inline(element: Element) -> bool:
+    return element.tag in INLINE
 
 
 def _own_text(element: Element) -> str:
-    out = []
-    for part in element.parts:
-        out.append(part if isinstance(part, str) else _own_text(part) if part.tag in INLINE else " ")
-    return "".join(out)
+    return "".join(part if isinstance(part, str) else " " for part in parts(element, inline))
 
 
 def _blocks(element: Element) -> Iterator[Element]:
-    for part in element.parts:
-        if not isinstance(part, str):
-            if part.tag in INLINE:
-                yield from _blocks(part)
-            elif part.tag not in VOID:
-                yield part
+    return (part for part in parts(element, inline) if not isinstance(part, str) and part.tag not in VOID)
+
 
+def _linked(element: Element) -> int:
+    links = parts(element, lambda part: inline(part) and part.tag != "a")
+    return sum(len(" ".join(_own_text(part).split())) for part in links if not isinstance(part, str) and part.tag == "a")
 
-def tree(element: Element, depth: int = 0) -> Node:
-    """The block tree of an element; what lies deeper than 60 levels counts as text of that level."""
+
+def tree(element: Element, depth: int = 0, aside: bool = False, inside: bool = False) -> Node:
+    """The block tree of an element; blocks below 60 levels are not in it, so they never count as template.
+
+    What says that it is aside weighs nothing.
+    """
     label = element.tag + "." + re.sub(r"\d+", "#", element.names)
-    node = Node(label, 1, crc32(" ".join(_own_text(element).split()).encode()), elements=[element])
+    inside = inside or element.tag in MAIN_TAGS
+    aside = aside or element.aside(inside)
+    text = " ".join(_own_text(element).split())
+    node = Node(label, 1, crc32(text.encode()), 0 if aside else len(text), 0 if aside else _linked(element), elements=[element])
     for block in _blocks(element) if depth < 60 else ():
-        child = tree(block, depth + 1)
+        child = tree(block, depth + 1, aside, inside)
         if node.children and node.children[-1].label == child.label:
             node.children[-1] = merge(node.children[-1], child, 0)
         else:
@@ -153,6 +245,11 @@ def tree(element: Element, depth: int = 0) -> Node:
     return node
 
 
+def alike(x: Node, y: Node) -> bool:
+    """Nodes of one label, or of one tag where one of them is folded."""
+    return x.label == y.label or (x.label.endswith(".*") or y.label.endswith(".*")) and x.tag == y.tag
+
+
 def matched(a: list[Node], b: list[Node]) -> tuple[int, list[tuple[int, int]]]:
     """Size and pairs of the largest order-preserving match of two lists of trees."""
     if [x.label for x in a] == [y.label for y in b]:
@@ -162,7 +259,7 @@ def matched(a: list[Node], b: list[Node]) -> tuple[int, list[tuple[int, int]]]:
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             best = max(size[i][j + 1], size[i + 1][j])
-            if x.label == y.label:
+            if alike(x, y):
                 gain[i, j] = 1 + matched(x.children, y.children)[0]
                 best = max(best, size[i][j] + gain[i, j])
             size[i + 1][j + 1] = best
@@ -186,19 +283,43 @@ def merge(a: Node, b: Node, more: int = 1) -> Node:
         if x < len(a.children):
             children.append(merge(a.children[x], b.children[y], more))
         i, j = x + 1, y + 1
-    text = a.text if more and a.text == b.text else None
-    return Node(a.label, a.pages + more * b.pages, text, children, a.elements + b.elements)
+    pages, text = a.pages + more * b.pages, a.text if more and a.text == b.text else None
+    label = b.label if b.label.endswith(".*") else a.label
+    return Node(label, pages, text, a.chars + b.chars, a.linked + b.linked, a.count + b.count, folded(children, pages), a.elements + b.elements)
+
+
+def folded(children: list[Node], pages: int) -> list[Node]:
+    """Of many children, those of few pages become one for each tag, where the first of them stood."""
+    if len(children) <= WIDE or pages < RARE:
+        return children
+    out, rare = [], {}
+    for child in children:
+        if child.pages * RARE >= pages:
+            out.append(child)
+        elif child.tag in rare:
+            at = rare[child.tag]
+            out[at] = merge(out[at], child)
+        else:
+            rare[child.tag] = len(out)
+            child.label = child.tag + ".*"
+            out.append(child)
+    return out
 
 
 EMPTY = crc32(b"")
 
 
+def constant(node: Node, pages: int) -> bool:
+    """Is a wrapper's node template: one text on at least half of the host's pages?"""
+    return node.text is not None and node.text != EMPTY and 2 * node.pages >= pages and node.pages >= LEAST_PAGES
+
+
 def template_of(page: Node, wrapper: Node) -> set[int]:
     """The elements of a page (by id()) whose own text is template: constant over the host's pages."""
     found: set[int] = set()
 
     def walk(a: Node, b: Node) -> None:
-        if b.text is not None and b.text != EMPTY and 2 * b.pages >= wrapper.pages and b.pages >= LEAST_PAGES:
+        if constant(b, wrapper.pages):
             found.update(map(id, a.elements))
         for i, j in matched(a.children, b.children)[1]:
             walk(a.children[i], b.children[j])
@@ -207,40 +328,78 @@ def template_of(page: Node, wrapper: Node) -> set[int]:
     return found
 
 
-def text_of(root: Element, template: set[int]) -> str:
-    """The blocks of the main elements (all of the page where there is none), one space between them."""
-    mains: list[Element] = []
-    for tag in MAIN_TAGS:
+def content_of(page: Node, wrapper: Node) -> Element | None:
+    """The element that holds a page's varying text by the weights of the (weighed) wrapper; None if undecided."""
+    at, of = page, wrapper
+    while at.children:
+        pairs = dict(matched(at.children, of.children)[1])
+        around = [of.children[pairs[i]] if i in pairs else c.weigh(wrapper.pages) for i, c in enumerate(at.children)]
+        best = max(range(len(around)), key=lambda i: around[i].mass)
+        child = at.children[best]
+        container = 2 * around[best].own < around[best].mass
+        if not container or child.count > 1 or 2 * around[best].mass <= of.own + sum(c.mass for c in around):
+            break
+        at, of = child, around[best]
+    return at.elements[0] if at is not page else None
 
-        def find(element: Element, tag: str = tag) -> None:
-            for part in element.parts:
-                if not isinstance(part, str) and not part.aside(True):
-                    if part.tag == tag or tag == "main" and "main" in part.names.lower().split():
-                        mains.append(part)
-                    else:
-                        find(part)
 
-        find(root)
-        if mains:
-            break
-    blocks: list[list[str]] = [[]]
+def mains_of(root: Element, tag: str) -> list[Element]:
+    """The outermost elements of a tag that stand in no menu, advert and the like."""
+
+    def main(element: Element) -> bool:
+        return element.tag == tag or tag == "main" and "main" in element.names.lower().split()
+
+    def enter(element: Element) -> bool:
+        return not element.aside(True) and not main(element)
+
+    return [part for part in parts(root, enter) if not isinstance(part, str) and not part.aside(True)]
+
+
+def below(element: Element) -> set[int]:
+    """The elements inside another one, by id()."""
+    found: set[int] = set()
+
+    def enter(part: Element) -> bool:
+        found.add(id(part))
+        return True
+
+    for _ in parts(element, enter):
+        pass
+    return found
 
-    def walk(element: Element, inside: bool, own: bool) -> None:
-        for part in element.parts:
-            if isinstance(part, str):
+
+def mains_with(root: Element, content: Element | None) -> list[Element]:
+    """The content, or the main element that holds it or stands in it; all main elements where none is known."""
+    mains = next(filter(None, (mains_of(root, tag) for tag in MAIN_TAGS)), [])
+    if content is None:
+        return mains
+    around = [main for main in mains if main is content or id(content) in below(main)]
+    within = below(content)
+    return around or [main for main in mains if id(main) in within] or [content]
+
+
+def text_of(root: Element, template: set[int], content: Element | None = None) -> str:
+    """The blocks of the content (all of the page where there is none), one space between them."""
+    mains = mains_with(root, content)
+    inside, blocks = bool(mains), [[]]
+    for main in mains or [root]:
+        blocks.append([])
+        around = [(iter(main.parts), id(main) not in template, True)]
+        while around:
+            rest, own, block = around[-1]
+            part = next(rest, None)
+            if part is None:
+                around.pop()
+                if block:
+                    blocks.append([])
+            elif isinstance(part, str):
                 if own:
                     blocks[-1].append(part)
             elif not part.aside(inside):
-                if part.tag in INLINE:
-                    walk(part, inside, own)
-                else:
-                    blocks.append([])
-                    walk(part, inside, id(part) not in template)
+                block = not inline(part)
+                if block:
                     blocks.append([])
-
-    for main in mains or [root]:
-        blocks.append([])
-        walk(main, bool(mains), id(main) not in template)
+                around.append((iter(part.parts), id(part) not in template if block else own, block))
     return " ".join(x for b in blocks if (x := " ".join("".join(b).split())))
 
 
@@ -303,8 +462,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
     A null or empty html gives an empty text. Pages without a host share one wrapper. Repeated rows and
-    ids are kept; other columns are ignored; an empty table gives no rows. Where a host has fewer than
-    three different pages nothing counts as template, so copies of one page keep their text.
+    ids are kept; other columns are ignored, whatever their names; an empty table gives no rows. Where a
+    host has fewer than three different pages nothing counts as template and the names of elements decide, so copies of one
+    page keep their text. Pages of any length and depth are parsed whole, in time linear in their length.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("host", host())
@@ -321,9 +481,11 @@ def extract(pages: DataFrame) -> DataFrame:
                         if len(known) > 1000:
                             known.clear()
                         seen, plain = json.loads(wrapper)
-                        known[wrapper] = Node.of(plain) if len(seen) >= LEAST_PAGES else None
-                    root = parse(html)
-                    out.append(text_of(root, template_of(tree(root), known[wrapper]) if known[wrapper] else set()))
+                        node = Node.of(plain)
+                        known[wrapper] = node.weigh(node.pages) if len(seen) >= LEAST_PAGES else None
+                    root, of = parse(html), known[wrapper]
+                    page = tree(root) if of else None
+                    out.append(text_of(root, template_of(page, of), content_of(page, of)) if of else text_of(root, set()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.join(wrappers, "host").select("page_id", "url", "html", "wrapper").mapInArrow(texts, "page_id long, url string, text string, n_chars long")

@@ -189,6 +189,67 @@ def test_wrapper_takes_constant_text_and_boilerplate_out(spark):
     assert out[6:] == [(10, "", 0), (11, "", 0), (12, "H only <one>", 12), (12, "broken <i", 9)]
 
 
+def extracted(spark, htmls, url="http://a/"):
+    rows = [(i, url, h, "x", "y") for i, h in enumerate(htmls)]
+    return [r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, wrapper string")).orderBy("page_id").collect()]
+
+
+PAGE = "<div class=a><ul>{links}</ul></div><div class=b>Daily words</div><div class=c><h1>T {0}</h1><div class=d>share me</div>{body}</div><div class=e>from {0} to {0}</div>"
+
+
+def own_pages(n):
+    links = "".join(f"<li><a href=x>link{{0}} {i} of many</a></li>" for i in range(20)).format
+    return [PAGE.format(i, links=links(i), body="".join(f"<p>{prose(100 * i + j, 20)}</p>" for j in range(1 + i % 3))) for i in range(n)]
+
+
+def test_wrapper_decides_without_any_name(monkeypatch):
+    """No tag and no name speaks for the content: it is where the varying text is, without what is constant in it."""
+    monkeypatch.setattr(wrapper, "MAIN_TAGS", ())
+    monkeypatch.setattr(wrapper, "ASIDE_TAGS", frozenset())
+    monkeypatch.setattr(wrapper, "ASIDE_NAMES", frozenset())
+    merged = None
+    for html in own_pages(30):
+        page = wrapper.tree(wrapper.parse(html))
+        merged = wrapper.merge(merged, page) if merged else page
+    merged = wrapper.Node.of(merged.plain()).weigh(30)
+    for i, html in enumerate(own_pages(30)):
+        root = wrapper.parse(html)
+        page = wrapper.tree(root)
+        expected = " ".join([f"T {i}", *(prose(100 * i + j, 20) for j in range(1 + i % 3))])
+        content, template = wrapper.content_of(page, merged), wrapper.template_of(page, merged)
+        assert wrapper.text_of(root, template, content) == expected
+        assert "share me" in wrapper.text_of(root, set(), content) and f"from {i}" in wrapper.text_of(root, template)
+
+
+def test_wrapper_in_a_job_and_with_clashing_columns(spark):
+    ship_library(spark)
+    expected = [" ".join([f"T {i}", *(prose(100 * i + j, 20) for j in range(1 + i % 3))]) for i in range(12)]
+    assert extracted(spark, own_pages(12)) == expected
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert wrapper.extract(empty).count() == 0 and wrapper.extract(empty).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_names_made_up_for_every_page_do_not_add_up():
+    merged = None
+    for i in range(1500):
+        slug = "".join(chr(97 + int(d)) for d in str(i))
+        page = wrapper.tree(wrapper.parse(f"<div class=top>Same</div><div class={slug}><h1>T</h1><p>{prose(i, 9)}</p></div>"))
+        merged = wrapper.merge(merged, page) if merged else page
+    assert len(merged.children) <= wrapper.WIDE + 2 and merged.children[0].pages == 1500
+    merged.weigh(1500)
+    root = wrapper.parse(f"<div class=top>Same</div><div class=zzz><p>{prose(7, 9)}</p></div>")
+    page = wrapper.tree(root)
+    assert wrapper.text_of(root, wrapper.template_of(page, merged), wrapper.content_of(page, merged)) == prose(7, 9)
+
+
+def test_long_and_deep_pages_end(spark):
+    ship_library(spark)
+    deep = "<div>" * 20000 + "<b>" * 20000 + "deep end"
+    pages = [deep, "<a " * 350000, "<a \"'" * 100000, "<p>" + prose(3, 150000), "<div>" * 30000 + "</span>" * 30000, "<script>" + "</script " * 30000]
+    texts = extracted(spark, pages)
+    assert texts[0] == "deep end" and texts[1] == ("<a " * 350000).strip() and texts[3] == prose(3, 150000) and texts[4:] == ["", ""]
+
+
 def test_repeated_starts_against_brute_force():
     rng = np.random.default_rng(2)
     for trial in range(60):
