@@ -3,8 +3,9 @@
 Two equal strings of the minimum length have the same least k-gram, so texts are cut into overlapping
 segments by it: a segment holds a maximal run of windows with one least k-gram. Only segments that share
 this key can share a window; equal segments are counted once, and a segment that occurs twice repeats as
-a whole, and one that has its k-gram but once does not repeat in itself. The different segments of the
-other keys are put together with others into units of bounded size. There
+a whole, and one that has its k-gram but once does not repeat in itself. Two segments that have it once
+can only share a window if the half window before it or the one after it is equal too. The different
+segments that are left are put together with others into units of bounded size. There
 the Burrows-Wheeler transform is expanded backwards breadth first: level by level every interval of
 suffixes that begin with a string is extended by each symbol before it, and a boundary between suffixes
 gets its common prefix when it is first met. At the minimum length expansion stops; boundaries that
@@ -19,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimcheck.llm.common import tidy, written
@@ -49,18 +50,30 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def segments(data: bytes, length: int, k: int) -> list[tuple[int, int, int, int, int]]:
-    """(key, content hash, start, size, occurrences of the least k-gram) of the segments of a text."""
+def segments(data: bytes, length: int, k: int) -> list[tuple[int, int, int, int, int, int | None, int | None]]:
+    """(key, content hash, start, size, occurrences of the least k-gram, before, after) of the segments of a text.
+
+    before and after are hashes of the first k-gram with half a window on that side of it, None where the
+    segment has less. Any window holds its k-gram with one of the two.
+    """
     if len(data) < length:
         return []
     grams = gram_hashes(np.frombuffer(data, dtype=np.uint8), k)
     least = window_minima(grams, length - k + 1)
     begin = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     size = np.r_[begin[1:], len(least)] - begin + length - 1
-    keys = least[begin].astype(np.int64).tolist()
-    hashes = (xxhash.xxh3_64_intdigest(data[a : a + n]) - (1 << 63) for a, n in zip(begin.tolist(), size.tolist(), strict=True))
-    times = (int(np.count_nonzero(grams[a : a + n - k + 1] == least[a])) for a, n in zip(begin.tolist(), size.tolist(), strict=True))
-    return list(zip(keys, hashes, begin.tolist(), size.tolist(), times, strict=True))
+    half, out = (length - k + 1) // 2, []
+    for a, n, key, value in zip(begin.tolist(), size.tolist(), least[begin].astype(np.int64).tolist(), least[begin], strict=True):
+        places = np.flatnonzero(grams[a : a + n - k + 1] == value)
+        at = a + int(places[0])
+        before = _hash(data[at - half : at + k]) if at - half >= a else None
+        after = _hash(data[at : at + k + half]) if at + k + half <= a + n else None
+        out.append((key, _hash(data[a : a + n]), a, n, len(places), before, after))
+    return out
+
+
+def _hash(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -139,7 +152,7 @@ def _repeats_of(pieces: DataFrame, length: int) -> DataFrame:
     """Repeated spans inside the different segments of each key; pieces has key, content, key_bytes and data.
 
     A key whose segments exceed a unit is not expanded in one task: its windows are counted by hash, one
-    row for each different window and segment.
+    row for each different window and segment, and those found twice are merged into runs.
     """
     total = pieces.agg(F.sum(F.length("data"))).first()[0] or 0
     unit = F.pmod(F.xxhash64("key"), F.lit(max(1, total // UNIT_BYTES)))
@@ -154,14 +167,29 @@ def _repeats_of(pieces: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for key, content, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = len(data) - length + 1
-                hashes = [xxhash.xxh3_64_intdigest(data[i : i + length]) - (1 << 63) for i in range(n)]
+                hashes = [_hash(data[i : i + length]) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([content] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(hashes, pa.int64())], names=["key", "content", "at", "hash"])
 
     usual, hot = pieces.where(F.col("key_bytes") <= UNIT_BYTES), pieces.where(F.col("key_bytes") > UNIT_BYTES)
     spans = usual.select(unit.alias("unit"), "key", "content", "data").groupBy("unit").applyInPandas(expand, SPAN)
     each = hot.select("key", "content", "data").dropDuplicates(["key", "content"]).mapInArrow(windows, "key long, content long, at int, hash long")
     twice = each.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return spans.union(each.join(twice, ["key", "hash"]).select("key", "content", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
+    order = Window.partitionBy("key", "content").orderBy("at")
+    begins = F.coalesce(F.col("at") - F.lag("at").over(order) > length, F.lit(True)).cast("int")
+    runs = each.join(twice, ["key", "hash"]).withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
+    return spans.union(runs.groupBy("key", "content", "run").agg(F.min("at").alias("lo"), (F.max("at") + length).alias("hi")).drop("run"))
+
+
+def _may_repeat(contents: DataFrame) -> DataFrame:
+    """key, key_bytes, content, text_hash, start and size of the contents that may share a window with another, or with themselves."""
+    keys = contents.groupBy("key").agg(F.count(F.lit(1)).alias("contents"), F.max("times").alias("most")).where("contents > 1 or most > 1").select("key", "most")
+    asked = written(contents.join(keys, "key"))
+    sides = asked.where("most = 1").select("key", "content", F.explode(F.array("before", "after")).alias("side")).where("side is not null").distinct()
+    shared = sides.groupBy("key", "side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "side")
+    chosen = sides.join(shared, ["key", "side"]).select("key", "content").distinct()
+    columns = ["key", "content", "text_hash", "start", "size"]
+    left = written(asked.where("most > 1").select(columns).union(asked.where("most = 1").join(chosen, ["key", "content"], "left_semi").select(columns)))
+    return left.join(left.groupBy("key").agg(F.sum(F.col("size").cast("long")).alias("key_bytes")), "key")
 
 
 @tidy
@@ -174,21 +202,19 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             for at in range(0, batch.num_rows, 500):
                 out = [(t, *s) for t, text in zip(batch.column(0)[at : at + 500].to_pylist(), batch.column(1)[at : at + 500].to_pylist(), strict=True) for s in segments(text.encode(), length, gram)]
                 if out:
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["text_hash", "key", "content", "start", "size", "times"])
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["text_hash", "key", "content", "start", "size", "times", "before", "after"])
 
-    found = written(texts.mapInArrow(cut, "text_hash long, key long, content long, start int, size int, times int"))
-    contents = found.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("text_hash"), F.min_by("start", "text_hash").alias("start"), F.max("size").alias("size"), F.max("times").alias("times"))
+    found = written(texts.mapInArrow(cut, "text_hash long, key long, content long, start int, size int, times int, before long, after long"))
+    contents = found.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("text_hash"), F.min_by("start", "text_hash").alias("start"), F.max("size").alias("size"), F.max("times").alias("times"), F.max("before").alias("before"), F.max("after").alias("after"))
     contents = written(contents)
-    keys = contents.groupBy("key").agg(F.count(F.lit(1)).alias("contents"), F.sum(F.col("size").cast("long")).alias("key_bytes"), F.max("times").alias("times")).where("contents > 1 or times > 1").select("key", "key_bytes")
-    asked = contents.join(keys, "key").select("key", "content", "key_bytes", "text_hash", "start", "size")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [t.as_py().encode()[a : a + n] for a, n, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], names=["key", "content", "key_bytes", "data"])
 
-    asked = written(asked)
+    asked = written(_may_repeat(contents).select("key", "content", "key_bytes", "text_hash", "start", "size"))
     some = written(asked.select("text_hash").distinct())
     with_text = asked.join(texts.join(some, "text_hash", "left_semi"), "text_hash").select("key", "content", "key_bytes", "start", "size", "text")
     pieces = written(with_text.mapInArrow(take, "key long, content long, key_bytes long, data binary"))
