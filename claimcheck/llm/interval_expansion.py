@@ -29,6 +29,8 @@ from claimcheck.llm.shingles import FACTOR, mixed
 LENGTH = 400
 GRAM = 32
 UNIT_BYTES = 1 << 20
+#: About so many segments of a hot key are compared in one group of a window.
+GROUP_ROWS = 100_000
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -152,7 +154,8 @@ def _repeats_of(pieces: DataFrame, length: int) -> DataFrame:
     """Repeated spans inside the different segments of each key; pieces has key, content, key_bytes and data.
 
     A key whose segments exceed a unit is not expanded in one task: its windows are counted by hash, one
-    row for each different window and segment, and those found twice are merged into runs.
+    row for each different window and segment, and those found twice are merged into runs. Segments of a key
+    are dealt to as many salts as keep a window's group small; groups of one row are then compared over salts.
     """
     total = pieces.agg(F.sum(F.length("data"))).first()[0] or 0
     unit = F.pmod(F.xxhash64("key"), F.lit(max(1, total // UNIT_BYTES)))
@@ -172,11 +175,19 @@ def _repeats_of(pieces: DataFrame, length: int) -> DataFrame:
 
     usual, hot = pieces.where(F.col("key_bytes") <= UNIT_BYTES), pieces.where(F.col("key_bytes") > UNIT_BYTES)
     spans = usual.select(unit.alias("unit"), "key", "content", "data").groupBy("unit").applyInPandas(expand, SPAN)
-    each = hot.select("key", "content", "data").dropDuplicates(["key", "content"]).mapInArrow(windows, "key long, content long, at int, hash long")
-    twice = each.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    different = hot.select("key", "content", "data").dropDuplicates(["key", "content"])
+    most = hot.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    each = different.mapInArrow(windows, "key long, content long, at int, hash long").withColumn("salt", F.pmod("content", F.lit(1 + most // GROUP_ROWS)))
+    group = Window.partitionBy("key", "hash", "salt")
+    each = each.withColumn("n", F.count(F.lit(1)).over(group)).withColumn("place", F.row_number().over(group.orderBy("content", "at")))
+    twice = each.where("n > 1").select("key", "content", "at")
+    if most >= GROUP_ROWS:
+        each = written(each)
+        one = each.where("place = 1").withColumn("salts", F.count(F.lit(1)).over(Window.partitionBy("key", "hash")))
+        twice = each.where("n > 1").select("key", "content", "at").union(one.where("n = 1 and salts > 1").select("key", "content", "at"))
     order = Window.partitionBy("key", "content").orderBy("at")
     begins = F.coalesce(F.col("at") - F.lag("at").over(order) > length, F.lit(True)).cast("int")
-    runs = each.join(twice, ["key", "hash"]).withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
+    runs = twice.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
     return spans.union(runs.groupBy("key", "content", "run").agg(F.min("at").alias("lo"), (F.max("at") + length).alias("hi")).drop("run"))
 
 

@@ -260,9 +260,10 @@ def test_repeated_starts_against_brute_force():
         assert [list(s) for s in interval_expansion.repeated_starts(parts, length)] == expected
 
 
-@pytest.mark.parametrize("unit_bytes", [1 << 20, 100])
-def test_repeated_bytes_go(docs, none, monkeypatch, unit_bytes):
+@pytest.mark.parametrize(("unit_bytes", "group_rows"), [(1 << 20, 100_000), (100, 100_000), (100, 1)])
+def test_repeated_bytes_go(docs, none, monkeypatch, unit_bytes, group_rows):
     monkeypatch.setattr(interval_expansion, "UNIT_BYTES", unit_bytes)
+    monkeypatch.setattr(interval_expansion, "GROUP_ROWS", group_rows)
     data, length = [(t or "").encode() for _, t in TEXTS], 100
     count = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
     expected = []
