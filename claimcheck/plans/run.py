@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from claimcheck.operators import catalog, claims as extraction, ledger, verdicts
-from claimcheck.plans.publish import Publication, publish_run
+from claimcheck.plans.publish import Deliver, Publication, publish_run
 from claimcheck.plans.verify import measure
 from claimcheck.session import cut_lineage
 from claimcheck.vocabulary import AUTHOR
@@ -36,6 +36,7 @@ def run_catalog(
     incidents: DataFrame,
     folder: str,
     author: str = AUTHOR,
+    deliver: Mapping[str, Deliver] | None = None,
 ) -> Run:
     """Verify every asset whose fields the tables know and whose claims could be extracted.
 
@@ -66,6 +67,6 @@ def run_catalog(
     findings = verdicts.as_findings(verdicts.adjudicate(measured))
     usage = ledger.usage_evidence(query_log, claims.select("asset_urn"), run_date)
     written = publish_run(
-        findings, descriptions, usage, incidents, refused, folder, run_date, author
+        findings, descriptions, usage, incidents, refused, folder, run_date, author, deliver
     )
     return Run(written, binding.where(~F.col("bound")), errors)

@@ -7,7 +7,7 @@ from claimcheck.operators import ledger, reader, rollback
 from claimcheck.operators.claims import prompt_key
 from claimcheck.plans.publish import publish_run
 from claimcheck.plans.undo import roll_back
-from claimcheck.sources.outputs import read_latest, read_run
+from claimcheck.sources.outputs import committed_attempt, read_committed, read_latest, read_run
 from tests.helpers import urn
 
 FINDINGS = (
@@ -179,6 +179,60 @@ def test_ledger_pointers(spark):
                    ("c", "urn:li:document:z")]
 
 
+def test_a_missing_receipt_keeps_back_its_asset_only(spark, tmp_path):
+    """p: a dossier refused, q: a dossier not named, r: its ledger refused, s: a correction refused."""
+    rows = frame(
+        spark, *[finding(a, f, N, pos=i) for a in "pqrst" for i, f in enumerate(["a", None])],
+        finding("u", "a", U))
+    texts = spark.createDataFrame([(urn(a), "a", "Amount in USD.") for a in "pqrst"], TEXTS)
+    none = spark.createDataFrame(
+        [], "incident_urn string, asset_urn string, title string, state string")
+    asset = F.col("asset_urn")
+
+    def dossiers(leg):
+        named = leg.where((asset != urn("q")) | F.col("field_path").isNull())
+        return named.withColumn("ok", (asset != urn("p")) | F.col("field_path").isNotNull())
+
+    def book(leg):
+        return leg.withColumn("ok", (asset != urn("r")) | (F.col("line_no") > 0))
+
+    def fixes(leg):
+        return leg.withColumn("ok", (asset != urn("s")) | F.col("field_path").isNotNull())
+
+    def publish(**deliver):
+        return publish_run(rows, texts, usage(spark, ("p", 99)), none,
+                           rows.select("asset_urn").limit(0), str(tmp_path), DAY, deliver=deliver)
+
+    out = publish(dossiers=dossiers, ledger=book, corrections=fixes)
+    admission = {r["asset_urn"]: tuple(r)[1:4] for r in read_run(spark, out.admission, DAY).collect()}
+    assert admission == {
+        urn("p"): (False, False, False), urn("q"): (False, False, False),
+        urn("r"): (True, False, False), urn("s"): (True, True, False),
+        urn("t"): (True, True, True), urn("u"): (True, True, True)}
+    assert {r[0] for r in read_committed(spark, str(tmp_path), "ledger", DAY).select("asset_urn").collect()} == {
+        urn(a) for a in "rstu"}
+    corrected = read_committed(spark, str(tmp_path), "corrections", DAY)
+    assert sorted(r["asset_urn"] for r in corrected.collect()) == sorted([urn("s"), urn("t")] * 2)
+
+    def broken(leg):
+        raise OSError("receiver is down")
+
+    first = committed_attempt(spark, str(tmp_path), DAY)
+    with pytest.raises(OSError):
+        publish(corrections=broken)
+    assert committed_attempt(spark, str(tmp_path), DAY) == first
+    assert read_committed(spark, str(tmp_path), "corrections", DAY).count() == 4
+    publish()
+    assert committed_attempt(spark, str(tmp_path), DAY) != first
+    assert read_run(spark, out.corrections, DAY).count() == 4
+    assert read_committed(spark, str(tmp_path), "corrections", DAY).count() == 10
+    assert committed_attempt(spark, str(tmp_path), "2026-07-17") is None
+    with pytest.raises(FileNotFoundError):
+        read_committed(spark, str(tmp_path), "ledger", "2026-07-17")
+    with pytest.raises(ValueError):
+        publish(incidents=book)
+
+
 def test_publish_and_roll_back_round_trip(spark, tmp_path):
     rows = frame(spark, finding("t", "a", N), finding("t", "b", Y, pos=1),
                  finding("t", None, U, kind="freshness", pos=2), finding("s", "a", U))
@@ -188,7 +242,7 @@ def test_publish_and_roll_back_round_trip(spark, tmp_path):
     none = spark.createDataFrame(
         [], "incident_urn string, asset_urn string, title string, state string")
     assets = spark.createDataFrame([(urn("t"),)], "asset_urn string")
-    for _ in range(2):  # a repeated run replaces its own partition
+    for _ in range(2):  # a repeated run takes the place of the first
         out = publish_run(rows, texts, usage(spark, ("t", 99)), none, assets.limit(0),
                           str(tmp_path), DAY)
     documents = read_latest(spark, out.dossiers)
