@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from itertools import compress, islice
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -99,17 +100,18 @@ class WordEncoder:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         found = list(map(self.known.get, parts))
-        new = [i for i, ids in enumerate(found) if ids is None]
+        new = [part for part, ids in zip(parts, found, strict=True) if ids is None]
         if new:
-            self._learn(list({parts[i] for i in new}))
-            for i in new:
-                found[i] = self.known[parts[i]]
+            self._learn(list(dict.fromkeys(new)))
+            found = list(map(self.known.__getitem__, parts))
         return found
 
     def _learn(self, new: list[str]) -> None:
         """Of a part: its line end, letters and marks are pieces whose ids are found on their own."""
-        whole, cut = [], []
-        for part in new:
+        # most parts are a word with or without a space before it
+        plain = [part[-1:].isalnum() and part[0] != "\n" for part in new]
+        whole, cut = list(compress(new, plain)), []
+        for part in compress(new, map(not_, plain)):
             line = part[:1] == "\n" and not part[1:2].isspace() and len(part) > 1
             bare = part[1:] if line else part
             found = None if bare[-1:].isalnum() else MARKED.fullmatch(bare)
@@ -119,7 +121,7 @@ class WordEncoder:
                 cut.append((part, line, bare, ""))
             else:
                 whole.append(part)
-        bodies = {body for _, _, body, _ in cut}.difference(whole, self.known)
+        bodies = {body for _, _, body, _ in cut if body not in self.known}.difference(whole)
         unknown = [*whole, *bodies]
         self.known.update(zip(unknown, self.encode_words(unknown), strict=True))
         marks = list({mark for _, _, _, mark in cut} - self.marks.keys())

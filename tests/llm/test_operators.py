@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimcheck.llm import bitplanes, chaining, hash_forest, interval_expansion, merge_queue, packing, permutation_index, pitman_yor, robust_outliers, wrapper
+from claimcheck.llm import bitplanes, chaining, encoding, hash_forest, interval_expansion, merge_queue, packing, permutation_index, pitman_yor, robust_outliers, wrapper
 from claimcheck.llm.common import ship_library, shared_folder
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -87,6 +87,18 @@ def test_texts_in_arrow_groups_equal_the_library():
     assert library_encoder(PATH).encode(texts) == [library_tokenizer_ids(t) for t in texts]
 
 
+def test_known_words_are_looked_up_and_never_gone_through():
+    class Known(dict):
+        def __iter__(self):
+            raise AssertionError("all known words were gone through")
+
+    encoder = encoding.WordEncoder(lambda words: [library_tokenizer_ids(w) for w in words])
+    encoder.known = Known()
+    texts = ["some words, some more;\nof them", "words, and marks!! (more) 12", "", " odd  one "]
+    for _ in range(2):
+        assert encoder.encode(texts) == [library_tokenizer_ids(t) for t in texts]
+
+
 def test_merge_queue_equals_the_library(docs, none):
     rows = merge_queue.round_trip(docs, PATH).collect()
     expected = [(d, len(i), sha256(i.tobytes()).hexdigest(), sha256((t or "").encode()).hexdigest()) for d, t in TEXTS for i in [library_ids(t)]]
