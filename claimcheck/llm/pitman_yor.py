@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from claimcheck.llm.common import shared_folder, shuffle_partitions, tidy, written
 from claimcheck.llm.shingles import WordHashes, mixed
 
-BLOCK_TOKENS = 1_500_000
-BUCKET_ENTRIES = 500_000
+BLOCK_TOKENS = 750_000
+BUCKET_ENTRIES = 250_000
 CHAINS = 2
 SWEEPS = 2
 #: Discount and strength of the words' restaurants and of their parent.
@@ -57,6 +58,7 @@ def uniform(keys: np.ndarray, salt: int) -> np.ndarray:
     return (mixed(keys ^ mixed(np.array([salt], dtype=np.uint64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
+@cache
 def log_stirling(discount: float) -> np.ndarray:
     """log S(c, t) for c, t up to EXACT: S(c + 1, t) = S(c, t - 1) + (c - discount t) S(c, t)."""
     s = np.full((EXACT + 1, EXACT + 1), -np.inf)

@@ -312,6 +312,10 @@ def test_tables_follow_their_distribution():
     assert abs(many.mean() - sum(1 / (i + 1) for i in range(100000))) < 2
 
 
+def test_stirling_numbers_are_found_once():
+    assert pitman_yor.log_stirling(0.75) is pitman_yor.log_stirling(0.75)
+
+
 def test_scores_beat_the_base_on_held_out_text(docs, none, spark):
     rows = [(i, prose(i % 7, 60)) for i in range(300)] + [(None, None), (4, "")]
     found = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
