@@ -355,8 +355,8 @@ def test_a_passage_is_found_though_its_seeds_are_also_met_in_between(spark, monk
     monkeypatch.setattr(chaining, "FREQUENT", frequent)
     ship_library(spark)
     own, b, c = shared_by_two(1, 80)
-    piece = lambda first, i: (first + i, " ".join([f"q{first}x{i}x{j}" for j in range(60)] + own[i : i + 16] + [f"r{first}x{i}x{j}" for j in range(60)]))
-    rows = [*(piece(0, i) for i in range(65)), (1000, b), *(piece(2000, i) for i in range(65)), (3000, c), (3001, c)]
+    piece = lambda first, i: (first + i, " ".join([f"q{first}x{i}x{j}" for j in range(60)] + own[i : i + 36] + [f"r{first}x{i}x{j}" for j in range(60)]))
+    rows = [*(piece(0, i) for i in range(45)), (1000, b), *(piece(2000, i) for i in range(45)), (3000, c), (3001, c)]
     found = {r["doc_id"]: r for r in chaining.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[3000]["n_removed"] == 80 and found[3000]["sources"] == [1000]
     assert found[3001]["text"] == "" and found[3001]["sources"] == [3000]
