@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.common import shared_folder, shuffle_partitions, tidy, written
+from claimcheck.llm.common import dropped, shuffle_partitions, temporary_folder, tidy, written
 from claimcheck.llm.shingles import WordHashes, mixed
 
 BLOCK_TOKENS = 750_000
@@ -53,6 +53,17 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<u4").astype(np.int64)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As np.unique with first places and inverse, by a sort that need not be stable."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)])
+    place = np.empty(len(keys), dtype=np.int64)
+    place[order] = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(keys)]))
+    first = np.minimum.reduceat(order, begin) if len(begin) else order
+    return ordered[begin], first, place
+
+
 def uniform(keys: np.ndarray, salt: int) -> np.ndarray:
     """A number in (0, 1) for each key."""
     return (mixed(keys ^ mixed(np.array([salt], dtype=np.uint64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
@@ -137,7 +148,7 @@ class Block:
     def pairs(self) -> None:
         with np.errstate(over="ignore"):
             keys = mixed(self.vocabulary[self.context] * np.uint64(0x9E3779B97F4A7C15) + self.vocabulary[self.tokens])
-        self.keys, first, self.pair = np.unique(keys, return_index=True, return_inverse=True)
+        self.keys, first, self.pair = distinct(keys)
         self.pair_context, self.pair_word = self.context[first], self.tokens[first]
         self.pair_counts = np.bincount(self.pair[self.training], minlength=len(self.keys))
 
@@ -157,7 +168,7 @@ def answers(rows: DataFrame, reply: Callable, schema: str = ANSWER) -> DataFrame
     def add(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("block")
         sizes = [len(k) // 8 for k in part["keys"]]
-        keys, first, place = np.unique(np.frombuffer(b"".join(part["keys"]), dtype=np.uint64), return_index=True, return_inverse=True)
+        keys, first, place = distinct(np.frombuffer(b"".join(part["keys"]), dtype=np.uint64))
         sums = [np.bincount(place, weights=np.concatenate([unpack(c) for c in column])).astype(np.int64) for column in zip(*part["columns"], strict=True)]
         owner = np.zeros(len(place), dtype=np.int64)
         owner[first] = 1
@@ -229,20 +240,22 @@ def score(docs: DataFrame) -> DataFrame:
     made = blocks_of(docs)
     name = f"blocks_{uuid.uuid4().hex}"
     buckets = max(shuffle_partitions(spark), made.rdd.getNumPartitions())
-    made.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", shared_folder(spark)).format("parquet").saveAsTable(name)
+    made.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", temporary_folder(spark)).format("parquet").saveAsTable(name)
     blocks = spark.table(name)
     size = blocks.agg(F.sum(F.length("vocabulary")).alias("words"), F.sum(F.size("doc_ids")).alias("docs"), F.count(F.lit(1)).alias("n")).first()
     bits = [max(0, int(np.ceil(np.log2(max(1, entries) / BUCKET_ENTRIES)))) for entries in ((size["words"] or 0) // 8, (size["n"] or 0) * BLOCK_TOKENS // 2)]
 
-    def first(row: dict) -> Iterator[dict]:
+    def own_words(row: dict) -> Iterator[dict]:
+        block = Block(row)
+        yield from sent(row["block"], block.vocabulary, [block.counts], bits[0])
+
+    def own_pairs(row: dict) -> Iterator[dict]:
         block = Block(row)
-        yield from ({**x, "kind": "word"} for x in sent(row["block"], block.vocabulary, [block.counts], bits[0]))
         block.pairs()
-        yield from ({**x, "kind": "pair"} for x in sent(row["block"], block.keys, [block.pair_counts], bits[1]))
+        yield from sent(row["block"], block.keys, [block.pair_counts], bits[1])
 
-    asked = each_block(blocks, first, SENT + ", kind string")
-    words = written(answers(asked.where("kind = 'word'").drop("kind"), lambda keys, sums, place, owner: [sums[0][place], owner]))
-    pairs = written(answers(asked.where("kind = 'pair'").drop("kind"), lambda keys, sums, place, owner: [sums[0][place], owner]))
+    words = written(answers(each_block(blocks, own_words, SENT), lambda keys, sums, place, owner: [sums[0][place], owner]))
+    pairs = written(answers(each_block(blocks, own_pairs, SENT), lambda keys, sums, place, owner: [sums[0][place], owner]))
 
     def summed(row: dict) -> Iterator[dict]:
         found = received([row])
@@ -277,8 +290,10 @@ def score(docs: DataFrame) -> DataFrame:
             return [*out, owner]
 
         answered = {"pairs": pairs, "words": words} | ({"state": state} if sweep else {})
-        before, totals_before = state, dict(totals)
+        old, before, totals_before = before, state, dict(totals)
         state = written(answers(each_block(blocks, seated, SENT, **answered), parent))
+        if old is not None:
+            dropped(old)
 
         def counted(row: dict) -> Iterator[dict]:
             columns = received([row])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimcheck.llm import bitplanes, chaining, encoding, hash_forest, interval_expansion, merge_queue, packing, permutation_index, pitman_yor, robust_outliers, wrapper
-from claimcheck.llm.common import ship_library, shared_folder
+from claimcheck.llm.common import CLEANUP, dropped, ship_library, shared_folder, tidy, written
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -316,6 +316,12 @@ def test_stirling_numbers_are_found_once():
     assert pitman_yor.log_stirling(0.75) is pitman_yor.log_stirling(0.75)
 
 
+def test_distinct_keys_are_those_of_numpy():
+    rng = np.random.default_rng(3)
+    for keys in (np.zeros(0, np.uint64), rng.integers(0, 50, 1000).astype(np.uint64), rng.integers(0, 1 << 63, 500).astype(np.uint64)):
+        assert all((a == b).all() for a, b in zip(pitman_yor.distinct(keys), np.unique(keys, return_index=True, return_inverse=True), strict=True))
+
+
 def test_scores_beat_the_base_on_held_out_text(docs, none, spark):
     rows = [(i, prose(i % 7, 60)) for i in range(300)] + [(None, None), (4, "")]
     found = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -405,6 +411,47 @@ def test_columns_of_the_same_names_stay_under_a_prefix(spark):
     assert found[2]["p_n_words"] == 150 and found[2]["p_n_removed"] >= 120
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size())} - {None}
+
+
+def test_shuffle_files_go_as_soon_as_a_table_is_written(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(CLEANUP, None)
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    table = written(rows)
+    assert not {f for f in shuffle_files(spark) - before if f.startswith("shuffle_")}
+    assert spark.conf.get(CLEANUP, None) == setting and table.count() == 7 and rows.count() == 7
+
+
+def test_dropped_tables_go_before_the_operator_ends(spark):
+    seen = []
+
+    @tidy
+    def operator():
+        first = written(spark.range(5))
+        second = written(first)
+        dropped(first)
+        seen.append([path_exists(spark, first._written_to), path_exists(spark, second._written_to)])
+        return second
+
+    assert operator().count() == 5 and seen == [[False, True]]
+
+
+def path_exists(spark, folder):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_scores_leave_only_their_result_behind(spark, docs, monkeypatch):
+    from claimcheck.llm import common
+
+    made, folder = [], common.shared_folder
+    monkeypatch.setattr(common, "shared_folder", lambda s: made.append(folder(s)) or made[-1])
+    found = pitman_yor.score(docs)
+    assert [f for f in made if path_exists(spark, f)] == [found._written_to]
+
+
 def test_stages_of_the_pipeline(spark, tmp_path):
     """Each stage acts on what the one before kept, and hands on the columns of documents."""
     import corpus_pipeline
