@@ -4,7 +4,8 @@ The library splits a text before merging, and a split never lies inside a word.
 two characters that are no white space always begins a new piece, so a text may be cut there and the parts
 encoded on their own. A batch of texts is cut and its parts are numbered in Arrow; only different parts are
 looked up, and their ids are put together again by one gather. Most parts repeat; their ids are kept per
-Python worker, in a dictionary of bounded size that starts anew when it is full. A text that has white space
+Python worker, in two dictionaries of bounded size: when the newer one is full it takes the place of the older
+one, and words met again move back into the new one, so the frequent ones stay. A text that has white space
 beside white space or at an end is cut at its other spaces only.
 """
 
@@ -53,6 +54,7 @@ class WordEncoder:
     def __init__(self, encode_words):
         self.encode_words = encode_words
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         (self.line_end,) = encode_words(["\n"])
 
@@ -71,7 +73,8 @@ class WordEncoder:
         # odd texts are cut here too, but what comes of them is not used
         lists = pc.split_pattern(pc.if_else(odd, "", cut), CUT)
         parts = lists.flatten().dictionary_encode()
-        pool, starts, lengths = self._pool(parts.dictionary.to_pylist())
+        # through numpy, as to_pylist makes a scalar of each
+        pool, starts, lengths = self._pool(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
         at = parts.indices.to_numpy()
         size = lengths[at]
         ends = np.zeros(len(at) + 1, dtype=np.int64)
@@ -97,15 +100,23 @@ class WordEncoder:
         return np.frombuffer(b"".join(found), "<u4"), (np.cumsum(lengths) - lengths).astype(np.int32), lengths
 
     def _look_up(self, parts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+        if len(self.known) > CACHED_WORDS // 2:
+            self.older, self.known = self.known, {}
         found = list(map(self.known.get, parts))
         new = [part for part, ids in zip(parts, found, strict=True) if ids is None]
         if new:
-            self._learn(list(dict.fromkeys(new)))
+            self._learn(self._unknown(list(dict.fromkeys(new))))
             found = list(map(self.known.__getitem__, parts))
         return found
 
+    def _unknown(self, new: list[str]) -> list[str]:
+        """Those of the words that are not among the older ones either; the others are taken over."""
+        if not self.older:
+            return new
+        found = list(map(self.older.get, new))
+        self.known.update((word, ids) for word, ids in zip(new, found, strict=True) if ids is not None)
+        return [word for word, ids in zip(new, found, strict=True) if ids is None]
+
     def _learn(self, new: list[str]) -> None:
         """Of a part: its line end, letters and marks are pieces whose ids are found on their own."""
         # most parts are a word with or without a space before it
@@ -121,7 +132,7 @@ class WordEncoder:
                 cut.append((part, line, bare, ""))
             else:
                 whole.append(part)
-        bodies = {body for _, _, body, _ in cut if body not in self.known}.difference(whole)
+        bodies = self._unknown(list({body for _, _, body, _ in cut if body not in self.known}.difference(whole)))
         unknown = [*whole, *bodies]
         self.known.update(zip(unknown, self.encode_words(unknown), strict=True))
         marks = list({mark for _, _, _, mark in cut} - self.marks.keys())

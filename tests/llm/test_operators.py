@@ -99,6 +99,17 @@ def test_known_words_are_looked_up_and_never_gone_through():
         assert encoder.encode(texts) == [library_tokenizer_ids(t) for t in texts]
 
 
+def test_frequent_words_stay_known_when_the_dictionaries_change_places(monkeypatch):
+    monkeypatch.setattr(encoding, "CACHED_WORDS", 200)
+    asked = []
+    encoder = encoding.WordEncoder(lambda words: asked.extend(words) or [library_tokenizer_ids(w) for w in words])
+    for i in range(40):
+        texts = [" ".join(["the", "often", "met,", *(f"new{i}x{j}y" for j in range(30))])]
+        assert encoder.encode(texts) == [library_tokenizer_ids(t) for t in texts]
+        assert len(encoder.known) + len(encoder.older) <= 300
+    assert asked.count("the") == asked.count(" often") == asked.count(" met") == 1
+
+
 def test_merge_queue_equals_the_library(docs, none):
     rows = merge_queue.round_trip(docs, PATH).collect()
     expected = [(d, len(i), sha256(i.tobytes()).hexdigest(), sha256((t or "").encode()).hexdigest()) for d, t in TEXTS for i in [library_ids(t)]]
