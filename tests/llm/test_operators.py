@@ -463,6 +463,24 @@ def test_scores_leave_only_their_result_behind(spark, docs, monkeypatch):
     assert [f for f in made if path_exists(spark, f)] == [found._written_to]
 
 
+def test_passages_keep_no_table_that_is_no_longer_read(spark, docs, monkeypatch):
+    from claimcheck.llm import common
+
+    made, left, folder, pieces_of = [], [], common.shared_folder, chaining.pieces_of
+    monkeypatch.setattr(common, "shared_folder", lambda s: made.append(folder(s)) or made[-1])
+
+    def watched(*args):
+        n = len(made)
+        found = pieces_of(*args)
+        left.append([f for f in made[n:] if path_exists(spark, f) and f != found._written_to])
+        return found
+
+    monkeypatch.setattr(chaining, "pieces_of", watched)
+    assert chaining.passages(docs).count() > 0
+    # of candidates, asked ids and words only the ids, which are few
+    assert left and all(len(x) <= 1 for x in left)
+
+
 def test_stages_of_the_pipeline(spark, tmp_path):
     """Each stage acts on what the one before kept, and hands on the columns of documents."""
     import corpus_pipeline
