@@ -10,7 +10,9 @@ averaged over the chains.
 Texts are kept as blocks of token numbers with their own vocabulary. What blocks and the corpus exchange
 goes by hash buckets: each block sends its distinct words or pairs, a bucket adds them up and answers in
 the order asked. So a word or pair, however frequent, is one entry per block, and a block or bucket is of
-bounded size. Draws are functions of the pair's hash, so a task that is run again repeats them.
+bounded size. Draws are functions of the pair's hash, so a task that is run again repeats them. Of the blocks
+that hold a pair one owns it, and only that one draws its tables, until the last sweep: there each block draws
+all of its own and keeps them for scoring, in a bucket of a negative number that comes back as it was sent.
 """
 
 from __future__ import annotations
@@ -45,12 +47,24 @@ SENT = "block long, bucket int, keys binary, columns array<binary>"
 ANSWER = "block long, bucket int, columns array<binary>"
 
 
-def pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u4").tobytes())
+def pack(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers, first the lowest bytes of all of them, then the next ones: alike bytes lie together."""
+    planes = np.ascontiguousarray(values, dtype=kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<u4").astype(np.int64)
+def unpack(data: bytes, kind: str = "<u4") -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, len(planes) // np.dtype(kind).itemsize).T).view(kind).ravel().astype(np.int64 if kind == "<u4" else kind, copy=False)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending hashes, by the steps from one to the next."""
+    return pack(np.diff(keys, prepend=np.uint64(0)), "<u8")
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, "<u8"), dtype=np.uint64)
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +121,7 @@ def held_out(doc_id: int | None) -> bool:
 
 def blocks_of(docs: DataFrame) -> DataFrame:
     """Blocks of whole texts: their ids, lengths in tokens, sorted vocabulary and tokens as numbers in it."""
-    schema = "block long, doc_ids array<long>, lengths binary, vocabulary binary, tokens binary"
+    schema = "block long, doc_ids array<long>, lengths binary, n_words long, vocabulary binary, tokens binary"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, texts, n, block = WordHashes(), [], [], 0, TaskContext.get().partitionId() << 32
@@ -115,9 +129,9 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             vocabulary, tokens = np.unique(np.concatenate([x for t in texts for x in (t, [END])]), return_inverse=True)
             lengths = np.array([len(t) + 1 for t in texts])
-            return pa.RecordBatch.from_pydict({"block": [block], "doc_ids": [ids], "lengths": [pack(lengths)], "vocabulary": [vocabulary.tobytes()], "tokens": [pack(tokens)]}, schema=kinds)
+            return pa.RecordBatch.from_pydict({"block": [block], "doc_ids": [ids], "lengths": [pack(lengths)], "n_words": [len(vocabulary)], "vocabulary": [pack_keys(vocabulary)], "tokens": [pack(tokens)]}, schema=kinds)
 
-        kinds = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("vocabulary", pa.binary()), ("tokens", pa.binary())])
+        kinds = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("n_words", pa.int64()), ("vocabulary", pa.binary()), ("tokens", pa.binary())])
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = hashes.of(text.as_py(), lower=True)
@@ -138,7 +152,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.doc_ids, self.lengths = row["doc_ids"], unpack(row["lengths"])
-        self.vocabulary, self.tokens = np.frombuffer(row["vocabulary"], dtype=np.uint64), unpack(row["tokens"])
+        self.vocabulary, self.tokens = unpack_keys(row["vocabulary"]), unpack(row["tokens"])
         self.held = np.array([held_out(d) for d in self.doc_ids])
         self.training = ~np.repeat(self.held, self.lengths)
         end = np.searchsorted(self.vocabulary, END)
@@ -158,7 +172,7 @@ def sent(block: int, keys: np.ndarray, columns: list[np.ndarray], bits: int) ->
     edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(keys)])
     for bucket in np.flatnonzero(np.diff(edges)):
         a, b = edges[bucket], edges[bucket + 1]
-        yield {"block": block, "bucket": int(bucket), "keys": keys[a:b].tobytes(), "columns": [pack(c[a:b]) for c in columns]}
+        yield {"block": block, "bucket": int(bucket), "keys": pack_keys(keys[a:b]), "columns": [pack(c[a:b]) for c in columns]}
 
 
 def answers(rows: DataFrame, reply: Callable, schema: str = ANSWER) -> DataFrame:
@@ -166,9 +180,12 @@ def answers(rows: DataFrame, reply: Callable, schema: str = ANSWER) -> DataFrame
     go back; their entries return to the blocks in the order in which they were sent."""
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
+        if part["bucket"].iloc[0] < 0:
+            return part[["block", "bucket", "columns"]]
         part = part.sort_values("block")
-        sizes = [len(k) // 8 for k in part["keys"]]
-        keys, first, place = distinct(np.frombuffer(b"".join(part["keys"]), dtype=np.uint64))
+        sent_keys = [unpack_keys(k) for k in part["keys"]]
+        sizes = [len(k) for k in sent_keys]
+        keys, first, place = distinct(np.concatenate(sent_keys))
         sums = [np.bincount(place, weights=np.concatenate([unpack(c) for c in column])).astype(np.int64) for column in zip(*part["columns"], strict=True)]
         owner = np.zeros(len(place), dtype=np.int64)
         owner[first] = 1
@@ -181,10 +198,15 @@ def answers(rows: DataFrame, reply: Callable, schema: str = ANSWER) -> DataFrame
 
 def received(row: list | None) -> list[np.ndarray]:
     """The answered columns of a block, in the order of its keys."""
-    ordered = sorted(row or [], key=lambda x: x["bucket"])
+    ordered = sorted((x for x in row or [] if x["bucket"] >= 0), key=lambda x: x["bucket"])
     return [np.concatenate([unpack(c) for c in column]) for column in zip(*(x["columns"] for x in ordered), strict=True)]
 
 
+def kept(block: int, columns: list[np.ndarray]) -> dict:
+    """A row that comes back to its block as it is."""
+    return {"block": block, "bucket": -1 - int(mixed(np.array([block], dtype=np.uint64))[0] >> np.uint64(44)), "keys": b"", "columns": [pack(c) for c in columns]}
+
+
 def each_block(blocks: DataFrame, function: Callable, schema: str, **answered: DataFrame) -> DataFrame:
     """function(row) for every block with the answers to it as columns; it yields dictionaries."""
     for name, rows in answered.items():
@@ -204,10 +226,10 @@ def each_block(blocks: DataFrame, function: Callable, schema: str, **answered: D
     return blocks.mapInArrow(rows, schema)
 
 
-def seats(block: Block, pairs: list[np.ndarray], words: list[np.ndarray], state: list[np.ndarray] | None, totals: dict, sweep: int) -> list[np.ndarray]:
-    """Tables of each of the block's pairs in each chain, drawn in this sweep."""
+def seats(block: Block, pairs: list[np.ndarray], words: list[np.ndarray], state: list[np.ndarray] | None, totals: dict, sweep: int, asked: np.ndarray | None = None) -> list[np.ndarray]:
+    """Tables of each of the block's pairs in each chain, drawn in this sweep; of those asked for, if not of all."""
     count, out = pairs[0], []
-    many = np.flatnonzero(count > 1)
+    many = np.flatnonzero(count > 1 if asked is None else (count > 1) & asked)
     for chain in range(CHAINS):
         drawn = np.minimum(count, 1)
         if state is None:
@@ -242,8 +264,8 @@ def score(docs: DataFrame) -> DataFrame:
     buckets = max(shuffle_partitions(spark), made.rdd.getNumPartitions())
     made.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", temporary_folder(spark)).format("parquet").saveAsTable(name)
     blocks = spark.table(name)
-    size = blocks.agg(F.sum(F.length("vocabulary")).alias("words"), F.sum(F.size("doc_ids")).alias("docs"), F.count(F.lit(1)).alias("n")).first()
-    bits = [max(0, int(np.ceil(np.log2(max(1, entries) / BUCKET_ENTRIES)))) for entries in ((size["words"] or 0) // 8, (size["n"] or 0) * BLOCK_TOKENS // 2)]
+    size = blocks.agg(F.sum("n_words").alias("words"), F.sum(F.size("doc_ids")).alias("docs"), F.count(F.lit(1)).alias("n")).first()
+    bits = [max(0, int(np.ceil(np.log2(max(1, entries) / BUCKET_ENTRIES)))) for entries in (size["words"] or 0, (size["n"] or 0) * BLOCK_TOKENS // 2)]
 
     def own_words(row: dict) -> Iterator[dict]:
         block = Block(row)
@@ -264,21 +286,23 @@ def score(docs: DataFrame) -> DataFrame:
 
     found = each_block(words, summed, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     totals: dict = {"n": found["n"] or 0, "v": found["v"] or 0}
-    state = before = None
-    totals_before = totals
+    state = None
     for sweep in range(SWEEPS):
 
         def seated(row: dict, sweep: int = sweep, totals: dict = dict(totals)) -> Iterator[dict]:
             block = Block(row)
             block.pairs()
             pair, word = received(row["pairs"]), received(row["words"])
-            drawn = seats(block, pair, word, received(row["state"]) if sweep else None, totals, sweep)
-            mine, n = (pair[1] > 0) & (pair[0] > 0), len(block.vocabulary)
+            mine, n, last = (pair[1] > 0) & (pair[0] > 0), len(block.vocabulary), sweep == SWEEPS - 1
+            drawn = seats(block, pair, word, received(row["state"]) if sweep else None, totals, sweep, None if last else mine)
             add = lambda at, weights: np.bincount(at[mine], weights=weights[mine], minlength=n).astype(np.int64)
             columns = [add(block.pair_context, pair[0])]
             for t in drawn:
                 columns += [add(block.pair_context, t), add(block.pair_word, t)]
             yield from sent(row["block"], block.vocabulary, columns, bits[0])
+            if last:
+                # of pairs of one customer there is no need to keep the table
+                yield kept(row["block"], [t[pair[0] > 1] for t in drawn])
 
         def parent(keys, sums, place, owner, sweep: int = sweep, totals: dict = dict(totals)) -> list[np.ndarray]:
             out = [sums[0][place]]
@@ -290,12 +314,13 @@ def score(docs: DataFrame) -> DataFrame:
             return [*out, owner]
 
         answered = {"pairs": pairs, "words": words} | ({"state": state} if sweep else {})
-        old, before, totals_before = before, state, dict(totals)
-        state = written(answers(each_block(blocks, seated, SENT, **answered), parent))
-        if old is not None:
-            dropped(old)
+        before, state = state, written(answers(each_block(blocks, seated, SENT, **answered), parent))
+        if before is not None:
+            dropped(before)
 
         def counted(row: dict) -> Iterator[dict]:
+            if row["bucket"] < 0:
+                return
             columns = received([row])
             mine = columns[-1] > 0
             yield {f"{k}{c}": int(columns[i + 3 * c][mine].sum()) for c in range(CHAINS) for k, i in (("customers", 2), ("tables", 3))}
@@ -308,7 +333,10 @@ def score(docs: DataFrame) -> DataFrame:
         block = Block(row)
         block.pairs()
         pair, word, now = received(row["pairs"]), received(row["words"]), received(row["state"])
-        drawn = seats(block, pair, word, received(row["before"]) if "before" in row else None, totals_before, SWEEPS - 1)
+        drawn = []
+        for c in next(x["columns"] for x in row["state"] if x["bucket"] < 0):
+            drawn.append(np.minimum(pair[0], 1))
+            drawn[-1][pair[0] > 1] = unpack(c)
         chance = np.zeros(len(block.tokens))
         customers = now[0]
         for chain in range(CHAINS):
@@ -325,7 +353,6 @@ def score(docs: DataFrame) -> DataFrame:
             yield {"doc_id": doc_id, "held_out": bool(block.held[i]), "n_tokens": int(block.lengths[i]), "n_known": int(known[i]), "train_tokens": totals["n"], "base_score": float(base[i]), "score": float(chance[i])}
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    answered = {"pairs": pairs, "words": words, "state": state} | ({} if before is None else {"before": before})
-    result = written(each_block(blocks, scored, schema, **answered))
+    result = written(each_block(blocks, scored, schema, pairs=pairs, words=words, state=state))
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     return result

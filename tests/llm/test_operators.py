@@ -333,6 +333,25 @@ def test_distinct_keys_are_those_of_numpy():
         assert all((a == b).all() for a, b in zip(pitman_yor.distinct(keys), np.unique(keys, return_index=True, return_inverse=True), strict=True))
 
 
+def test_numbers_and_hashes_come_back_from_fewer_bytes():
+    draw = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        keys, numbers = np.sort(draw.integers(0, 2**64 - 1, n, dtype=np.uint64)), draw.integers(0, 2**32 - 1, n)
+        assert (pitman_yor.unpack_keys(pitman_yor.pack_keys(keys)) == keys).all() and (pitman_yor.unpack(pitman_yor.pack(numbers)) == numbers).all()
+    many = np.sort(draw.integers(0, 2**64 - 1, 100_000, dtype=np.uint64))
+    assert len(pitman_yor.pack_keys(many)) < 0.85 * many.nbytes
+
+
+def test_tables_are_drawn_for_the_pairs_asked_for_only():
+    keys = np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    block = type("Block", (), {"pair_context": np.zeros(100, dtype=int), "pair_word": np.arange(100) % 7, "keys": keys})
+    pairs, words, totals = [np.arange(100) + 1], [np.full(7, 40)], {"n": 5000, "v": 7}
+    asked = np.arange(100) % 3 == 0
+    every, some = pitman_yor.seats(block, pairs, words, None, totals, 0), pitman_yor.seats(block, pairs, words, None, totals, 0, asked)
+    for a, b in zip(every, some, strict=True):
+        assert (a[asked] == b[asked]).all() and (b[~asked] == 1).all() and (a[~asked] > 1).any()
+
+
 def test_scores_beat_the_base_on_held_out_text(docs, none, spark):
     rows = [(i, prose(i % 7, 60)) for i in range(300)] + [(None, None), (4, "")]
     found = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
