@@ -5,6 +5,7 @@ from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -432,6 +433,63 @@ def test_what_several_documents_hold_together_is_no_passage(spark):
         assert found["n_removed"] == 0, size
 
 
+def test_texts_that_share_one_repeated_word_are_not_matched_with_each_other(spark, monkeypatch):
+    ship_library(spark)
+    seen, candidates = [], chaining.candidates
+    monkeypatch.setattr(chaining, "candidates", lambda matches, *a: seen.append(matches.count()) or candidates(matches, *a))
+    own = lambda i, *words: (i, " ".join(w for x in (f"a{i}", *words, f"b{i}") for w in [x] * 30))
+    rows = [own(i, "the") for i in range(40)] + [own(40 + i, "of") for i in range(20)]
+    rows += [own(100, "of", "the"), *(own(110 + i, "of") for i in range(5)), *(own(120 + i, "the") for i in range(5)), own(200, "the", "of"), own(300, "of"), own(301, "the")]
+    found = {r["doc_id"]: r for r in chaining.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[200]["n_removed"] == 60 and found[200]["sources"] == [100]
+    assert all(r["n_removed"] == 0 for d, r in found.items() if d != 200)
+    # each of some 1,200 pairs has 28 links and more in common
+    assert len(seen) == 2 and seen[1] < 10_000
+
+
+def test_spans_that_hold_no_passage_are_left_out_and_no_others():
+    passage, other = [np.arange(i, i + 200, dtype=np.uint64) for i in (1000, 5000)]
+    spans = [passage[:120], passage[:120], np.r_[other[:50], passage[:20], other[50:90]], passage[:49], passage[:50], passage[:2]]
+    sources = [passage[:120], other, passage[:100], passage, passage, passage]
+    packed = [pa.array([x.tobytes() for x in column], pa.binary()) for column in (spans, sources)]
+    run = chaining.run_at_ends(0.8)
+    assert run == 4 and chaining.run_at_ends(1.0) == 12
+    assert chaining.may_hold_a_passage(*packed, run, 50).tolist() == [True, False, False, False, True, False]
+
+
+def test_edit_scripts_equal_those_of_the_whole_table():
+    def by_table(a, b):
+        cost = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                cost[i][j] = min(cost[i - 1][j - 1] + (x != y), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+        pairs, i, j = [], len(a), len(b)
+        while i and j:
+            if cost[i][j] == cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+                i, j = i - 1, j - 1
+                pairs += [(i, j)] if a[i] == b[j] else []
+            elif cost[i][j] == cost[i - 1][j] + 1:
+                i -= 1
+            else:
+                j -= 1
+        return pairs[::-1]
+
+    draw = np.random.default_rng(3)
+    for case in range(300):
+        a, b = (draw.integers(0, (2, 4, 30)[case % 3], draw.integers(0, 42)).tolist() for _ in "ab")
+        assert chaining.edit_script(a, b) == by_table(a, b)
+
+
+def test_few_runs_are_chained_as_through_trees(monkeypatch):
+    draw = np.random.default_rng(4)
+    for _ in range(200):
+        runs = sorted({(int(a), int(s), int(n)) for a, s, n in zip(draw.integers(0, 90, 15), draw.integers(0, 90, 15), draw.integers(3, 12, 15), strict=True)})
+        monkeypatch.setattr(chaining, "FEW_RUNS", 24)
+        few = chaining.chains(runs)
+        monkeypatch.setattr(chaining, "FEW_RUNS", 1)
+        assert few == chaining.chains(runs)
+
+
 def test_columns_of_the_same_names_stay_under_a_prefix(spark):
     ship_library(spark)
     rows = [(1, " ".join(BASE), "a", "b"), (2, prose(7, 30) + " " + " ".join(BASE), "c", "d")]
